@@ -20,8 +20,11 @@ from apptflow.operators import rates as R  # noqa: E402
 from apptflow.operators import sequences as S  # noqa: E402
 from apptflow.operators.features import (latest_rows, model_table,  # noqa: E402
                                          null_profile, patient_features)
+from apptflow.operators import metrics as MT  # noqa: E402
+from apptflow.operators import sampling as SM  # noqa: E402
+from apptflow.operators import trial as TR  # noqa: E402
 from apptflow.plans.features import appointments  # noqa: E402
-from apptflow.schemas import DISPLAY_NAMES, PRUNED_FEATURES  # noqa: E402
+from apptflow.schemas import DISPLAY_NAMES, METRIC_NAMES, PRUNED_FEATURES  # noqa: E402
 from apptflow.sources.appointments import EVENTS_VIEW_SQL, ORDERS_VIEW_SQL  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -69,6 +72,46 @@ def _q_features(view):
                                               days=DAYS[view])
 
 
+def _features(spark, sf):
+    return patient_features(_a(spark, sf), min_count=MIN_COUNT, days=90)
+
+
+def _split(spark, sf, seed=1, feats=None):
+    f = feats if feats is not None else _features(spark, sf)
+    f = f.select("patient_id", "dna_flag", "dna_markov")
+    return SM.stratified_split(f, "patient_id", "dna_flag", 0.75, seed)
+
+
+def _train_down(spark, sf, seed=1):
+    tr = _split(spark, sf, seed).where(F.col("split") == "train").drop("split")
+    return SM.down_sample(tr, "patient_id", "dna_flag", seed)
+
+
+def _markov_pred(spark, sf, seed=1, feats=None):
+    """Test rows of run ``seed`` with the sequence probability as a score."""
+    t = _split(spark, sf, seed, feats).where(F.col("split") == "test")
+    return t.select(F.when(F.col("dna_markov") >= 0.5, 1).otherwise(0).alias("pred"),
+                    F.col("dna_flag").alias("obs"))
+
+
+def _mean_runs(spark, sf, runs=5):
+    per_run, feats = None, _features(spark, sf)
+    for r in range(1, runs + 1):
+        m = MT.confusion_metrics(_markov_pred(spark, sf, r, feats)).withColumn("run", F.lit(r))
+        per_run = m if per_run is None else per_run.unionByName(m)
+    return MT.mean_metrics(per_run)
+
+
+def _trial_base(spark, sf):
+    a = _a(spark, sf).select("appt_id", "patient_id", "appointment_dt", "dna_flag")
+    p = _features(spark, sf).select("patient_id", F.col("dna_markov").alias("probability"))
+    return TR.assign_bands(a.join(p, "patient_id"), "probability", 0.5)
+
+
+def _trial_arms(spark, sf):
+    return TR.assign_arms(_trial_base(spark, sf), "appt_id", "band", seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "s1_appointments": lambda spark, sf: _a(spark, sf, "orders"),
@@ -114,6 +157,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r1_pivot_events": lambda spark, sf: S.pivot_events(_a(spark, sf)),
         "u1_union_views": lambda spark, sf: _a(spark, sf, "orders").unionByName(
             _a(spark, sf, "events"), allowMissingColumns=True),
+        "d1_stratified_split": lambda spark, sf: _split(spark, sf).drop("dna_markov"),
+        "d3_down_sample": lambda spark, sf: _train_down(spark, sf).drop("dna_markov"),
+        "d4_folds": lambda spark, sf: SM.assign_folds(
+            _train_down(spark, sf).drop("dna_markov"), "patient_id", "dna_flag", 5, 1),
+        "a10_cross_tab": lambda spark, sf: MT.cross_tab(_markov_pred(spark, sf)),
+        "t7_markov_confusion": lambda spark, sf: MT.confusion_metrics(
+            _markov_pred(spark, sf), with_counts=True),
+        "t8_mean_metrics": _mean_runs,
+        "x1_bands": lambda spark, sf: _trial_base(spark, sf).select("appt_id", "band"),
+        "x2_arms": lambda spark, sf: _trial_arms(spark, sf).select("appt_id", "band", "arm"),
+        "x3_reminders": lambda spark, sf: TR.reminder_schedule(_trial_arms(spark, sf)),
+        "x4_trial_outcome": lambda spark, sf: TR.trial_outcome(_trial_arms(spark, sf)),
     }
 
 
@@ -242,6 +297,68 @@ SELECT patient_id, count(*) AS three_mo_count FROM a
 WHERE appointment_dt > (SELECT max(appointment_dt) FROM a) - {days} GROUP BY patient_id"""
 
 
+def _feat():
+    return _features_sql("orders", MIN_COUNT, 90)
+
+
+def _rank_expr(key, seed, part):
+    return (f"row_number() OVER (PARTITION BY {part} ORDER BY "
+            f"md5(CAST({key} AS VARCHAR) || '|{seed}'), {key})")
+
+
+def _split_sql(seed=1):
+    return f"""SELECT patient_id, dna_flag, dna_markov,
+  CASE WHEN {_rank_expr('patient_id', seed, 'dna_flag')} <=
+       round_even(0.75 * count(*) OVER (PARTITION BY dna_flag), 0)
+  THEN 'train' ELSE 'test' END AS split
+FROM ({_feat()}) f WHERE dna_flag IS NOT NULL"""
+
+
+def _down_sql(seed=1):
+    return f"""SELECT patient_id, dna_flag, dna_markov FROM (
+  SELECT *, {_rank_expr('patient_id', f'{seed}|down', 'dna_flag')} AS rk,
+         min(n) OVER () AS mn FROM (
+    SELECT *, count(*) OVER (PARTITION BY dna_flag) AS n
+    FROM ({_split_sql(seed)}) s WHERE split = 'train') t) u
+WHERE rk <= mn"""
+
+
+def _pred_sql(seed=1):
+    return f"""SELECT CASE WHEN dna_markov >= 0.5 THEN 1 ELSE 0 END AS pred, dna_flag AS obs
+FROM ({_split_sql(seed)}) s WHERE split = 'test'"""
+
+
+_METRICS_SQL = """
+SELECT {keep}
+  sens AS "Sensitivity", spec AS "Specificity",
+  (sens * prev) / (sens * prev + (1.0 - spec) * (1.0 - prev)) AS "Pos.Pred.Value",
+  (spec * (1.0 - prev)) / ((1.0 - sens) * prev + spec * (1.0 - prev)) AS "Neg.Pred.Value",
+  prec AS "Precision", sens AS "Recall", (2.0 * prec * sens) / (prec + sens) AS "F1",
+  prev AS "Prevalence", CAST(tp AS DOUBLE) / n AS "Detection.Rate",
+  CAST(tp + fp AS DOUBLE) / n AS "Detection.Prevalence", (sens + spec) / 2.0 AS "Balanced.Accuracy"
+FROM (SELECT *, CAST(tp AS DOUBLE) / (tp + fn) AS sens, CAST(tn AS DOUBLE) / (tn + fp) AS spec,
+             CAST(tp + fn AS DOUBLE) / n AS prev, CAST(tp AS DOUBLE) / (tp + fp) AS prec
+      FROM (SELECT *, tp + fp + fn + tn AS n FROM (
+        SELECT count(*) FILTER (WHERE pred = 1 AND obs = 1) AS tp,
+               count(*) FILTER (WHERE pred = 1 AND obs <> 1) AS fp,
+               count(*) FILTER (WHERE pred <> 1 AND obs = 1) AS fn,
+               count(*) FILTER (WHERE pred <> 1 AND obs <> 1) AS tn
+        FROM ({src}) p) c) d) e"""
+
+
+def _trial_sql():
+    return f"""SELECT a.appt_id, a.patient_id, a.appointment_dt, a.dna_flag,
+       f.dna_markov AS probability,
+       CASE WHEN f.dna_markov >= 0.5 THEN 'high' ELSE 'low' END AS band
+FROM ({ORDERS_VIEW_SQL}) a JOIN ({_feat()}) f ON a.patient_id = f.patient_id"""
+
+
+def _arms_sql():
+    return f"""SELECT *, CASE WHEN {_rank_expr('appt_id', '2024|arm', 'band')} <=
+       round_even(0.5 * count(*) OVER (PARTITION BY band), 0)
+  THEN 'intervention' ELSE 'control' END AS arm FROM ({_trial_sql()}) t"""
+
+
 def oracle_sql() -> dict[str, str]:
     o = ORDERS_VIEW_SQL
     seq1 = _seq_ctes("orders")
@@ -317,5 +434,33 @@ UNION ALL
 SELECT appt_id, patient_id, clinic, appointment_dt, dna_flag, cancel_flag,
        CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER),
        CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), attendance_time FROM ({EVENTS_VIEW_SQL}) y""",
+        "d1_stratified_split": f"SELECT patient_id, dna_flag, split FROM ({_split_sql()}) s",
+        "d3_down_sample": f"SELECT patient_id, dna_flag FROM ({_down_sql()}) d",
+        "d4_folds": f"""SELECT patient_id, dna_flag, CAST(({_rank_expr('patient_id', '1|fold',
+            'dna_flag')} - 1) % 5 AS INTEGER) AS fold FROM ({_down_sql()}) d""",
+        "a10_cross_tab": f"SELECT pred, obs, count(*) AS count FROM ({_pred_sql()}) p GROUP BY ALL",
+        "t7_markov_confusion": _METRICS_SQL.format(keep="tp, fp, fn, tn,", src=_pred_sql()),
+        "t8_mean_metrics": "SELECT " + ", ".join(
+            f'avg("{m}") AS "{m}"' for m in METRIC_NAMES) + " FROM (" + " UNION ALL ".join(
+            _METRICS_SQL.format(keep="", src=_pred_sql(r)) for r in range(1, 6)) + ") u",
+        "x1_bands": f"SELECT appt_id, band FROM ({_trial_sql()}) t",
+        "x2_arms": f"SELECT appt_id, band, arm FROM ({_arms_sql()}) t",
+        "x3_reminders": f"""SELECT appt_id, appointment_dt, arm, d AS days_before,
+       CAST(appointment_dt - d AS DATE) AS reminder_dt
+FROM ({_arms_sql()}) t, unnest(CASE WHEN arm = 'intervention' THEN [5, 3] ELSE [5] END) u(d)""",
+        "x4_trial_outcome": f"""SELECT band, n_intervention, miss_intervention, n_control, miss_control,
+  CAST(miss_intervention AS DOUBLE) / n_intervention AS rate_intervention,
+  CAST(miss_control AS DOUBLE) / n_control AS rate_control,
+  CAST(miss_control AS DOUBLE) / n_control - CAST(miss_intervention AS DOUBLE) / n_intervention
+    AS abs_reduction,
+  (CAST(miss_control AS DOUBLE) / n_control - CAST(miss_intervention AS DOUBLE) / n_intervention)
+  / sqrt(pp * (1.0 - pp) * (1.0 / n_intervention + 1.0 / n_control)) AS z
+FROM (SELECT *, CAST(miss_intervention + miss_control AS DOUBLE)
+                / (n_intervention + n_control) AS pp FROM (
+  SELECT band, count(*) FILTER (WHERE arm = 'intervention') AS n_intervention,
+         count(*) FILTER (WHERE arm = 'intervention' AND dna_flag = 1) AS miss_intervention,
+         count(*) FILTER (WHERE arm = 'control') AS n_control,
+         count(*) FILTER (WHERE arm = 'control' AND dna_flag = 1) AS miss_control
+  FROM ({_arms_sql()}) t GROUP BY band) g) h""",
     }
     return sql
