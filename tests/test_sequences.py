@@ -1,0 +1,83 @@
+import pytest
+from pyspark.sql import functions as F
+
+from apptflow.operators import sequences as S
+from apptflow.operators.features import patient_features
+from tests.fixtures import MARKOV_EXPECTED, SEQ_COUNTS, markov_df
+
+
+def test_full_and_history(spark):
+    s = S.patient_sequences(markov_df(spark), {"dna_flag": "d"})
+    got = {r.patient_id: (r.full_d, r.history_d) for r in s.collect()}
+    assert got == {p: (f, h) for p, (f, h, _) in MARKOV_EXPECTED.items()}
+
+
+def test_sequence_counts(spark):
+    s = S.full_sequences(markov_df(spark))
+    got = {r.sequence: r["count"] for r in S.sequence_counts(s).collect()}
+    assert got == SEQ_COUNTS
+
+
+def test_probabilities_with_backoff(spark):
+    m = S.markov_probability(markov_df(spark))
+    got = {r.patient_id: r.event for r in m.collect()}
+    exp = {p: v for p, (_, h, v) in MARKOV_EXPECTED.items() if h is not None}
+    assert set(got) == set(exp)
+    for p, v in exp.items():
+        assert got[p] == pytest.approx(v) if v is not None else got[p] is None
+
+
+def test_sequence_probability_table(spark):
+    s = S.patient_sequences(markov_df(spark), {"dna_flag": "e"})
+    t = {r.sequence: r.prob for r in S.sequence_probabilities(s, "full_e", "history_e").collect()}
+    assert t["10"] == pytest.approx(0.5) and t["0"] == pytest.approx(0.5)
+    assert t["1"] == pytest.approx(2 / 3) and t[""] == pytest.approx(2 / 3)
+    assert t["00000"] is None
+
+
+def test_no_history_marginal(spark):
+    s = S.full_sequences(markov_df(spark))
+    assert S.no_history_marginal(s, "sequence").first()[0] == pytest.approx(2 / 3)
+
+
+def test_imputed_features(spark):
+    f = patient_features(markov_df(spark), min_count=1, days=90, materialize=False)
+    got = {r.patient_id: r.dna_markov for r in f.collect()}
+    rate = 11 / 31
+    # K has only a null date as its newest row -> the latest non-null row is kept
+    for p, (_, _, v) in MARKOV_EXPECTED.items():
+        assert got[p] == pytest.approx(rate if v is None else v), p
+    marg = patient_features(markov_df(spark), min_count=1, no_history_marginal=True,
+                            materialize=False)
+    got2 = {r.patient_id: r.dna_markov for r in marg.collect()}
+    assert got2["C"] == pytest.approx(2 / 3) and got2["I"] == pytest.approx(rate)
+
+
+def test_rank_matches_window(spark):
+    df = markov_df(spark)
+    r = {r.appt_id: r.rn for r in S.rank_appointments(df).collect()}
+    # K: dated row first, null date last; G: file order on the tie
+    assert r[27] == 1 and r[28] == 2
+    assert r[12] == 1 and r[13] == 2
+    assert sorted(v for k, v in r.items() if 17 <= k <= 23) == list(range(1, 8))
+
+
+def test_history_rows_null_rule(spark):
+    h = S.rows_before_last_date(markov_df(spark))
+    pats = {r.patient_id for r in h.collect()}
+    assert "K" not in pats and "G" not in pats and "C" not in pats
+    assert h.where(F.col("patient_id") == "H").count() == 1
+
+
+def test_result_unchanged_under_repartition(spark):
+    df = markov_df(spark)
+    a = sorted(map(tuple, S.patient_sequences(df).drop("latest").collect()))
+    b = sorted(map(tuple, S.patient_sequences(df.repartition(7)).drop("latest").collect()))
+    assert a == b
+
+
+def test_pivot_and_unite(spark):
+    p = S.pivot_events(markov_df(spark), n=6)
+    u = S.unite_columns(p, [str(i) for i in range(1, 7)])
+    got = {r.patient_id: r.sequence for r in u.collect()}
+    assert got["J"] == "01" and got["I"] == "000000" and got["L"] == "1"
