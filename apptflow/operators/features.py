@@ -102,13 +102,13 @@ def _marginal(m: str):
 
 
 def model_table(features: DataFrame, label: str = DNA, prune: bool = True,
-                drop=ID_COLUMNS) -> DataFrame:
+                drop=ID_COLUMNS, keep=()) -> DataFrame:
     """G3 + G4 (P2, P3): drop ids, rename to display names, prune.
 
     Renaming is the last step so every earlier stage keeps plain names.
     """
-    keep = [c for c in features.columns if c not in drop]
-    renamed = [F.col(c).alias(DISPLAY_NAMES.get(c, c)) for c in keep]
+    cols = [c for c in features.columns if c not in drop or c in keep]
+    renamed = [F.col(c).alias(c if c in keep else DISPLAY_NAMES.get(c, c)) for c in cols]
     out = features.select(*renamed)
     if prune:
         out = out.drop(*PRUNED_FEATURES)
