@@ -1,0 +1,97 @@
+"""Physical-plan checks: the scale properties the operators rely on."""
+
+import random
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from apptflow.operators import sequences as S
+from apptflow.operators.features import patient_features
+from apptflow.operators.sampling import hash_rank
+from apptflow.sources import appointments_from_orders
+from tests.fixtures import APPT
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def formatted(df):
+    import io
+    import contextlib
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_sequence_candidates_prelimit_before_shuffle(spark):
+    a = appointments_from_orders(spark, SF)
+    txt = formatted(S.sequence_candidates(a, cols=["dna_flag"]))
+    lines = [ln for ln in txt.splitlines() if "WindowGroupLimit" in ln or "Exchange" in ln]
+    # partial limit (map side) appears below each exchange
+    assert sum("WindowGroupLimit" in ln for ln in lines) >= 4
+    body = txt.split("\n\n")[0]
+    order = [ln.strip().lstrip("+-: ") for ln in body.splitlines()
+             if "WindowGroupLimit" in ln or ("Exchange" in ln and "Broadcast" not in ln)]
+    assert order[-1].startswith("WindowGroupLimit") and order[-2].startswith("Exchange")
+
+
+def test_scan_prunes_columns(spark):
+    a = appointments_from_orders(spark, SF)
+    txt = formatted(S.full_sequences(a))
+    scan = [ln for ln in txt.splitlines() if "ReadSchema" in ln and "o_orderkey" in ln][0]
+    assert "o_totalprice" not in scan and "o_orderpriority" not in scan
+
+
+def test_sequence_lookup_is_broadcast(spark):
+    a = appointments_from_orders(spark, SF)
+    txt = formatted(S.markov_probability(a))
+    assert "BroadcastExchange" in txt and "SortMergeJoin" not in txt
+
+
+def test_hash_rank_no_single_stratum_window(spark):
+    df = spark.range(2000).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    txt = formatted(hash_rank(df, "id", ["y"], 1))
+    # the row-level window is partitioned by (stratum, bucket), not stratum only
+    assert "hashpartitioning(y#" in txt and "_b#" in txt
+
+
+def test_hot_patient_matches_bruteforce(spark):
+    """One patient holds a third of all rows, with many same-day rows."""
+    rnd = random.Random(7)
+    rows, i = [], 0
+    import datetime as dt
+    base = dt.date(2024, 1, 1)
+    for p in range(60):
+        for _ in range(rnd.randint(1, 9)):
+            rows.append((i, f"p{p}", "c", base + dt.timedelta(days=rnd.randint(0, 30)),
+                         rnd.randint(0, 1), rnd.randint(0, 1)))
+            i += 1
+    hot = len(rows) // 2
+    for _ in range(hot):
+        rows.append((i, "HOT", "c", base + dt.timedelta(days=rnd.randint(25, 30)),
+                     rnd.choice([0, 1, None]), 0))
+        i += 1
+    df = spark.createDataFrame(rows, APPT).repartition(6)
+    got = {r.patient_id: (r.full_d, r.history_d)
+           for r in S.patient_sequences(df, {"dna_flag": "d"}).collect()}
+    pdf = pd.DataFrame(rows, columns=[f.name for f in APPT.fields])
+    for p, g in pdf.groupby("patient_id"):
+        g = g.sort_values(["appointment_dt", "appt_id"], ascending=[False, True])
+        ch = lambda v: "" if pd.isna(v) else str(int(v))
+        full = "".join(ch(v) for v in g.dna_flag.head(6))
+        rest = g[g.appointment_dt < g.appointment_dt.max()]
+        hist = "".join(ch(v) for v in rest.dna_flag.head(5)) if len(rest) else None
+        assert got[p] == (full, hist), p
+    f = patient_features(df, min_count=1, materialize=False)
+    assert f.count() == 61
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.count() == 150
+    assert "DNA probability by sequence" in df.columns
