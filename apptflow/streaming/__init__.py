@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference reads one appointment file once; it has no streams, windows
+over event time, watermarks or stateful operators, so none are built here.
+Every operator in ``apptflow.operators`` that is a per-row projection (bands,
+reminder schedule, scoring with a fitted model) also applies unchanged to a
+streaming DataFrame; the ranking and aggregating operators need a batch.
+"""
