@@ -89,11 +89,13 @@ def leaf_covers(model, train: DataFrame) -> dict[tuple[int, int], int]:
     return {(r.tree, r.leaf): r["count"] for r in rows}
 
 
-def leaf_table(model, covers: dict[tuple[int, int], int]):
+def leaf_table(model, covers: dict[tuple[int, int], int], rounds: int | None = None):
     """Per leaf: (2*w*value, features, z per feature, splits per feature);
-    plus the base value (expected log-odds)."""
+    plus the base value (expected log-odds).  ``rounds`` keeps the first
+    trees only (a model cut at its chosen round)."""
     table, base = [], 0.0
-    for t, (w, root) in enumerate(parse_trees(model.toDebugString)):
+    trees = parse_trees(model.toDebugString)
+    for t, (w, root) in enumerate(trees[:rounds] if rounds else trees):
         lv = _leaves(root)
         cov = {}
 
@@ -156,12 +158,13 @@ def shap_matrix(x: np.ndarray, table) -> np.ndarray:
 
 
 def shap_values(model, df: DataFrame, names: list[str], key: str,
-                covers_from: DataFrame | None = None) -> tuple[DataFrame, float]:
+                covers_from: DataFrame | None = None,
+                rounds: int | None = None) -> tuple[DataFrame, float]:
     """Long table (key, feature, value, attribution) + base value.
 
     ``covers_from`` is the training set (defaults to ``df``)."""
     covers = leaf_covers(model, covers_from if covers_from is not None else df)
-    table, base = leaf_table(model, covers)
+    table, base = leaf_table(model, covers, rounds)
     key_type = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, feature string, value double, attribution double"
     src = df.select(F.col(key), vector_to_array("features").alias("_x"))
