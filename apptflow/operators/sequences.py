@@ -40,27 +40,39 @@ def event_char(c: str) -> Column:
     return F.when(x == 1, F.lit("1")).when(x == 0, F.lit("0"))
 
 
+TIE_BLOCK_BITS = 16  # tiebreak ids per rank block: 65,536
+
+
 def rank_appointments(df: DataFrame, patient: str = PATIENT, date: str = DATE,
-                      tiebreak: str = TIEBREAK, out: str = "rn") -> DataFrame:
-    """Rank of every appointment within its patient, newest first.
-
-    rank = (rows of the patient on newer dates, null dates last) + (position
-    within the day by ``tiebreak``).  The first term comes from a
-    per-(patient, day) count table (pre-aggregated map-side) with a running sum
-    over days, so only a patient's distinct days, never its rows, meet in one
-    task; the second is a window over (patient, day).
+                      tiebreak: str = TIEBREAK, out: str = "rn",
+                      block_bits: int = TIE_BLOCK_BITS) -> DataFrame:
+    """Rank of every appointment within its patient, newest first
+    (null dates last, ties by ascending ``tiebreak``).
+
+    No task sorts a whole patient, or even a whole patient-day: rows are
+    grouped into blocks (patient, day, tiebreak >> 16).  ``tiebreak`` is
+    unique, so a block holds at most 65,536 rows however hot the patient is.
+    Block sizes are counted map-side; a running sum over the (small) block
+    table gives each block's offset, and the rank is offset + row number
+    inside the block.  Blocks order exactly like the rows: by day (newest
+    first, null last), then by tiebreak.
     """
-    days = df.groupBy(patient, date).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(patient).orderBy(F.col(date).desc_nulls_last())
+    day_key = F.coalesce(-F.unix_date(F.col(date)), F.lit(2**31 - 1))
+    x = (df.withColumn("_dk", day_key)
+         .withColumn("_tb", F.shiftright(F.col(tiebreak).cast("long"), block_bits)))
+    blocks = x.groupBy(patient, "_dk", "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(patient).orderBy("_dk", "_tb")
          .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = days.select(patient, date,
-                          F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wd = Window.partitionBy(patient, date).orderBy(F.col(tiebreak).asc())
-    ranked = df.withColumn("_rd", F.row_number().over(wd))
-    cond = (ranked[patient] == offsets[patient]) & ranked[date].eqNullSafe(offsets[date])
+    offsets = blocks.select(F.col(patient).alias("_p"), F.col("_dk").alias("_dk2"),
+                            F.col("_tb").alias("_tb2"),
+                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    wb = Window.partitionBy(patient, "_dk", "_tb").orderBy(F.col(tiebreak).asc())
+    ranked = x.withColumn("_rb", F.row_number().over(wb))
+    cond = (ranked[patient].eqNullSafe(offsets["_p"]) & (ranked["_dk"] == offsets["_dk2"])
+            & (ranked["_tb"] == offsets["_tb2"]))
     return (ranked.join(offsets, cond, "left")
             .select(*[ranked[c] for c in df.columns],
-                    (F.col("_off") + F.col("_rd")).cast("int").alias(out)))
+                    (F.col("_off") + F.col("_rb")).cast("int").alias(out)))
 
 
 def newest_rows(df: DataFrame, n: int, patient: str = PATIENT, date: str = DATE,

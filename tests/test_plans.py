@@ -95,3 +95,23 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 150
     assert "DNA probability by sequence" in df.columns
+
+
+def test_rank_hot_patient_day_small_blocks(spark):
+    import datetime as dt
+    rnd = random.Random(11)
+    rows = []
+    for i in range(600):
+        p = "HOT" if i % 3 else f"p{i % 17}"
+        d = None if rnd.random() < 0.05 else dt.date(2024, 1, 1 + (0 if p == "HOT" and i % 2
+                                                                  else rnd.randint(0, 9)))
+        rows.append((rnd.randint(0, 10**6) * 1000 + i, p, "c", d, 0, 0))
+    df = spark.createDataFrame(rows, APPT).repartition(5)
+    got = {r.appt_id: r.rn for r in S.rank_appointments(df, block_bits=2).collect()}
+    pdf = pd.DataFrame(rows, columns=[f.name for f in APPT.fields])
+    pdf["nul"] = pdf.appointment_dt.isna()
+    pdf["d"] = pdf.appointment_dt.fillna(dt.date(1900, 1, 1))
+    for _, g in pdf.groupby("patient_id"):
+        g = g.sort_values(["nul", "d", "appt_id"], ascending=[True, False, True])
+        for k, aid in enumerate(g.appt_id, start=1):
+            assert got[aid] == k
