@@ -26,6 +26,9 @@ def get_spark(master: str | None = None, app: str = "apptflow",
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the executor (only applies at launch)
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
