@@ -8,8 +8,9 @@ Scale: a window partitioned by the stratum alone would sort the majority
 class (or any hot stratum) in one task.  Instead the leading 4 hex digits of
 the hash split every stratum into 65,536 buckets of near-equal size.  A
 count per (stratum, bucket) is pre-aggregated map-side, turned into running
-offsets (at most 65,536 rows per stratum), broadcast (bounded by
-strata x 65,536 rows) and added to a row number inside each (stratum, bucket).
+offsets (at most 65,536 rows per stratum), joined back on (stratum, bucket) —
+the key the row-level window already partitions by, so only the offsets
+move — and added to a row number inside each (stratum, bucket).
 Same ranks, no task holds more than ~1/65,536 of a stratum.
 """
 
@@ -38,8 +39,10 @@ def hash_rank(df: DataFrame, key: str, strata: list[str], seed=0, out: str = "ra
                          F.sum("_c").over(Window.partitionBy(*strata)).alias("_n"))
     wr = Window.partitionBy(*strata, "_b").orderBy("_h", key)
     ranked = x.withColumn("_r", F.row_number().over(wr))
-    # offs: <= (#strata x 65,536) rows by construction -> broadcast is bounded
-    j = ranked.join(F.broadcast(offs), [*strata, "_b"])
+    # ``ranked`` is already hash-partitioned on (strata, _b) by its window, so
+    # this join moves only the small offsets table; AQE broadcasts it when
+    # its measured size is under the threshold.
+    j = ranked.join(offs, [*strata, "_b"])
     res = j.withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
     keep = [*df.columns, out] + ([size_col] if size_col else [])
     if size_col and size_col != "_n":

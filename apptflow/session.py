@@ -35,7 +35,10 @@ def get_spark(master: str | None = None, app: str = "apptflow",
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001  (Spark Connect has no SparkContext)
+        pass
     return spark
 
 
@@ -46,12 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     only created when it is unset (tests, local runs).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the folder)
+        return d
+    d = d or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="apptflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
