@@ -39,3 +39,16 @@ def window_start(max_date, days: int) -> Column:
 def iso_weekday(d) -> Column:
     """F8: ISO weekday, Monday = 1 ... Sunday = 7."""
     return F.weekday(col(d)) + 1
+
+
+def join_null_safe(left, right, keys: list[str], how: str = "inner"):
+    """Equi-join on ``keys`` where null matches null (R ``left_join`` and
+    ``group_by`` semantics); the right side's key columns are dropped."""
+    r = right
+    for k in keys:
+        r = r.withColumnRenamed(k, f"_r_{k}")
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

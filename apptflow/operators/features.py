@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_null_safe
 from ..session import cut_lineage
 from ..schemas import (CANCEL, CLINIC, DATE, DISPLAY_NAMES, DNA, ID_COLUMNS,
                        PATIENT, PRUNED_FEATURES, TIEBREAK)
@@ -90,7 +91,7 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
     with_clinic = (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
                    .withColumn("clinic_prop", F.coalesce(F.col("clinic_prop"), F.col("rate")))
                    .drop("_clinic", "rate"))
-    out = (with_clinic.join(recent, patient, "left")
+    out = (join_null_safe(with_clinic, recent, [patient], "left")
            .withColumn("three_mo_count", F.coalesce(F.col("three_mo_count"), F.lit(0))))
     return out
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, ratio
+from ..functions.columns import flag, join_null_safe, ratio
 from ..schemas import CANCEL, CLINIC, DATE, DNA, PATIENT
 
 OTHER = "Other"  # fixed value: reserved clinic name for small clinics
@@ -134,4 +134,4 @@ def share_within(df: DataFrame, count_col: str, by: list[str] | None = None,
         return df.crossJoin(F.broadcast(tot)).withColumn(
             out, ratio(count_col, "_tot")).drop("_tot")
     tot = df.groupBy(*by).agg(F.sum(count_col).alias("_tot"))
-    return df.join(tot, by).withColumn(out, ratio(count_col, "_tot")).drop("_tot")
+    return join_null_safe(df, tot, by).withColumn(out, ratio(count_col, "_tot")).drop("_tot")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_null_safe
+
 BUCKET_HEX = 4  # 16^4 = 65,536 buckets per stratum
 
 
@@ -42,7 +44,7 @@ def hash_rank(df: DataFrame, key: str, strata: list[str], seed=0, out: str = "ra
     # ``ranked`` is already hash-partitioned on (strata, _b) by its window, so
     # this join moves only the small offsets table; AQE broadcasts it when
     # its measured size is under the threshold.
-    j = ranked.join(offs, [*strata, "_b"])
+    j = join_null_safe(ranked, offs, [*strata, "_b"])
     res = j.withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
     keep = [*df.columns, out] + ([size_col] if size_col else [])
     if size_col and size_col != "_n":

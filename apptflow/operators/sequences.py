@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import drop_last_char, flag, prefix_event
+from ..functions.columns import drop_last_char, flag, join_null_safe, prefix_event
 from ..schemas import CANCEL, DATE, DNA, PATIENT, TIEBREAK
 
 DEFAULT_EVENTS = {DNA: "dna", CANCEL: "cancel"}
@@ -94,7 +94,7 @@ def rows_before_last_date(df: DataFrame, patient: str = PATIENT,
     mx = df.groupBy(patient).agg(
         F.max(date).alias("_mx"),
         F.max(F.col(date).isNull()).alias("_has_null"))
-    j = df.join(mx, patient)
+    j = join_null_safe(df, mx, [patient])
     return j.where(~F.col("_has_null") & (F.col(date) < F.col("_mx"))).drop("_mx", "_has_null")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_null_safe
 from ..operators.model import assemble, feature_plan, score
 from ..operators.trial import assign_arms, assign_bands, reminder_schedule, trial_outcome
 from ..schemas import DATE, DNA, PATIENT, TIEBREAK
@@ -28,6 +29,6 @@ def run_trial(appts: DataFrame, probs: DataFrame, cut: float = 0.5, seed=2024,
               key: str = PATIENT, appt: str = TIEBREAK, date: str = DATE,
               outcome: str = DNA):
     """Returns (arms, reminders, outcome) DataFrames."""
-    base = appts.select(appt, key, date, outcome).join(probs, key)
+    base = join_null_safe(appts.select(appt, key, date, outcome), probs, [key])
     arms = assign_arms(assign_bands(base, "probability", cut), appt, "band", seed)
     return arms, reminder_schedule(arms, appt, date), trial_outcome(arms, outcome=outcome)

@@ -22,7 +22,7 @@ def random_rows(seed):
                 days=rnd.randint(0, 25))
             fl = lambda: rnd.choice([0, 1, 1, 0, None])
             clinic = rnd.choice(["a", "b", "c", "Other", None])
-            rows.append((aid, f"p{p}", clinic, d, fl(), fl()))
+            rows.append((aid, None if p == 0 else f"p{p}", clinic, d, fl(), fl()))
             aid += 1
     rnd.shuffle(rows)   # file order = appt_id, not the list order
     return rows
@@ -34,6 +34,7 @@ def ch(v):
 
 def brute(rows):
     df = pd.DataFrame(rows, columns=[f.name for f in APPT.fields]).sort_values("appt_id")
+    df["patient_id"] = df.patient_id.fillna("<NA>")   # R groups NA as one patient
     n = len(df)
     rate = (df.dna_flag == 1).sum() / n
     crate = (df.cancel_flag == 1).sum() / n
@@ -88,7 +89,7 @@ def test_features_match_bruteforce(spark, seed):
     rows = random_rows(seed)
     f = patient_features(spark.createDataFrame(rows, APPT).repartition(3),
                          min_count=MIN_COUNT, days=DAYS, materialize=False)
-    got = {r.patient_id: (r.appt_id, r.dna_markov, r.cancel_markov, r.clinic_prop,
+    got = {(r.patient_id or "<NA>"): (r.appt_id, r.dna_markov, r.cancel_markov, r.clinic_prop,
                           r.three_mo_count, r.multi_day) for r in f.collect()}
     exp = brute(rows)
     assert set(got) == set(exp)
