@@ -74,7 +74,10 @@ def _q_features(view):
 
 
 def _features(spark, sf):
-    return patient_features(_a(spark, sf), min_count=MIN_COUNT, days=90)
+    """Feature table written once (reliable checkpoint): the sampling and
+    trial queries read it twice (bucket counts, then ranks)."""
+    from apptflow.session import cut_lineage
+    return cut_lineage(patient_features(_a(spark, sf), min_count=MIN_COUNT, days=90))
 
 
 def _split(spark, sf, seed=1, feats=None):
@@ -96,8 +99,7 @@ def _markov_pred(spark, sf, seed=1, feats=None):
 
 
 def _mean_runs(spark, sf, runs=5):
-    from apptflow.session import cut_lineage
-    per_run, feats = None, cut_lineage(_features(spark, sf))
+    per_run, feats = None, _features(spark, sf)
     for r in range(1, runs + 1):
         m = MT.confusion_metrics(_markov_pred(spark, sf, r, feats)).withColumn("run", F.lit(r))
         per_run = m if per_run is None else per_run.unionByName(m)
@@ -106,8 +108,9 @@ def _mean_runs(spark, sf, runs=5):
 
 def _trial_base(spark, sf):
     a = _a(spark, sf).select("appt_id", "patient_id", "appointment_dt", "dna_flag")
+    from apptflow.session import cut_lineage
     p = _features(spark, sf).select("patient_id", F.col("dna_markov").alias("probability"))
-    return TR.assign_bands(a.join(p, "patient_id"), "probability", 0.5)
+    return cut_lineage(TR.assign_bands(a.join(p, "patient_id"), "probability", 0.5))
 
 
 def _trial_arms(spark, sf):

@@ -12,6 +12,9 @@ offsets (at most 65,536 rows per stratum), joined back on (stratum, bucket) —
 the key the row-level window already partitions by, so only the offsets
 move — and added to a row number inside each (stratum, bucket).
 Same ranks, no task holds more than ~1/65,536 of a stratum.
+
+The input is read twice (bucket counts, then ranks); callers materialise
+an expensive input first (the training plan checkpoints its table).
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe
+from ..session import cut_lineage
 from ..operators.model import assemble, feature_plan, score
 from ..operators.trial import assign_arms, assign_bands, reminder_schedule, trial_outcome
 from ..schemas import DATE, DNA, PATIENT, TIEBREAK
@@ -30,5 +31,7 @@ def run_trial(appts: DataFrame, probs: DataFrame, cut: float = 0.5, seed=2024,
               outcome: str = DNA):
     """Returns (arms, reminders, outcome) DataFrames."""
     base = join_null_safe(appts.select(appt, key, date, outcome), probs, [key])
-    arms = assign_arms(assign_bands(base, "probability", cut), appt, "band", seed)
+    # the arm assignment reads its input twice (bucket counts, ranks)
+    base = cut_lineage(assign_bands(base, "probability", cut))
+    arms = assign_arms(base, appt, "band", seed)
     return arms, reminder_schedule(arms, appt, date), trial_outcome(arms, outcome=outcome)
