@@ -59,14 +59,16 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
     ``checkpoint`` to ``spark.checkpoint.dir``: each is computed once, and a
     lost executor does not force recomputation from the scan.
     """
-    carry = [c for c in appts.columns if c not in (patient, date, tiebreak, dna, cancel)]
     stats = clinic_stats(appts, clinic, flags=(dna, cancel), date=date)
     if materialize:
         stats = cut_lineage(stats)
     scal = rates_from_stats(stats, {dna: "rate", cancel: "cancel_rate"})
     crates = clinic_rates_from_stats(stats, clinic, dna, min_count)
+    # narrow columns only through the one full shuffle (sequence pass); the
+    # latest row's other columns come from a pre-limited pass (<= 1 row per
+    # patient per map task) and a patient-level join.
     seqs = patient_sequences(appts, {dna: "dna", cancel: "cancel"}, patient=patient,
-                             date=date, tiebreak=tiebreak, order=order, carry=carry)
+                             date=date, tiebreak=tiebreak, order=order)
     if materialize:
         seqs = cut_lineage(seqs)
     maps = (count_map(sequence_counts(seqs, "full_dna"), "_m_dna")
@@ -74,19 +76,18 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
     recent = recent_count(appts, patient, date, days, newest=scal.select("max_dt"))
     one_row = scal.select("rate", "cancel_rate").crossJoin(maps)
 
-    latest = seqs.where(F.col("latest").isNotNull())
-    row_cols = [f for f in latest.schema["latest"].dataType.fieldNames()]
     p_dna = probability_expr("history_dna", "_m_dna")
     p_cancel = probability_expr("history_cancel", "_m_cancel")
     if no_history_marginal:
         p_dna = F.when(F.col("history_dna").isNull(), _marginal("_m_dna")).otherwise(p_dna)
         p_cancel = F.when(F.col("history_cancel").isNull(),
                           _marginal("_m_cancel")).otherwise(p_cancel)
-    base = (latest.crossJoin(F.broadcast(one_row))
-            .select(F.col(patient), *[F.col("latest")[c].alias(c) for c in row_cols],
-                    F.coalesce(p_dna, F.col("rate")).alias("dna_markov"),
-                    F.coalesce(p_cancel, F.col("cancel_rate")).alias("cancel_markov"),
-                    F.col("multi_day"), F.col("rate")))
+    probs = (seqs.where(F.col("latest").isNotNull()).crossJoin(F.broadcast(one_row))
+             .select(F.col(patient),
+                     F.coalesce(p_dna, F.col("rate")).alias("dna_markov"),
+                     F.coalesce(p_cancel, F.col("cancel_rate")).alias("cancel_markov"),
+                     F.col("multi_day"), F.col("rate")))
+    base = join_null_safe(latest_rows(appts, patient, date, tiebreak), probs, [patient])
     cr = crates.withColumnRenamed(clinic, "_clinic")
     with_clinic = (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
                    .withColumn("clinic_prop", F.coalesce(F.col("clinic_prop"), F.col("rate")))
