@@ -47,7 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session; a private folder is
-    only created when it is unset (tests, local runs).
+    only created when it is unset on a ``local[...]`` master (tests, local
+    runs).  On a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -56,7 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = d or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="apptflow-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a "
+                             "shared folder (a machine-local folder would not survive "
+                             "executor loss)")
+        d = tempfile.mkdtemp(prefix="apptflow-ckpt-")   # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
