@@ -52,3 +52,25 @@ def test_half_split(spark):
     c = {(r.band, r.arm): r["count"] for r in h.groupBy("band", "arm").count().collect()}
     assert c == {("high", "intervention"): 10, ("high", "control"): 10,
                  ("low", "intervention"): 6, ("low", "control"): 5}
+
+
+def test_split_sizes_property(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.integers(1, 60), st.integers(1, 60), st.sampled_from([0.5, 0.75, 0.8, 0.3]),
+           st.integers(0, 10**6))
+    def check(n1, n0, frac, seed):
+        rows = [(i, 1) for i in range(n1)] + [(10**4 + i, 0) for i in range(n0)]
+        df = spark.createDataFrame(rows, "id long, y int")
+        s = SM.stratified_split(df, "id", "y", frac, seed).collect()
+        for y, n in ((1, n1), (0, n0)):
+            want = int(Decimal(repr(frac * n)).quantize(Decimal(1), ROUND_HALF_EVEN))
+            assert sum(1 for r in s if r.y == y and r.split == "train") == want
+        assert len({r.id for r in s}) == n1 + n0
+        d = SM.down_sample(df, "id", "y", seed).groupBy("y").count().collect()
+        assert {r["count"] for r in d} == {min(n1, n0)}
+    check()
