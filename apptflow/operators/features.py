@@ -71,22 +71,23 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
                              date=date, tiebreak=tiebreak, order=order)
     if materialize:
         seqs = cut_lineage(seqs)
-    maps = (count_map(sequence_counts(seqs, "full_dna"), "_m_dna")
-            .crossJoin(count_map(sequence_counts(seqs, "full_cancel"), "_m_cancel")))
+    # one-row values enter as scalar subqueries (each evaluated once, no join)
+    m_dna = count_map(sequence_counts(seqs, "full_dna")).scalar()
+    m_cancel = count_map(sequence_counts(seqs, "full_cancel")).scalar()
+    rate, cancel_rate = scal.select("rate").scalar(), scal.select("cancel_rate").scalar()
     recent = recent_count(appts, patient, date, days, newest=scal.select("max_dt"))
-    one_row = scal.select("rate", "cancel_rate").crossJoin(maps)
 
-    p_dna = probability_expr("history_dna", "_m_dna")
-    p_cancel = probability_expr("history_cancel", "_m_cancel")
+    p_dna = probability_expr("history_dna", m_dna)
+    p_cancel = probability_expr("history_cancel", m_cancel)
     if no_history_marginal:
-        p_dna = F.when(F.col("history_dna").isNull(), _marginal("_m_dna")).otherwise(p_dna)
+        p_dna = F.when(F.col("history_dna").isNull(), _marginal(m_dna)).otherwise(p_dna)
         p_cancel = F.when(F.col("history_cancel").isNull(),
-                          _marginal("_m_cancel")).otherwise(p_cancel)
-    probs = (seqs.where(F.col("latest").isNotNull()).crossJoin(F.broadcast(one_row))
+                          _marginal(m_cancel)).otherwise(p_cancel)
+    probs = (seqs.where(F.col("latest").isNotNull())
              .select(F.col(patient),
-                     F.coalesce(p_dna, F.col("rate")).alias("dna_markov"),
-                     F.coalesce(p_cancel, F.col("cancel_rate")).alias("cancel_markov"),
-                     F.col("multi_day"), F.col("rate")))
+                     F.coalesce(p_dna, rate).alias("dna_markov"),
+                     F.coalesce(p_cancel, cancel_rate).alias("cancel_markov"),
+                     F.col("multi_day"), rate.alias("rate")))
     base = join_null_safe(latest_rows(appts, patient, date, tiebreak), probs, [patient])
     cr = crates.withColumnRenamed(clinic, "_clinic")
     with_clinic = (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
@@ -97,9 +98,9 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
     return out
 
 
-def _marginal(m: str):
-    c1 = F.try_element_at(F.col(m), F.lit("1"))
-    c0 = F.try_element_at(F.col(m), F.lit("0"))
+def _marginal(m):
+    c1 = F.try_element_at(m, F.lit("1"))
+    c0 = F.try_element_at(m, F.lit("0"))
     return F.when(c1.isNotNull() & c0.isNotNull(), c1.cast("double") / (c0 + c1).cast("double"))
 
 

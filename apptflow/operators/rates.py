@@ -111,13 +111,11 @@ def recent_count(df: DataFrame, patient: str = PATIENT, date: str = DATE,
     """Appointments per patient with date > newest date - ``days``.
 
     ``newest`` is a one-row DataFrame with ``max_dt`` (computed if absent);
-    it is attached with a broadcast cross join of that single row.
+    it enters the filter as a scalar subquery (evaluated once, no join).
     """
     newest = newest if newest is not None else max_date(df, date)
-    cut = F.date_sub(F.col("max_dt"), days)
-    return (df.select(patient, date)
-            .crossJoin(F.broadcast(newest.select("max_dt")))
-            .where(F.col(date) > cut)
+    cut = F.date_sub(newest.select("max_dt").scalar(), days)
+    return (df.select(patient, date).where(F.col(date) > cut)
             .groupBy(patient).agg(F.count(F.lit(1)).alias(out)))
 
 
@@ -130,8 +128,7 @@ def share_within(df: DataFrame, count_col: str, by: list[str] | None = None,
     """
     by = by or []
     if not by:
-        tot = df.agg(F.sum(count_col).alias("_tot"))
-        return df.crossJoin(F.broadcast(tot)).withColumn(
-            out, ratio(count_col, "_tot")).drop("_tot")
+        tot = df.agg(F.sum(count_col)).scalar()
+        return df.withColumn(out, ratio(count_col, tot))
     tot = df.groupBy(*by).agg(F.sum(count_col).alias("_tot"))
     return join_null_safe(df, tot, by).withColumn(out, ratio(count_col, "_tot")).drop("_tot")

@@ -69,9 +69,9 @@ def down_sample(df: DataFrame, key: str, label: str, seed=0) -> DataFrame:
     """D3: every class cut to the size of the smallest class (without
     replacement; the smallest class is kept whole)."""
     r = hash_rank(df, key, [label], f"{seed}|down")
-    smallest = r.groupBy(label).agg(F.max("_n").alias("_cn")).agg(F.min("_cn").alias("_min"))
-    return (r.crossJoin(F.broadcast(smallest)).where(F.col("rank") <= F.col("_min"))
-            .drop("rank", "_n", "_min"))
+    smallest = (df.groupBy(label).agg(F.count(F.lit(1)).alias("_cn"))
+                .agg(F.min("_cn")).scalar())          # scalar subquery, one value
+    return r.where(F.col("rank") <= smallest).drop("rank", "_n")
 
 
 def assign_folds(df: DataFrame, key: str, label: str, k: int = 5, seed=0,

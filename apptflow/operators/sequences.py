@@ -19,8 +19,8 @@ rank filters, which Spark plans as a partial ``WindowGroupLimit`` *before* the
 shuffle, so a patient (or patient-day) holding a third of all rows still ships
 at most ``order * (order + 1)`` rows per map task.  Everything per patient is
 then one bounded ``collect_list`` (<= 42 structs).  The count table over full
-sequences has at most 2^0 + ... + 2^order keys (127 for 0/1 flags), so it is
-broadcast as a single map-valued row.
+sequences has at most 2^0 + ... + 2^order keys (127 for 0/1 flags), so it
+enters the per-patient projection as one map-valued scalar subquery.
 """
 
 from __future__ import annotations
@@ -203,11 +203,10 @@ def sequence_probabilities(seqs: DataFrame, full_col: str = "full",
                            history_col: str = "history") -> DataFrame:
     """M4–M6: (sequence, prob) for every distinct history (prob null when
     neither the direct nor the backed-off pair was counted)."""
-    m = count_map(sequence_counts(seqs, full_col))
+    m = count_map(sequence_counts(seqs, full_col)).scalar()
     hs = (seqs.where(F.col(history_col).isNotNull())
           .select(F.col(history_col).alias("sequence")).distinct())
-    return (hs.crossJoin(F.broadcast(m))
-            .select("sequence", probability_expr("sequence", "_m").alias("prob")))
+    return hs.select("sequence", probability_expr("sequence", m).alias("prob"))
 
 
 def no_history_marginal(seqs: DataFrame, full_col: str = "full") -> DataFrame:
@@ -226,10 +225,10 @@ def markov_probability(df: DataFrame, event: str = DNA, patient: str = PATIENT,
     patients with a history; ``event`` is null when not estimable."""
     s = patient_sequences(df, {event: "e"}, patient=patient, date=date,
                           tiebreak=tiebreak, order=order)
-    m = count_map(sequence_counts(s, "full_e"))
-    return (s.where(F.col("history_e").isNotNull()).crossJoin(F.broadcast(m))
+    m = count_map(sequence_counts(s, "full_e")).scalar()
+    return (s.where(F.col("history_e").isNotNull())
             .select(patient, F.col("history_e").alias("sequence"),
-                    probability_expr("history_e", "_m").alias("event")))
+                    probability_expr("history_e", m).alias("event")))
 
 
 def pivot_events(df: DataFrame, event: str = DNA, n: int = 6, patient: str = PATIENT,
