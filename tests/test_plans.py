@@ -115,3 +115,12 @@ def test_rank_hot_patient_day_small_blocks(spark):
         g = g.sort_values(["nul", "d", "appt_id"], ascending=[True, False, True])
         for k, aid in enumerate(g.appt_id, start=1):
             assert got[aid] == k
+
+
+def test_no_cross_joins_in_core_plans(spark):
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ("g1_patient_features", "m4_sequence_probability", "m8_markov_probability",
+                 "a6_recent_count", "d3_down_sample", "x4_trial_outcome"):
+        txt = formatted(qs[name](spark, SF))
+        assert "NestedLoopJoin" not in txt and "CartesianProduct" not in txt, name
