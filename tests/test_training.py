@@ -33,3 +33,14 @@ def test_run_many_writes_reads_and_averages(spark, tmp_path):
     again, _, _ = run_many(table, runs=1, p=BoostParams(rounds=4, folds=2, depth=3),
                            date="2024-05-14")
     assert again[0].metrics.drop("date").collect() == results[0].metrics.drop("date").collect()
+
+
+def test_full_flow_small(spark, tmp_path):
+    from apptflow.plans.flow import full_flow
+    res = full_flow(appointments_from_orders(spark, SF), str(tmp_path / "flow"), runs=1,
+                    params=BoostParams(rounds=3, folds=2, depth=2), min_count=50)
+    assert res["features"].count() == 150
+    assert res["runs"].count() == 1 and res["mean_metrics"].count() == 1
+    assert sum(r["count"] for r in res["last_confusion"].collect()) == res["results"][0].scored.count()
+    s = res["shap_summary"].collect()
+    assert 0 < len(s) <= 25
