@@ -26,8 +26,6 @@ from ..schemas import (CANCEL, CLINIC, DATE, DISPLAY_NAMES, DNA, ID_COLUMNS,
 from .rates import clinic_rates_from_stats, clinic_stats, rates_from_stats, recent_count
 from .sequences import count_map, patient_sequences, probability_expr, sequence_counts
 
-DERIVED = ["dna_markov", "cancel_markov", "clinic_prop", "three_mo_count", "multi_day"]
-
 
 def latest_rows(df: DataFrame, patient: str = PATIENT, date: str = DATE,
                 tiebreak: str = TIEBREAK) -> DataFrame:
@@ -118,11 +116,6 @@ def model_table(features: DataFrame, label: str = DNA, prune: bool = True,
     return out
 
 
-def feature_columns(table: DataFrame, label: str = DNA) -> list[str]:
-    """Numeric feature columns of a model table (everything but the label)."""
-    return [c for c in table.columns if c != label]
-
-
 def null_profile(df: DataFrame) -> DataFrame:
     """P10: null count of every column, one aggregate, one row."""
     return df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c)

@@ -89,9 +89,3 @@ METRICS_SCHEMA = T.StructType(
     [T.StructField(n, T.DoubleType(), True) for n in METRIC_NAMES]
     + [T.StructField("date", T.DateType(), True)]
 )
-
-# Columns an appointment table may carry that become model features.
-FEATURE_SOURCE_COLUMNS = [c for c in DISPLAY_NAMES
-                          if c not in ("dna_markov", "cancel_markov",
-                                       "clinic_prop", "three_mo_count",
-                                       "multi_day")]
