@@ -24,7 +24,8 @@ def read_appointments(spark: SparkSession, path: str, fmt: str = "csv",
     """Scan an appointment file with a declared schema (no inference)."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+        # default date parsing keeps the date part of date-time text too
+        return reader.option("header", True).csv(path)
     return reader.format(fmt).load(path)
 
 

@@ -14,14 +14,14 @@ def test_csv_scan_declared_schema(spark, tmp_path):
     vals = {"appt_id": "1", "patient_id": "p1", "clinic": "Ortho", "appointment_dt": "2024-01-05",
             "dna_flag": "1", "cancel_flag": "0", "age": "54.5"}
     lines.append(",".join(vals.get(c, "") for c in cols))
-    vals.update(appt_id="2", appointment_dt="2024-02-05", dna_flag="0")
+    vals.update(appt_id="2", appointment_dt="2024-02-05 14:30:00", dna_flag="0")
     lines.append(",".join(vals.get(c, "") for c in cols))
     p.write_text("\n".join(lines) + "\n")
     df = read_appointments(spark, str(p))
     assert df.schema == APPOINTMENT_SCHEMA or [f.name for f in df.schema] == cols
     rows = df.orderBy("appt_id").collect()
     assert rows[0].appointment_dt == dt.date(2024, 1, 5) and rows[0].age == 54.5
-    assert rows[0].hospital is None
+    assert rows[0].hospital is None and rows[1].appointment_dt == dt.date(2024, 2, 5)
     f = patient_features(df, min_count=1).collect()
     assert len(f) == 1 and f[0].appt_id == 2
 
