@@ -124,3 +124,13 @@ def test_no_cross_joins_in_core_plans(spark):
                  "a6_recent_count", "d3_down_sample", "x4_trial_outcome"):
         txt = formatted(qs[name](spark, SF))
         assert "NestedLoopJoin" not in txt and "CartesianProduct" not in txt, name
+
+
+def test_latest_and_newest_rows_prelimit(spark):
+    from apptflow.operators.features import latest_rows
+    a = appointments_from_orders(spark, SF)
+    for df in (latest_rows(a), S.newest_rows(a, 6)):
+        body = formatted(df).split("\n\n")[0]
+        order = [ln.strip().lstrip("+-: ") for ln in body.splitlines()
+                 if "WindowGroupLimit" in ln or ("Exchange" in ln and "Broadcast" not in ln)]
+        assert order[-1].startswith("WindowGroupLimit") and order[-2].startswith("Exchange")
