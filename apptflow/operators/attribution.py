@@ -194,6 +194,18 @@ def shap_summary(values: DataFrame, top_n: int = 25) -> DataFrame:
         .orderBy(F.desc("mean_abs_attribution"), F.asc("feature")).limit(top_n))
 
 
+def shap_plot_data(values: DataFrame, top_n: int = 25) -> DataFrame:
+    """Points of the summary plot for the top features: attribution and
+    the feature value scaled to [0, 1] within its feature (the colour)."""
+    top = shap_summary(values, top_n).select("feature", "mean_abs_attribution")
+    rng = values.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    pts = values.join(top, "feature").join(rng, "feature")   # both: one row per feature
+    scaled = F.when(F.col("_hi") > F.col("_lo"),
+                    (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return pts.select(*[c for c in values.columns], "mean_abs_attribution",
+                      scaled.alias("value_scaled"))
+
+
 def gain_importance(model, names: list[str]) -> list[tuple[str, float]]:
     """MLlib's impurity-gain importances with feature names (small list)."""
     imp = model.featureImportances.toArray()

@@ -17,7 +17,8 @@ import argparse
 
 from pyspark.sql import DataFrame
 
-from ..operators.attribution import gain_importance, shap_summary, shap_values
+from ..operators.attribution import (gain_importance, shap_plot_data, shap_summary,
+                                    shap_values)
 from ..operators.features import model_table, null_profile, patient_features
 from ..operators.metrics import cross_tab
 from ..operators.model import BoostParams
@@ -42,6 +43,7 @@ def full_flow(appts: DataFrame, out_path: str | None = None, runs: int = 25,
         "last_confusion": cross_tab(last.scored, "pred", "obs"),
         "last_metrics": last.metrics,
         "shap_summary": shap_summary(vals, top_n),
+        "shap_plot_data": shap_plot_data(vals, top_n),
         "shap_base_value": base,
         "gain_importance": gain_importance(last.model, last.feature_names),
         "results": results,
