@@ -7,11 +7,12 @@ latest row's own day), so attaching to the latest row only gives the same
 table while joining patient-level tables instead of the appointment table.
 
 Shuffles: one scan + partial aggregate by clinic (rates, clinic rates, newest
-date), one patient-keyed pass for sequences / latest row / same-day flag, one
-patient-keyed partial aggregate for the recent count.  The clinic table and
-the one-row scalar table are small by construction (one row per clinic / one
-row); the clinic join is left to AQE, which broadcasts it only after measuring
-its size.
+date); the sequence pass (the only full shuffle, five narrow columns) for
+sequences and the same-day flag; a rank-1 pass for the latest row, pre-limited
+map-side to one row per patient per task; a partial aggregate for the recent
+count.  One-row values (rates, count maps) enter as scalar subqueries; the
+clinic join is left to AQE, which broadcasts it only after measuring its size;
+the remaining joins are between patient-level tables.
 """
 
 from __future__ import annotations
