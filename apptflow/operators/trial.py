@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..schemas import DATE, DNA, TIEBREAK
 from .sampling import half_split
 
+# Abramowitz & Stegun 7.1.26 coefficients for erf (|error| <= 1.5e-7).
+ERF_P = 0.3275911
+ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+
 # Reminder offsets in days before the appointment.
 INTERVENTION_DAYS = [5, 3]
 CONTROL_DAYS = [5]
@@ -40,6 +44,17 @@ def reminder_schedule(df: DataFrame, key: str = TIEBREAK, date: str = DATE,
             .withColumn("reminder_dt", F.date_sub(F.col(date), F.col("days_before"))))
 
 
+def two_sided_p(z) -> "F.Column":
+    """P(|Z| >= |z|) for a standard normal: erfc(|z| / sqrt 2), rounded to 6
+    decimals (the approximation is good to 1.5e-7)."""
+    x = F.abs(z) / F.lit(2 ** 0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * x)
+    poly = F.lit(0.0)
+    for a in reversed(ERF_A):
+        poly = (poly + F.lit(a)) * t
+    return F.round(poly * F.exp(-x * x), 6)
+
+
 def trial_outcome(df: DataFrame, band: str = "band", arm: str = "arm",
                   outcome: str = DNA) -> DataFrame:
     """Per band, miss rate per arm, control - intervention, pooled z.
@@ -64,4 +79,5 @@ def trial_outcome(df: DataFrame, band: str = "band", arm: str = "arm",
         band, "n_intervention", "miss_intervention", "n_control", "miss_control",
         p1.alias("rate_intervention"), p0.alias("rate_control"),
         (p0 - p1).alias("abs_reduction"),
-        F.try_divide(p0 - p1, se).alias("z"))
+        F.try_divide(p0 - p1, se).alias("z"),
+        two_sided_p(F.try_divide(p0 - p1, se)).alias("p_value"))

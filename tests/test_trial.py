@@ -26,3 +26,11 @@ def test_bands_arms_reminders_outcome(spark):
     z = (p0 - p1) / math.sqrt(pp * (1 - pp) * (1 / 20 + 1 / 20)) if 0 < pp < 1 else None
     assert h.abs_reduction == p0 - p1
     assert (h.z is None and z is None) or abs(h.z - z) < 1e-12
+
+
+def test_two_sided_p_value(spark):
+    zs = [0.0, 0.5, 1.0, 1.959964, 2.5, -3.0, 4.0]
+    df = spark.createDataFrame([(z,) for z in zs], "z double")
+    got = [r.p for r in df.select(TR.two_sided_p(df.z).alias("p")).collect()]
+    for z, p in zip(zs, got):
+        assert abs(p - math.erfc(abs(z) / math.sqrt(2))) < 1e-6
