@@ -103,8 +103,9 @@ def sequence_candidates(df: DataFrame, patient: str = PATIENT, date: str = DATE,
     """Bounded set of rows per patient that determines all sequence outputs."""
     base = df.select(patient, date, tiebreak, *cols)
     w_day = Window.partitionBy(patient, date).orderBy(F.col(tiebreak).asc())
+    # >= 2 per day so "more than one row on the newest day" stays exact
     per_day = (base.withColumn("_rd", F.row_number().over(w_day))
-               .where(F.col("_rd") <= order).drop("_rd"))
+               .where(F.col("_rd") <= max(order, 2)).drop("_rd"))
     w_pat = Window.partitionBy(patient).orderBy(F.col(date).desc_nulls_first())
     return (per_day.withColumn("_dr", F.dense_rank().over(w_pat))
             .where(F.col("_dr") <= order + 1).drop("_dr"))
