@@ -87,14 +87,15 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
                      F.coalesce(p_dna, rate).alias("dna_markov"),
                      F.coalesce(p_cancel, cancel_rate).alias("cancel_markov"),
                      F.col("multi_day"), rate.alias("rate")))
+    # patient-keyed joins first (all three sides are partitioned by patient),
+    # the clinic lookup last (AQE broadcasts it when measured small)
     base = join_null_safe(latest_rows(appts, patient, date, tiebreak), probs, [patient])
+    base = (join_null_safe(base, recent, [patient], "left")
+            .withColumn("three_mo_count", F.coalesce(F.col("three_mo_count"), F.lit(0))))
     cr = crates.withColumnRenamed(clinic, "_clinic")
-    with_clinic = (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
-                   .withColumn("clinic_prop", F.coalesce(F.col("clinic_prop"), F.col("rate")))
-                   .drop("_clinic", "rate"))
-    out = (join_null_safe(with_clinic, recent, [patient], "left")
-           .withColumn("three_mo_count", F.coalesce(F.col("three_mo_count"), F.lit(0))))
-    return out
+    return (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
+            .withColumn("clinic_prop", F.coalesce(F.col("clinic_prop"), F.col("rate")))
+            .drop("_clinic", "rate"))
 
 
 def _marginal(m):
