@@ -27,8 +27,8 @@ def drop_last_char(s) -> Column:
 
 
 def ratio(num, den) -> Column:
-    """double ratio of two counts."""
-    return col(num).cast("double") / col(den).cast("double")
+    """double ratio of two counts (null, not an error, for 0/0)."""
+    return F.try_divide(col(num).cast("double"), col(den).cast("double"))
 
 
 def window_start(max_date, days: int) -> Column:

@@ -201,7 +201,7 @@ def shap_plot_data(values: DataFrame, top_n: int = 25) -> DataFrame:
     rng = values.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     pts = values.join(top, "feature").join(rng, "feature")   # both: one row per feature
     scaled = F.when(F.col("_hi") > F.col("_lo"),
-                    (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+                    F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
     return pts.select(*[c for c in values.columns], "mean_abs_attribution",
                       scaled.alias("value_scaled"))
 

@@ -101,7 +101,8 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
 def _marginal(m):
     c1 = F.try_element_at(m, F.lit("1"))
     c0 = F.try_element_at(m, F.lit("0"))
-    return F.when(c1.isNotNull() & c0.isNotNull(), c1.cast("double") / (c0 + c1).cast("double"))
+    return F.when(c1.isNotNull() & c0.isNotNull(),
+                  F.try_divide(c1.cast("double"), (c0 + c1).cast("double")))
 
 
 def model_table(features: DataFrame, label: str = DNA, prune: bool = True,

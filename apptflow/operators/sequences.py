@@ -194,8 +194,9 @@ def probability_expr(history: Column | str, counts_map: Column | str) -> Column:
     c1, c0 = F.try_element_at(m, k1), F.try_element_at(m, k0)
     b1 = F.try_element_at(m, drop_last_char(k1))
     b0 = F.try_element_at(m, drop_last_char(k0))
-    direct = c1.cast("double") / (c0 + c1).cast("double")
-    backed = b1.cast("double") / (b0 + b1).cast("double")
+    # try_divide: Spark may evaluate CASE branches eagerly under ANSI mode
+    direct = F.try_divide(c1.cast("double"), (c0 + c1).cast("double"))
+    backed = F.try_divide(b1.cast("double"), (b0 + b1).cast("double"))
     return (F.when(c1.isNotNull() & c0.isNotNull(), direct)
             .when(b1.isNotNull() & b0.isNotNull(), backed))
 
@@ -215,7 +216,7 @@ def no_history_marginal(seqs: DataFrame, full_col: str = "full") -> DataFrame:
     ones = F.count(F.when(F.col(full_col) == "1", 1))
     zeros = F.count(F.when(F.col(full_col) == "0", 1))
     return seqs.agg(F.when((ones > 0) & (zeros > 0),
-                           ones.cast("double") / (zeros + ones).cast("double"))
+                           F.try_divide(ones.cast("double"), (zeros + ones).cast("double")))
                     .alias("no_history_prob"))
 
 

@@ -70,3 +70,15 @@ def test_share_within(spark):
     assert got == {("x", 1): 0.25, ("x", 3): 0.75, ("y", 2): 1.0}
     tot = {r.c: r.prop for r in R.share_within(df, "c").collect()}
     assert tot == {1: 1 / 6, 3: 0.5, 2: 1 / 3}
+
+
+def test_empty_input_gives_null_rates(spark):
+    from tests.fixtures import APPT as A
+    r = R.event_rate(spark.createDataFrame([], A)).first()
+    assert r.rate is None and r.cancel_rate is None
+
+
+def test_no_history_marginal_without_short_sequences(spark):
+    from apptflow.operators import sequences as S
+    df = spark.createDataFrame([("p", "0101")], "patient_id string, sequence string")
+    assert S.no_history_marginal(df, "sequence").first()[0] is None
