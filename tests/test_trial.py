@@ -34,3 +34,22 @@ def test_two_sided_p_value(spark):
     got = [r.p for r in df.select(TR.two_sided_p(df.z).alias("p")).collect()]
     for z, p in zip(zs, got):
         assert abs(p - math.erfc(abs(z) / math.sqrt(2))) < 1e-6
+
+
+def test_run_trial_plan(spark):
+    from pyspark.sql import functions as F
+
+    from apptflow.operators.features import patient_features
+    from apptflow.plans.trial import run_trial
+    from apptflow.sources import appointments_from_orders
+    a = appointments_from_orders(spark, "/root/testdata/sf0.001")
+    probs = patient_features(a, min_count=50).select(
+        "patient_id", F.col("dna_markov").alias("probability"))
+    arms, rem, out = run_trial(a, probs, cut=0.4, seed=7)
+    assert arms.count() == a.count()
+    c = {(r.band, r.arm): r["count"] for r in arms.groupBy("band", "arm").count().collect()}
+    for band in {b for b, _ in c}:
+        assert abs(c.get((band, "intervention"), 0) - c.get((band, "control"), 0)) <= 1
+    n_iv = sum(v for (b, arm), v in c.items() if arm == "intervention")
+    assert rem.count() == 2 * n_iv + (a.count() - n_iv)
+    assert {r.band for r in out.collect()} == {b for b, _ in c}
