@@ -17,8 +17,8 @@ import argparse
 
 from pyspark.sql import DataFrame
 
-from ..operators.attribution import (gain_importance, shap_plot_data, shap_summary,
-                                    shap_values)
+from ..operators.attribution import (gain_importance, permutation_importance,
+                                    shap_plot_data, shap_summary, shap_values)
 from ..operators.features import model_table, null_profile, patient_features
 from ..operators.metrics import cross_tab
 from ..operators.model import BoostParams
@@ -46,6 +46,9 @@ def full_flow(appts: DataFrame, out_path: str | None = None, runs: int = 25,
         "shap_plot_data": shap_plot_data(vals, top_n),
         "shap_base_value": base,
         "gain_importance": gain_importance(last.model, last.feature_names),
+        "permutation_importance": permutation_importance(
+            last.model, last.scored.select("patient_id", "label", "features"),
+            last.feature_names, "patient_id", last.rounds),
         "results": results,
     }
 
