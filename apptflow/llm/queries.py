@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import decontam, jaccard, line_dedup, quality
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(_table(spark, sf, "documents"), k=4, num=85, den=100)
 
 
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf, "documents")).select("doc_id", "text", "lines_removed")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.decontaminate(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries():
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 

@@ -74,12 +74,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]:off[-1]], off - off[0]
 
 
-def chunk_rows(offsets: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunk_rows(offsets: np.ndarray, max_bytes: int = CHUNK_BYTES,
+               max_rows: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of at most ``max_bytes`` of text (a longer text alone)."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + max_bytes, side="right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + max_rows, n)
         yield a, b
         a = b
 
@@ -166,23 +167,19 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     sequence.  Returns (hashes, offsets by text)."""
     n = len(first) - 1
     count = np.diff(first)
+    size = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    out = np.concatenate([[0], np.cumsum(size)])
+    row = np.repeat(np.arange(n, dtype=np.int64), size)
     rolled = run_hash(h, k)
-    row = np.repeat(np.arange(n, dtype=np.int64), np.maximum(count - k + 1, 0))
-    at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(count - k + 1, 0)) - np.maximum(count - k + 1, 0),
-                                         np.maximum(count - k + 1, 0)) + np.repeat(first[:-1], np.maximum(count - k + 1, 0))
-    val = rolled[at] if len(at) else np.zeros(0, np.uint64)
-    short = np.flatnonzero((count > 0) & (count < k))
-    if len(short):
-        sv = np.array([run_hash(h[first[i]:first[i + 1]], int(count[i]))[0] ^ _U(int(count[i])) for i in short],
-                      dtype=np.uint64)
-        row, val = np.concatenate([row, short]), np.concatenate([val, sv])
-    o = np.argsort(val, kind="stable")
-    o = o[np.argsort(row[o], kind="stable")]
-    row, val = row[o], val[o]
+    at = np.arange(out[-1]) + np.repeat(first[:-1] - out[:-1], size)
+    val = rolled[np.minimum(at, len(rolled) - 1)] if len(rolled) else np.zeros(out[-1], np.uint64)
+    for i in np.flatnonzero((count > 0) & (count < k)):
+        val[out[i]] = run_hash(h[first[i]:first[i + 1]], int(count[i]))[0] ^ _U(int(count[i]))
+    for i in np.flatnonzero(size > 1):
+        val[out[i]:out[i + 1]].sort()
     keep = np.ones(len(val), dtype=bool)
     keep[1:] = (val[1:] != val[:-1]) | (row[1:] != row[:-1])
-    row, val = row[keep], val[keep]
-    return val, np.searchsorted(row, np.arange(n + 1)).astype(np.int64)
+    return val[keep], np.concatenate([[0], np.cumsum(keep)])[out].astype(np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

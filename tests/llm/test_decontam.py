@@ -1,0 +1,74 @@
+"""Decontamination against word-by-word search."""
+
+import random
+import re
+
+import pytest
+
+from apptflow.llm import decontam as D
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def low(s):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in s or "")
+
+
+def brute(docs, items, window):
+    pats = {}
+    for i, t in items:
+        w = re.findall(WORD, low(t))
+        for j in range(max(1, len(w) - window + 1)) if w else ():
+            pats.setdefault(tuple(w[j:j + window]), set()).add(str(i))
+    out = []
+    for d, t in docs:
+        w = re.findall(WORD, low(t))
+        hit, ids = set(), set()
+        for p, who in pats.items():
+            for j in range(len(w) - len(p) + 1):
+                if tuple(w[j:j + len(p)]) == p:
+                    hit.update(range(j, j + len(p)))
+                    ids |= who
+        out.append((d, len(w), len(hit), sorted(ids)))
+    return out
+
+
+def data(seed):
+    rng = random.Random(seed)
+    v = ["a", "B", "été", "w1", "日本", "x", "Yy"]
+    sep = [" ", "\n", ", ", "--", "_", "\x7f"]
+
+    def text(n):
+        return "".join(rng.choice(v) + rng.choice(sep) for _ in range(n))
+    items = [(i, text(rng.choice([0, 1, 2, 3, 4, 9]))) for i in range(12)] + [(12, None), (3, "again here")]
+    docs = [(d, text(rng.choice([0, 1, 2, 5, 30, 80]))) for d in range(60)] + [(100, None), (101, ""), (102, "a" * 9000)]
+    docs += [(None, items[5][1]), (4, text(9)), (4, text(9))]
+    docs += [(200, text(3) + (items[7][1] or "") + text(2))]
+    return docs, items
+
+
+@pytest.mark.parametrize("seed,window,size", [(1, 3, 1 << 20), (2, 4, 12), (3, 1, 1 << 20)])
+def test_equals_brute_force(spark, seed, window, size):
+    docs, items = data(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'c' as items", "doc_id", "text", "1 as n_hit")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = D.decontaminate(df, it, window=window, group_bytes=size).collect()
+
+    def key(r):
+        return (r[0] is None, r[0] or 0, r[1:])
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got], key=key) == \
+        sorted(brute(docs, items, window), key=key)
+    texts = {}
+    for d, t in docs:
+        texts.setdefault(d, []).append(t)
+    for r in got:
+        if len(texts[r.doc_id]) == 1 and r.spans:
+            t = texts[r.doc_id][0]
+            assert sum(len(re.findall(WORD, low(t[s.start:s.end]))) for s in r.spans) == r.n_hit
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [tuple(r) for r in D.decontaminate(docs, none).collect()] == [(1, 2, 0, [], [])]
+    assert D.decontaminate(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
