@@ -51,7 +51,7 @@ def build_filter(keys: np.ndarray, tries: int = 64) -> tuple[int, int, int, np.n
     load = max(1.125, 0.875 + 0.25 * math.log(1e6) / math.log(max(n, 2)))
     segments = max(1, math.ceil(n * load / segment) - 2)
     for seed in range(tries):
-        h = mix(keys + _U(0x9E3779B97F4A7C15) * _U(seed + 1))
+        h = mix(keys + _U(0x9E3779B97F4A7C15 * (seed + 1) % 2**64))
         slots = _slots(h, segment, segments)
         size = (segments + 2) * segment
         count = np.bincount(slots.ravel(), minlength=size)
@@ -88,7 +88,7 @@ def _fingerprint(h: np.ndarray) -> np.ndarray:
 
 def may_hold(keys: np.ndarray, seed: int, segment: int, segments: int, table: np.ndarray) -> np.ndarray:
     """False: certainly not among the filter's keys."""
-    h = mix(keys + _U(0x9E3779B97F4A7C15) * _U(seed + 1))
+    h = mix(keys + _U(0x9E3779B97F4A7C15 * (seed + 1) % 2**64))
     three = table[_slots(h, segment, segments)]
     return (three[0] ^ three[1] ^ three[2]) == _fingerprint(h)
 

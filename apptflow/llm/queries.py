@@ -5,17 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, line_dedup, quality
+from . import bpe, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, quality, secrets, token_counts
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """A public vocabulary file, by the package that holds them (a parameter of
+    the operators)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op3_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
+def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of odd crc32 are the snapshot, the others the incoming batch."""
+    old = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    return exact_dedup.exact_dedup(_table(spark, sf, "documents"), old)
+
+
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages")
+    return html.extract_text(pages, keep=("url",)).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_lm.lm_scores(_table(spark, sf, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    got = bpe.encode_documents(_table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"))
+    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(_table(spark, sf, "documents"), k=4, num=85, den=100)
 
@@ -34,12 +73,47 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_secret_scans": op3_secret_scans,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_html_extraction": op5_html_extraction,
+        "op6_lm_scoring": op6_lm_scoring,
+        "op7_bpe": op7_bpe,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
+# Equal texts are identical after each run of white space became one space.
+_OP4_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY s) AS kept, sha256(s) AS text_sha256
+FROM t"""
+
+# Windows of ten item words (all words of a shorter item) against the documents'
+# windows of as many words; a hit word is inside any occurrence.
+_OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'),
+                  '[^ ]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(regexp_replace(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'),
+                  '[^ ]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+       FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, dw.n, i, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+q AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN q USING (doc_id)"""
+
+
 def oracle_sql():
-    return {}
+    return {"op4_exact_dedup": _OP4_SQL, "op10_benchmark_decontamination": _OP10_SQL}

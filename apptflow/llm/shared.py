@@ -6,6 +6,7 @@ is made only where that is unset on a ``local[...]`` master (tests).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -56,24 +57,31 @@ def _local(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
-def put_file(folder: str, name: str, data) -> None:
-    """Write one file whole: under a name of its own, then renamed, so a task
-    that is run again replaces equal bytes and no reader sees half a file."""
-    path = _local(folder)
+@contextlib.contextmanager
+def stream_file(folder: str, name: str):
+    """An open file of the folder, for writing.  It is written under a name of its
+    own and renamed when whole, so a task that runs again replaces equal bytes
+    and no reader sees half a file."""
+    path, own = _local(folder), f".{name}.{uuid.uuid4().hex}"
     if path is not None:
         os.makedirs(path, exist_ok=True)
-        tmp = os.path.join(path, f".{name}.{uuid.uuid4().hex}")
-        with open(tmp, "wb") as f:
-            f.write(memoryview(data).cast("B"))
-        os.replace(tmp, os.path.join(path, name))
+        with open(os.path.join(path, own), "wb", buffering=1 << 20) as f:
+            yield f
+        os.replace(os.path.join(path, own), os.path.join(path, name))
         return
     from pyarrow import fs
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    tmp = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(tmp) as f:
-        f.write(memoryview(data).cast("B"))
-    store.move(tmp, f"{path}/{name}")
+    with store.open_output_stream(f"{path}/{own}") as f:
+        yield f
+    store.move(f"{path}/{own}", f"{path}/{name}")
+
+
+def put_file(folder: str, name: str, data) -> None:
+    """Write one file whole."""
+    with stream_file(folder, name) as f:
+        if len(data):
+            f.write(memoryview(data).cast("B"))
 
 
 def read_range(folder: str, name: str, start: int, size: int) -> bytes:

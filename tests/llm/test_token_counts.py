@@ -1,0 +1,50 @@
+"""Separator scan against plain counting."""
+
+import random
+
+import numpy as np
+import pytest
+
+from apptflow.llm import token_counts as C
+from apptflow.llm.shared import drop_folder, new_folder, put_file
+
+P = pytest.importorskip("public_tokenizers")
+
+
+@pytest.mark.parametrize("block_bytes", [2, 6, 64, 1 << 20])
+def test_scan_any_block_size(spark, block_bytes):
+    rng = random.Random(block_bytes)
+    folder = new_folder(spark, "t")
+    want = {}
+    for i in range(8):
+        docs = [[rng.randrange(9) for _ in range(rng.choice([0, 0, 1, 5, 40]))] for _ in range(rng.randint(0, 9))]
+        tail = [rng.randrange(9) for _ in range(rng.choice([0, 3]))]
+        data = [x for d in docs for x in (*d, 9)] + tail
+        put_file(folder, f"f{i}.bin", np.array(data, "<u2"))
+        at = 0
+        for j, d in enumerate(docs + ([tail] if tail else [])):
+            want[f"f{i}.bin", j] = (at, len(d))
+            at += len(d) + 1
+    got = {(r.file, r.doc_no): (r.start, r.n_tokens)
+           for r in C.scan_separators(C.list_files(spark, folder), folder, 9, block_bytes=block_bytes).collect()}
+    drop_folder(spark, folder)
+    assert got == want
+
+
+def test_half_a_token_fails(spark):
+    folder = new_folder(spark, "t")
+    put_file(folder, "a", b"\x01\x02\x03")
+    with pytest.raises(Exception, match="inside a token"):
+        C.scan_separators(C.list_files(spark, folder), folder, 9).collect()
+
+
+def test_counts_equal_the_tokenizer(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = [(i, t) for i, t in enumerate(["", None, "hello world", "é" * 500, "a b\n\nc   ", "<|endoftext|>", "x" * 20_000] * 5)]
+    rows += [(None, "no id"), (3, "again"), (3, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("'f' as file", "doc_id", "text", "1 as n_tokens")
+    enc = C.rank_encoding(path)
+    want = sorted((str(d), len(enc.encode_ordinary(t or ""))) for d, t in rows)
+    got = C.token_counts(df, path, block_bytes=512).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
+    assert C.token_counts(df.limit(0), path).count() == 0
