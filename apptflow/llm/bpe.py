@@ -326,8 +326,9 @@ def plain_text(ids: bytes, tokens: dict[int, str]) -> str:
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     lexicon_words: int = 50_000, chunk: int = 256) -> DataFrame:
-    """One row per row of ``docs``: (id_col, ids, decoded).
+                     lexicon_words: int = 50_000, chunk: int = 256, decoded: bool = True) -> DataFrame:
+    """One row per row of ``docs``: (id_col, ids, decoded); without ``decoded``:
+    (id_col, n_tokens, tokens), the ids as an array of integers.
 
     ``ids``: the text's token ids as little-endian unsigned 32-bit integers,
     without special tokens added; ``decoded``: the token strings joined by one
@@ -345,10 +346,16 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
             for lo in range(0, b.num_rows, chunk):
                 part = b.slice(lo, chunk)
                 ids = enc.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()),
-                     pa.array([decode(x, v.tokens) for x in ids], pa.string())], ["id", "ids", "decoded"])
-
-    return src.mapInArrow(run, T.StructType([
-        T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()),
-        T.StructField("decoded", T.StringType())])).withColumnRenamed("id", id_col)
+                if decoded:
+                    out = [pa.array(ids, pa.binary()), pa.array([decode(x, v.tokens) for x in ids], pa.string())]
+                else:
+                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                    at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                    out = [pa.array(n), pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *out], names)
+
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())] if decoded else \
+        [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
+    names = ["id", *(f.name for f in fields)]
+    return src.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *fields])) \
+        .withColumnRenamed("id", id_col)

@@ -105,6 +105,34 @@ def matches_of(norms: list[str], automata) -> list[tuple[int, np.ndarray, set[st
     return out
 
 
+def _automata(shared, keep: int):
+    """The automata of the groups, one after the other."""
+    for key, g in shared:
+        if key not in _BUILT:
+            if len(_BUILT) >= keep:
+                _BUILT.clear()
+            _BUILT[key] = build(g.value)
+        if len(_BUILT[key]):
+            yield _BUILT[key]
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", window: int = 10, group_bytes: int = 2 << 20,
+                      keep: int = 2) -> DataFrame:
+    """``docs`` without the rows that :func:`decontaminate` finds hit words in:
+    the same columns and rules, filtered in the scan."""
+    sc = docs.sparkSession.sparkContext
+    shared = [(uuid.uuid4().hex, sc.broadcast(g)) for g in item_groups(items, item_col, item_text_col, window, group_bytes)]
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            found = matches_of([normalised(t) for t in b.column(at).cast(pa.string()).to_pylist()], _automata(shared, keep))
+            yield b.filter(pa.array([not len(ranges) for _, ranges, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
                   group_bytes: int = 2 << 20, keep: int = 2) -> DataFrame:
@@ -122,19 +150,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        def automata():
-            for key, g in shared:
-                if key not in _BUILT:
-                    if len(_BUILT) >= keep:
-                        _BUILT.clear()
-                    _BUILT[key] = build(g.value)
-                if len(_BUILT[key]):
-                    yield _BUILT[key]
-
         for b in batches:
             n_words, n_hit, found, spans = [], [], [], []
             texts = b.column(1).to_pylist()
-            for text, (n, ranges, ids) in zip(texts, matches_of([normalised(t) for t in texts], automata())):
+            for text, (n, ranges, ids) in zip(texts, matches_of([normalised(t) for t in texts], _automata(shared, keep))):
                 n_words.append(n)
                 n_hit.append(int((ranges[:, 1] - ranges[:, 0] + 1).sum()))
                 found.append(sorted(ids))

@@ -222,3 +222,25 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     s = score(stats, model)
     return s.select(F.col("id").alias(id_col), held.alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           label_col: str = "quality", threshold: float = 0.7, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
+    """``docs`` without the rows that :func:`classify` predicts as 0: the same
+    columns, rows and rules, scored in the scan so that no text is shuffled."""
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
+    if docs.isEmpty():
+        return docs
+    known = labels.where(F.col(label_col).isin(0, 1))
+    model = learn(document_statistics(docs, id_col, text_col).where(~held), known, id_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            buf, off = text_buffers(b.column(at).cast(pa.string()))
+            odds = [model.log_odds(statistics(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])) for lo, hi in chunk_rows(off)]
+            if odds:
+                keep = 1 / (1 + np.exp(-np.clip(np.concatenate(odds), -700, 700))) >= threshold
+                yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """A public vocabulary file, by the package that holds them (a parameter of
     the operators)."""
     import public_tokenizers
@@ -20,7 +20,7 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return token_counts.token_counts(_table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    got = bpe.encode_documents(_table(spark, sf, "documents"), _vocabulary("word_bpe_49k.json"))
+    got = bpe.encode_documents(_table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
     return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
