@@ -12,8 +12,8 @@ How it is dealt out
     * Equal sets are one class; only one document of a class goes on.
     * R-trees are built per block: the classes that share a shingle of their
       prefix (the n - ceil(t n) + 1 first shingles of a set, in one fixed order;
-      two sets that link share one of these).  Any order is exact; frequent
-      shingles are put last, which keeps blocks small.
+      two sets that link share one of these).  Any order is exact; the rarest
+      come first, and those that no other document holds make no block at all.
     * Blocks with the same members are merged by a hash of their members.
     * First every member is checked against the block's first member, and
       verified links are merged to components.  The R-trees then only look at
@@ -32,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, drop_folder, map_array, new_folder, put_file
 from .words import SPACE_WORDS, chunk_rows, mix, shingle_sets, signed, text_buffers, words
 
 LEAF = 32
@@ -52,13 +54,15 @@ def need_overlap(na, nb, num: int, den: int):
 
 
 def groups_of(n: int) -> int:
-    """Groups of a set of n shingles: about four shingles in each, a power of two."""
-    return 1 << max(4, (max(n, 1) // 4).bit_length())
+    """Groups of a set of n shingles, a power of two: 8 to 16 shingles in each.
+    Unrelated sets of n then differ by about sqrt(n * groups) counts, a third of n,
+    while sets that link differ by less than a fifth."""
+    return 1 << max(4, (max(n, 1) // 16).bit_length())
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """Counts by group, at most 255: shingles are distinct and their hashes mixed,
-    four are expected, so the limit is never met (and is checked)."""
+    8 to 16 are expected, so the limit is never met (and is checked)."""
     g = groups_of(len(s))
     v = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
     if v.max(initial=0) > 255:
@@ -89,83 +93,158 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 # ------------------------------------------------------------- the operators
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, k: int,
-                      min_docs: int, most: int) -> np.ndarray:
-    """The ``most`` most frequent shingles found, sorted: counted over all
-    documents, in each task first (what is seen once in a chunk is let go).  They
-    only order the prefixes, so the bound on their number changes no result."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+# ------------------------------------------------- how frequent shingles are
 
-    def run(batches):
-        held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        size = 0
+def _segments(batches, column: int, k: int, size: int):
+    """A partition's documents in segments of at most ``size`` shingles (a longer
+    document alone): (ids, sets, offsets)."""
+    held: list = []
 
-        def merged():
-            v, c = np.concatenate(held[0]), np.concatenate(held[1])
-            u, inv = np.unique(v, return_inverse=True)
-            return u, np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
+    def joined():
+        ids = pa.concat_arrays([x[0] for x in held])
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held]))])
+        return ids, np.concatenate([x[1] for x in held]), at
 
-        for b in batches:
-            buf, off = text_buffers(b.column(1))
-            for lo, hi in chunk_rows(off):
-                h, _, _, first = words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], SPACE_WORDS)
-                u, c = np.unique(shingle_sets(h, first, k)[0], return_counts=True)
-                u, c = u[c > 1], c[c > 1]
-                held[0].append(u)
-                held[1].append(c)
-                size += len(u)
-                if size > 2_000_000:
-                    u, c = merged()
-                    u, c = u[c >= 4], c[c >= 4]
-                    held = [u], [c]
-                    size = len(u)
-        u, c = merged()
-        u, c = u[c >= 8], c[c >= 8]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(c)], ["token", "n"])
-
-    got = (src.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-           .where(F.col("n") >= min_docs).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow())
-    return np.sort(got.column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
-def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int,
-                  frequent: np.ndarray) -> DataFrame:
-    """(id, n, fp, prefix, heavy, vec): set size, fingerprint of the set, prefix
-    shingles (``heavy`` of them, the last ones, are frequent) and point."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(frequent)
+    n = 0
+    for b in batches:
+        buf, off = text_buffers(b.column(column))
+        for lo, hi in chunk_rows(off):
+            h, _, _, first = words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], SPACE_WORDS)
+            sets, at = shingle_sets(h, first, k)
+            if held and n + len(sets) > size:
+                yield joined()
+                held, n = [], 0
+            held.append((b.column(0).slice(lo, hi - lo), sets, at))
+            n += len(sets)
+    if held:
+        yield joined()
+
+
+def _short(sets: np.ndarray, bits: int) -> np.ndarray:
+    return sets >> np.uint64(64 - bits)
+
+
+def _packed(sorted_keys: np.ndarray) -> bytes:
+    """Differences of sorted keys by byte planes, which the shuffle compresses."""
+    d = np.diff(sorted_keys, prepend=np.uint64(0))
+    planes = d.view(np.uint8).reshape(-1, 8)
+    used = 8
+    while used > 1 and not planes[:, used - 1].any():
+        used -= 1
+    return bytes([used]) + np.ascontiguousarray(planes[:, :used].T).tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    used = int(raw[0])
+    planes = np.zeros(((len(raw) - 1) // used, 8), np.uint8)
+    planes[:, :used] = raw[1:].reshape(used, -1).T
+    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _checksum(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(keys)) if len(keys) else 0) >> 1
+
+
+def frequency_classes(docs: DataFrame, id_col: str, text_col: str, k: int, folder: str, shards: int, bits: int,
+                      segment: int) -> None:
+    """Write, for every segment of every partition of ``docs``, the class of each
+    of its distinct shingles: the logarithm of the number of documents that hold
+    it (0: only one).
+
+    A segment sends its sorted shingles (``bits`` of their hash) to shards by
+    range; a shard counts them over all documents and sends the classes back,
+    a byte for a shingle.  Nothing is gathered at one place."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shift = np.uint64(bits - (shards.bit_length() - 1))
+
+    def send(batches):
+        part = TaskContext.get().partitionId()
+        for j, (_, sets, _) in enumerate(_segments(batches, 1, k, segment)):
+            u, c = np.unique(_short(sets, bits), return_counts=True)
+            c = np.minimum(c, 65535).astype(np.uint16)
+            cut_at = np.searchsorted(u, np.arange(shards + 1, dtype=np.uint64) << shift)
+            full = [s for s in range(shards) if cut_at[s + 1] > cut_at[s]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array([part] * len(full), pa.int64()), pa.array([j] * len(full), pa.int64()),
+                 pa.array([_packed(u[cut_at[s]:cut_at[s + 1]] - (np.uint64(s) << shift)) for s in full], pa.binary()),
+                 pa.array([c[cut_at[s]:cut_at[s + 1]].tobytes() for s in full], pa.binary())],
+                ["shard", "part", "seg", "keys", "counts"])
+
+    def count(key, t):
+        keys = [_unpacked(x.as_buffer()) for x in t.column("keys")]
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("counts")])
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, weights=counts, minlength=len(u))
+        level = np.log2(total).astype(np.uint8)[inverse]
+        ends = np.cumsum([len(x) for x in keys])
+        return pa.table({"shard": t.column("shard"), "part": t.column("part"), "seg": t.column("seg"),
+                         "level": pa.array([x.tobytes() for x in np.split(level, ends[:-1])], pa.binary()),
+                         "sums": pa.array([_checksum(x + (np.uint64(key[0].as_py()) << shift)) for x in keys], pa.int64())})
+
+    def write(key, t):
+        t = t.sort_by("shard")
+        total = 0
+        for x in t.column("sums").to_pylist():
+            total ^= x
+        level = b"".join(t.column("level").to_pylist())
+        put_file(folder, f"{key[0].as_py()}-{key[1].as_py()}",
+                 np.array([total], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(level))
+        return pa.table({"n": [len(level)]})
+
+    (src.mapInArrow(send, "shard long, part long, seg long, keys binary, counts binary").groupBy("shard")
+     .applyInArrow(count, "shard long, part long, seg long, level binary, sums long").groupBy("part", "seg")
+     .applyInArrow(write, "n long").agg(F.sum("n")).collect())
+
+
+def _classes_of(folder: str, part: int, j: int, u: np.ndarray) -> np.ndarray:
+    if not len(u):
+        return np.zeros(0, np.uint8)
+    raw = map_array(folder, f"{part}-{j}", np.uint8).tobytes()
+    level = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=len(u) + 1), np.uint8)
+    if len(level) != len(u) or int(np.frombuffer(raw[:8], "<i8")[0]) != _checksum(u):
+        raise ValueError("the documents came in another order when read again; write them to a table first")
+    return level
+
+
+# ------------------------------------------------------------- the operator
+
+def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, folder: str, bits: int,
+                  segment: int, heavy_class: int) -> DataFrame:
+    """(id, n, fp, prefix, heavy, vec): set size, fingerprint of the set, those
+    shingles of its prefix that other documents hold too (``heavy`` of them, the
+    last ones, are held by 2**heavy_class or more), and the point."""
     idt = docs.schema[id_col].dataType
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def make(ids, sets, at):
-        freq = shared.value
-        is_freq = np.zeros(len(sets), dtype=bool)
-        if len(freq) and len(sets):
-            j = np.searchsorted(freq, sets)
-            j[j == len(freq)] = 0
-            is_freq = freq[j] == sets
-        n, fps, prefixes, heavy, vecs = np.diff(at), [], [], [], []
-        for i in range(len(n)):
-            s = sets[at[i]:at[i + 1]]
-            m = len(s)
-            p = m - -(-num * m // den) + 1 if m else 0
-            f = is_freq[at[i]:at[i + 1]]
-            light = s[~f][:p]
-            rest = s[f][:p - len(light)]
-            fps.append(_fingerprint(s))
-            prefixes.append(np.concatenate([light, rest]))
-            heavy.append(len(rest))
-            vecs.append(count_vector(s).tobytes() if m else b"")
-        po = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-        flat = signed(np.concatenate(prefixes)) if len(prefixes) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n.astype(np.int32)), pa.array(fps, pa.binary()),
-             pa.ListArray.from_arrays(pa.array(po), pa.array(flat)), pa.array(heavy, pa.int32()),
-             pa.array(vecs, pa.binary())], ["id", "n", "fp", "prefix", "heavy", "vec"])
-
-    schema = T.StructType([T.StructField("id", idt), T.StructField("n", T.IntegerType()),
-                           T.StructField("fp", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-                           T.StructField("heavy", T.IntegerType()), T.StructField("vec", T.BinaryType())])
-    return _text_sets(docs, id_col, text_col, k, make, schema)
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for j, (ids, sets, at) in enumerate(_segments(batches, 1, k, segment)):
+            short = _short(sets, bits)
+            u, inverse = np.unique(short, return_inverse=True)
+            level = _classes_of(folder, part, j, u)[inverse]
+            n, fps, prefixes, heavy, vecs = np.diff(at), [], [], [], []
+            for i in range(len(n)):
+                s, f = sets[at[i]:at[i + 1]], level[at[i]:at[i + 1]]
+                m = len(s)
+                p = m - -(-num * m // den) + 1 if m else 0
+                o = np.argsort(f, kind="stable")[:p]             # by class, then by hash
+                o = o[f[o] > 0]
+                fps.append(_fingerprint(s))
+                prefixes.append(s[o])
+                heavy.append(int((f[o] >= heavy_class).sum()))
+                vecs.append(count_vector(s).tobytes() if len(o) else b"")
+            po = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(n.astype(np.int32)), pa.array(fps, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(po), pa.array(signed(np.concatenate(prefixes)))),
+                 pa.array(heavy, pa.int32()), pa.array(vecs, pa.binary())],
+                ["id", "n", "fp", "prefix", "heavy", "vec"])
+
+    return src.mapInArrow(run, T.StructType([
+        T.StructField("id", idt), T.StructField("n", T.IntegerType()),
+        T.StructField("fp", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("heavy", T.IntegerType()), T.StructField("vec", T.BinaryType())]))
 
 
 def _member_hash():
@@ -175,6 +254,7 @@ def _member_hash():
 def blocks(reps: DataFrame) -> DataFrame:
     """(sig, c): members of the blocks of two or more classes; blocks with the
     same members come out once."""
+    reps = reps.where(F.size("prefix") > 0)
     rare = reps.select("c", F.explode(F.slice("prefix", F.lit(1), F.size("prefix") - F.col("heavy"))).alias("token"))
     w = Window.partitionBy("token")
     cnt, x1, x2 = _member_hash()
@@ -320,17 +400,17 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, te
             .mapInArrow(run, "u long, v long"))
 
 
-def tree_pairs(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     """(a, b): pairs with different components that the R-trees let through.
 
-    ``members``: (sig, c, n, vec, comp).  A block of up to ``tile`` rows is one
+    ``members``: (sig, c, comp), ``point``: (c, n, vec).  A block of up to ``tile`` rows is one
     tree.  A larger one is split by size strata (sizes that link are at most one
     stratum apart, so a row goes to two cells), and a cell that is still larger
     into tiles, of which every two meet."""
     step = math.log(den / num) * (1 + 1e-9) if num < den else 1e-6
     size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"),
                                       F.max("comp").alias("hi")).where("lo <> hi").select("sig", "m")
-    live = members.join(size, "sig")
+    live = members.join(size, "sig").join(point, "c")
     stratum = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long")
     small = live.where(F.col("m") <= tile).select(
         "sig", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"),
@@ -365,8 +445,8 @@ def tree_pairs(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                       num: int = 80, den: int = 100, min_frequent: int = 64, most_frequent: int = 131_072,
-                       tile: int = 4096) -> DataFrame:
+                       num: int = 80, den: int = 100, tile: int = 4096, bits: int = 40,
+                       segment: int = 4_000_000, heavy_class: int = 7) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id).
 
     Two documents link when ``den * intersection >= num * union`` of their sets
@@ -378,27 +458,38 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and are their own component.  Rows with a null id keep their row and
     take the component of their equals (null if those have no id either) but
     start no links.  Repeated rows come out once each.  An empty table gives an
-    empty result.  Other columns are not looked at."""
-    frequent = frequent_shingles(docs, id_col, text_col, k, min_frequent, most_frequent)
-    sets = cut(document_sets(docs, id_col, text_col, k, num, den, frequent)
+    empty result.  Other columns are not looked at.
+
+    ``docs`` is read several times and has to come in the same partitions each
+    time, as tables read from files do (else ValueError: write it first)."""
+    spark = docs.sparkSession
+    folder = new_folder(spark, "classes")
+    shards = 1 << (4 * docs.rdd.getNumPartitions() - 1).bit_length()
+    frequency_classes(docs, id_col, text_col, k, folder, shards, bits, segment)
+    sets = cut(document_sets(docs, id_col, text_col, k, num, den, folder, bits, segment, heavy_class)
                .withColumn("row", F.monotonically_increasing_id()))
+    drop_folder(spark, folder)
     classes = (sets.where("n > 0 and id is not null").groupBy("fp")
                .agg(F.min(F.struct("id", "row")).alias("r")).select("fp", F.col("r.id").alias("rep"), F.col("r.row").alias("c")))
     reps = cut(sets.join(classes.select("fp", "rep", F.col("c").alias("row")), ["fp", "row"])
                .select(F.col("row").alias("c"), "rep", "fp", "n", "prefix", "heavy", "vec"))
-    member = cut(blocks(reps).join(reps.select("c", "n", "vec"), "c"))
+    member = cut(blocks(reps))
+    point = reps.select("c", "n", "vec")
+
+    def pointed(pairs):
+        """Pairs (a, b) with the points of both."""
+        return (pairs.join(point.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
+                .join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b"))
 
     anchor = member.groupBy("sig").agg(F.min("c").alias("a"))
-    anchor = anchor.join(reps.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
-    first = cut(_bound_filter(member.join(anchor, "sig").where("c <> a")
-                              .select("a", "na", "va", F.col("c").alias("b"), F.col("n").alias("nb"),
-                                      F.col("vec").alias("vb")), num, den).distinct())
+    first = member.join(anchor, "sig").where("c <> a").select("a", F.col("c").alias("b")).distinct()
+    first = cut(_bound_filter(pointed(first), num, den))
     edges = cut(verified(docs, reps, first, id_col, text_col, k, num, den))
     comp = cut(connected_components(edges))
 
     member = member.join(comp.select(F.col("node").alias("c"), "label"), "c", "left").select(
-        "sig", "c", "n", "vec", F.coalesce("label", "c").alias("comp"))
-    second = cut(tree_pairs(member, num, den, tile))
+        "sig", "c", F.coalesce("label", "c").alias("comp"))
+    second = cut(tree_pairs(member, point, num, den, tile))
     more = verified(docs, reps, second, id_col, text_col, k, num, den)
     # the components found so far are stars; what follows only joins them
     stars = comp.select(F.col("node").alias("u"), F.col("label").alias("v"))

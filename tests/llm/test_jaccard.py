@@ -68,7 +68,7 @@ def test_components_equal_brute_force(spark, k, num, den, tile):
     rows = corpus(k)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     df = df.selectExpr("doc_id", "text", "'x' as fp", "1 as n", "2 as component_id", "text as row")
-    got = [tuple(r) for r in J.ngram_jaccard_join(df, k=k, num=num, den=den, tile=tile, min_frequent=4).collect()]
+    got = [tuple(r) for r in J.ngram_jaccard_join(df, k=k, num=num, den=den, tile=tile).collect()]
     assert sorted(got, key=lambda r: tuple((x is None, x or 0) for x in r)) == brute(rows, k, num, den)
 
 
