@@ -211,11 +211,11 @@ def _classes_of(folder: str, part: int, j: int, u: np.ndarray) -> np.ndarray:
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, folder: str, bits: int,
                   segment: int, heavy_class: int) -> DataFrame:
-    """(id, n, fp, prefix, heavy, vec): set size, fingerprint of the set, those
+    """(id, key, n, fp, prefix, heavy, vec): a hash of the text, set size, fingerprint of the set, those
     shingles of its prefix that other documents hold too (``heavy`` of them, the
     last ones, are held by 2**heavy_class or more), and the point."""
-    idt = docs.schema[id_col].dataType
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key")).alias("id"),
+                      F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -242,9 +242,10 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int,
                 ["id", "n", "fp", "prefix", "heavy", "vec"])
 
     return src.mapInArrow(run, T.StructType([
-        T.StructField("id", idt), T.StructField("n", T.IntegerType()),
+        src.schema["id"], T.StructField("n", T.IntegerType()),
         T.StructField("fp", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-        T.StructField("heavy", T.IntegerType()), T.StructField("vec", T.BinaryType())]))
+        T.StructField("heavy", T.IntegerType()), T.StructField("vec", T.BinaryType())])) \
+        .select("id.id", "id.key", "n", "fp", "prefix", "heavy", "vec")
 
 
 def _member_hash():
@@ -446,8 +447,9 @@ def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: i
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                        num: int = 80, den: int = 100, tile: int = 4096, bits: int = 40,
-                       segment: int = 4_000_000, heavy_class: int = 7) -> DataFrame:
-    """One row per row of ``docs``: (id_col, n_shingles, component_id).
+                       segment: int = 4_000_000, heavy_class: int = 7, keep_key: bool = False) -> DataFrame:
+    """One row per row of ``docs``: (id_col, n_shingles, component_id), with
+    ``keep_key`` also ``key``, the xxhash64 of the text.
 
     Two documents link when ``den * intersection >= num * union`` of their sets
     of distinct k-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; with
@@ -499,6 +501,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("fp", "rep", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     of = named.join(least, "label").select("fp", "component")
-    return sets.select("id", "n", "fp").join(of, "fp", "left").select(
+    return sets.select("id", "key", "n", "fp").join(of, "fp", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"))
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"),
+        *(["key"] if keep_key else []))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80,
+                         den: int = 100) -> DataFrame:
+    """``docs`` with one document of each component of
+    :func:`ngram_jaccard_join`: the one of the smallest id.  Documents without
+    words stay.  Rows that repeat both id and text are one document, of which one
+    row stays.  A row without id stays unless it has equals with one."""
+    comp = ngram_jaccard_join(docs, id_col, text_col, k, num, den, keep_key=True)
+    own = F.col(id_col).eqNullSafe(F.col("component_id"))
+    stay = comp.where(own).select(F.col(id_col).alias("__id"), F.col("key").alias("__k")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
+    kept = keyed.join(stay, (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    first = Window.partitionBy("__key", id_col).orderBy(F.lit(0))
+    return kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*[f"`{c}`" for c in docs.columns])
