@@ -215,44 +215,34 @@ def gain_importance(model, names: list[str]) -> list[tuple[str, float]]:
 def permutation_importance(model, df: DataFrame, names: list[str], key: str,
                            rounds: int | None = None, seed=0) -> DataFrame:
     """T9 (alternative view): drop in ROC AUC when one feature's values are
-    permuted across rows, one row per feature.
+    permuted across rows (a random rotation of a random order), one row per feature.
 
-    The permutation is a global md5 hash rank (bucketed, so no single task
-    orders the table); each feature's donor values are paired by rank with a
-    shuffle join, the slot is replaced inside the vector, and the model
-    rescores.  One job per feature; nothing is collected but the AUCs.
+    Rows are ranked once by a global md5 hash (bucketed, so no single task
+    orders the table) and written; feature j's donors are the rows ``shift_j``
+    ranks further on, so one self-join by rank serves all features: each row
+    and its donor become one row a feature, with that slot replaced, and one
+    AUC pass gives every feature's figure.
     """
     from pyspark.ml.functions import array_to_vector
 
-    from .model import staged_auc, staged_margins
+    from ..session import cut_lineage
+    from .model import margin, staged_auc
     from .sampling import hash_rank
 
-    def auc_of(d):
-        s = staged_margins(model, d.select("label", "features"), rounds)
-        k = rounds or len(model.trees)
-        return staged_auc(s, pr=False).where(F.col("round") == k).select("auc")
-
+    d = len(names)
     base = df.select(key, "label", vector_to_array("features").alias("_x"))
-    me = hash_rank(base, key, [], f"{seed}|self", out="_r", size_col=None)
-    rows = []
-    base_auc = auc_of(df)
-    for j, name in enumerate(names):
-        donor = hash_rank(base.select(key, F.col("_x")[j].alias("_v")), key, [],
-                          f"{seed}|perm|{j}", out="_r", size_col=None).drop(key)
-        x = me.join(donor, "_r").select(
-            "label", array_to_vector(F.transform("_x", _slot_replacer(j))).alias("features"))
-        rows.append(auc_of(x).withColumn("feature", F.lit(name)))
-    allv = rows[0]
-    for r in rows[1:]:
-        allv = allv.unionByName(r)
-    return _drop_vs_base(allv, base_auc)
-
-
-def _slot_replacer(j: int):
-    return lambda v, i: F.when(i == j, F.col("_v")).otherwise(v)
-
-
-def _drop_vs_base(perm: DataFrame, base: DataFrame) -> DataFrame:
-    b = base.select("auc").scalar()
-    return perm.select("feature", F.col("auc").alias("permuted_auc"),
-                       (b - F.col("auc")).alias("auc_drop"))
+    ranked = cut_lineage(hash_rank(base, key, [], f"{seed}|perm", out="_r", size_col="_n"))
+    # one wanted donor rank a row and feature; feature -1 is the row itself
+    want = ranked.select("label", "_x", F.explode(F.array(*[F.lit(j) for j in range(-1, d)])).alias("_j"), "_r", "_n")
+    shift = F.pmod(F.xxhash64(F.lit(str(seed)), F.col("_j")), F.greatest(F.col("_n") - 1, F.lit(1))) + 1
+    want = want.withColumn("_d", F.when(F.col("_j") < 0, F.col("_r")).otherwise(
+        F.pmod(F.col("_r") - 1 + shift, F.col("_n")) + 1))
+    donor = ranked.select(F.col("_r").alias("_d"), F.col("_x").alias("_from"))
+    x = want.join(donor, "_d").select(
+        F.col("_j"), "label", array_to_vector(F.transform("_x", lambda v, i: F.when(
+            i == F.col("_j"), F.get("_from", i)).otherwise(v))).alias("features"))
+    auc = cut_lineage(staged_auc(margin(model, x, rounds), col="_margin", by=["_j"], pr=False).select("_j", "auc"))
+    whole = auc.where("_j = -1").select("auc").scalar()
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_j"))
+    return auc.where("_j >= 0").select(name.alias("feature"), F.col("auc").alias("permuted_auc"),
+                                       (whole - F.col("auc")).alias("auc_drop"))

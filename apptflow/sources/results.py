@@ -9,10 +9,11 @@ from ..schemas import METRIC_NAMES, METRICS_SCHEMA
 
 
 def write_run_metrics(metrics: DataFrame, path: str, fmt: str = "csv") -> None:
-    """One folder per run (``run=<n>``), header row, in one job."""
+    """One folder per run (``run=<n>``), header row.  Runs already in the
+    folder stay, a run that is written again replaces itself."""
     cols = [F.col(f"`{c}`") for c in METRIC_NAMES] + [F.col("date"), F.col("run")]
     (metrics.select(*cols).write.mode("overwrite").partitionBy("run")
-     .option("header", True).format(fmt).save(path))
+     .option("partitionOverwriteMode", "dynamic").option("header", True).format(fmt).save(path))
 
 
 def read_run_metrics(spark: SparkSession, path: str, fmt: str = "csv",
@@ -25,7 +26,9 @@ def read_run_metrics(spark: SparkSession, path: str, fmt: str = "csv",
     """
     reader = spark.read.option("header", True)
     if fmt == "csv":
-        df = reader.schema(METRICS_SCHEMA).csv(path)
+        # columns by header name: a file with others or in another order is
+        # refused instead of read into the wrong ones
+        df = reader.option("enforceSchema", False).schema(METRICS_SCHEMA).csv(path)
     else:
         df = reader.format(fmt).load(path)
     if with_run and "run" not in df.columns:
