@@ -45,15 +45,14 @@ except ModuleNotFoundError as e:
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 MIN_COUNT = 500          # reference's clinic support threshold
-DAYS = {"orders": 90, "events": 7}   # recent-count window per view
+DAYS = 90                # reference's recent-count window
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: one model-ready row per patient (sequence, clinic, recent-count
-    and same-day features) on sf0.001; clinics there have 26-126 rows, so the
-    support threshold is 50."""
+    and same-day features) on sf0.001."""
     return model_table(patient_features(appointments(spark, SMOKE_DIR, "orders"),
-                                        min_count=50, days=90))
+                                        min_count=MIN_COUNT, days=DAYS))
 
 
 # --------------------------------------------------------------------------
@@ -84,8 +83,7 @@ def _q_hist(view):
 
 
 def _q_features(view):
-    return lambda spark, sf: patient_features(_a(spark, sf, view), min_count=MIN_COUNT,
-                                              days=DAYS[view])
+    return lambda spark, sf: patient_features(_a(spark, sf, view), min_count=MIN_COUNT, days=DAYS)
 
 
 def _features(spark, sf):
@@ -114,39 +112,53 @@ def _markov_pred(spark, sf, seed=1, feats=None):
                     F.col("dna_flag").alias("obs"))
 
 
-def _mean_runs(spark, sf, runs=5):
-    per_run, feats = None, _features(spark, sf)
-    for r in range(1, runs + 1):
-        m = MT.confusion_metrics(_markov_pred(spark, sf, r, feats)).withColumn("run", F.lit(r))
-        per_run = m if per_run is None else per_run.unionByName(m)
-    return MT.mean_metrics(per_run)
+RUNS = 25                # the reference's number of runs
+
+
+def _mean_runs(spark, sf):
+    """All runs in one job: the run is a grouping column and its number the seed."""
+    f = _features(spark, sf).select("patient_id", "dna_flag", "dna_markov",
+                                    F.explode(F.sequence(F.lit(1), F.lit(RUNS))).alias("run"))
+    t = SM.stratified_split(f, "patient_id", "dna_flag", 0.75, F.col("run"), by=["run"]).where(F.col("split") == "test")
+    t = t.select("run", F.when(F.col("dna_markov") >= 0.5, 1).otherwise(0).alias("pred"), F.col("dna_flag").alias("obs"))
+    # summed in any order: the last digits of a mean of doubles are left out
+    m = MT.mean_metrics(MT.confusion_metrics(t, by=["run"]))
+    return m.select(*[F.round(f"`{c}`", 12).alias(c) for c in m.columns])
+
+
+def _staged_auc(spark, sf):
+    from apptflow.operators.model import staged_auc
+    f = _features(spark, sf).where(F.col("dna_flag").isNotNull())
+    return staged_auc(f, label="dna_flag", col="dna_markov").withColumn("aucpr", F.round("aucpr", 12))
 
 
 def _trial_base(spark, sf):
-    a = _a(spark, sf).select("appt_id", "patient_id", "appointment_dt", "dna_flag")
+    from apptflow.functions.columns import join_null_safe
     from apptflow.session import cut_lineage
+    a = _a(spark, sf).select("appt_id", "patient_id", "appointment_dt", "dna_flag")
     p = _features(spark, sf).select("patient_id", F.col("dna_markov").alias("probability"))
-    return cut_lineage(TR.assign_bands(a.join(p, "patient_id"), "probability", 0.5))
+    return cut_lineage(TR.assign_bands(join_null_safe(a, p, ["patient_id"]), "probability", 0.5))
 
 
 def _trial_arms(spark, sf):
-    return TR.assign_arms(_trial_base(spark, sf), "appt_id", "band", seed=2024)
+    return TR.assign_arms(_trial_base(spark, sf), "patient_id", "band", seed=2024)
 
 
-_RUNS: dict = {}
-MODEL_PARAMS = dict(rounds=20, folds=3)   # small defaults; the reference uses 150 / 5
+_MODEL: dict = {}        # the last run's key and result
 
 
 def _model_run(spark, sf):
-    """One full run (split, down-sample, CV, fit, score) shared by the
-    model queries of the same session and folder."""
+    """One full run of the reference's procedure (split, down-sample, 5 folds of
+    150 rounds, fit, score), shared by the model queries of one application and
+    folder; another application or folder replaces it."""
     from apptflow.operators.model import BoostParams
     from apptflow.plans.training import run_once
-    k = (id(spark), sf)
-    if k not in _RUNS:
+    k = (spark.sparkContext.applicationId, sf)
+    if k not in _MODEL:
+        _MODEL.clear()
         table = model_table(_features(spark, sf), keep=("patient_id",))
-        _RUNS[k] = run_once(table, 1, BoostParams(**MODEL_PARAMS), date="2024-05-14")
-    return _RUNS[k]
+        _MODEL[k] = run_once(table, 1, BoostParams(), date="2024-05-14")
+    return _MODEL[k]
 
 
 def _shap(spark, sf):
@@ -171,7 +183,63 @@ def _model_trial(spark, sf):
     return run_trial(_a(spark, sf), probs)
 
 
+def _feature_matrix(spark, sf):
+    """The numbers that the learner gets, a column for each feature."""
+    from apptflow.operators.model import assemble
+    t = model_table(_features(spark, sf), keep=("patient_id",)).where(F.col("dna_flag").isNotNull())
+    names = [c for c in t.columns if c not in ("patient_id", "dna_flag")]
+    x, _ = assemble(t, [(c, False) for c in names], keep=["patient_id"])
+    v = vector_to_array("features")
+    return x.select("patient_id", "label", *[v[i].alias(c) for i, c in enumerate(names)])
+
+
+def _csv_round_trip(spark, sf):
+    """The orders view written to the shared folder as a file of the source's
+    shape (its names, another column order) and read back."""
+    from apptflow.schemas import SOURCE_NAMES
+    from apptflow.session import shared_folder
+    from apptflow.sources.appointments import read_appointments
+    back = {v: k for k, v in SOURCE_NAMES.items()}
+    a = _a(spark, sf)
+    path = shared_folder(spark, "appointments")
+    a.select(*[F.col(c).alias(back.get(c, c)) for c in sorted(a.columns, reverse=True)]).write.option("header", True).csv(path)
+    return read_appointments(spark, path).select(*a.columns)
+
+
+def _metrics_round_trip(spark, sf):
+    """Two runs' metrics written one after the other and read back."""
+    from apptflow.session import shared_folder
+    from apptflow.sources.results import read_run_metrics, write_run_metrics
+    path, feats = shared_folder(spark, "runs"), _features(spark, sf)
+    for r in (1, 2):
+        write_run_metrics(MT.stamp(MT.confusion_metrics(_markov_pred(spark, sf, r, feats)), r, "2024-05-14"), path)
+    return read_run_metrics(spark, path)
+
+
+def _wide_view(spark, sf):
+    """Appointments with a column for every model feature, the four pruned ones
+    included, mapped from the order's keys and dates."""
+    k = F.col("appt_id")
+    return _a(spark, sf).select(
+        "*", F.date_sub("appointment_dt", F.pmod(k, F.lit(60)).cast("int")).alias("letter_received_dt"),
+        *[F.pmod(F.floor(k / d), F.lit(m)).cast("int").alias(c) for c, (d, m) in WIDE_COLUMNS.items()])
+
+
+# Mapped columns: (divisor, modulus) of the order key.
+WIDE_COLUMNS = {"hospital": (1, 4), "depriv_decile": (3, 10), "appointment_type": (2, 3), "referral_priority": (5, 3),
+                "attendance_time": (7, 24), "suspected_cancer": (11, 2), "ref_source": (4, 5), "female_spec": (13, 2),
+                "paed_spec": (17, 2), "physio_spec": (19, 2), "raei_leigh_tl": (23, 2), "tno_appt": (29, 2),
+                "follow_up_appt": (31, 2)}
+
+
+def _wide_model_table(spark, sf):
+    from apptflow.functions.columns import lead_days
+    a = _wide_view(spark, sf).withColumn("time_to_be_seen_days", lead_days("appointment_dt", "letter_received_dt"))
+    return model_table(patient_features(a, min_count=MIN_COUNT, days=DAYS), prune=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from apptflow.functions.columns import lead_days
     from apptflow.operators.attribution import shap_plot_data, shap_summary
     found = {
         "s1_appointments": lambda spark, sf: _a(spark, sf, "orders"),
@@ -182,7 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a4_same_day": lambda spark, sf: R.same_day(_a(spark, sf)),
         "a4_same_day_events": lambda spark, sf: R.same_day(_a(spark, sf, "events")),
         "a6_recent_count": lambda spark, sf: R.recent_count(_a(spark, sf), days=90),
-        "a6_recent_count_events": lambda spark, sf: R.recent_count(_a(spark, sf, "events"), days=7),
+        "a6_recent_count_events": lambda spark, sf: R.recent_count(_a(spark, sf, "events"), days=DAYS),
         "a7_max_date": lambda spark, sf: R.max_date(_a(spark, sf)),
         "p6_supported_clinic_rows": lambda spark, sf: R.supported_clinic_rows(
             _a(spark, sf), min_count=MIN_COUNT),
@@ -235,9 +303,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "x1_bands": lambda spark, sf: _trial_base(spark, sf).select("appt_id", "band"),
         "x2_arms": lambda spark, sf: _trial_arms(spark, sf).select("appt_id", "band", "arm"),
         "x3_reminders": lambda spark, sf: TR.reminder_schedule(_trial_arms(spark, sf)),
-        "x4_trial_outcome": lambda spark, sf: TR.trial_outcome(_trial_arms(spark, sf)),
+        # SQL has no normal distribution: the p-value has a query of its own
+        "x4_trial_outcome": lambda spark, sf: TR.trial_outcome(_trial_arms(spark, sf)).drop("p_value"),
+        "x4_trial_p_value": lambda spark, sf: TR.trial_outcome(_trial_arms(spark, sf)).select("band", "z", "p_value"),
+        "s1_csv_roundtrip": _csv_round_trip,
+        "s2_s3_metrics_roundtrip": _metrics_round_trip,
+        "f8_lead_days": lambda spark, sf: _wide_view(spark, sf).select(
+            "appt_id", lead_days("appointment_dt", "letter_received_dt").alias("lead_days")),
+        "g3_wide_model_table": _wide_model_table,
+        "g4_wide_model_features": lambda spark, sf: _wide_model_table(spark, sf).drop(*PRUNED_FEATURES),
+        "r2_unite": lambda spark, sf: S.unite_columns(S.pivot_events(_a(spark, sf)), [str(i) for i in range(1, 7)])
+            .select("patient_id", "sequence"),
+        "t4_staged_auc": _staged_auc,
+        "p9_feature_matrix": _feature_matrix,
         # model (rows-only: MLlib training has no SQL form)
-        "p9_feature_matrix": lambda spark, sf: _model_run(spark, sf).train.select(
+        "p9_training_matrix": lambda spark, sf: _model_run(spark, sf).train.select(
             "patient_id", "fold", "label", vector_to_array("features").alias("features")),
         "t1_cv_auc": lambda spark, sf: _model_run(spark, sf).curve,
         "t5_model_scores": lambda spark, sf: _model_run(spark, sf).scored.select(
@@ -267,6 +347,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --------------------------------------------------------------------------
 
 _VIEW_SQL = {"orders": ORDERS_VIEW_SQL, "events": EVENTS_VIEW_SQL}
+_VIEW_SQL["wide"] = f"""SELECT *, CAST(appointment_dt - CAST(appt_id % 60 AS INTEGER) AS DATE) AS letter_received_dt,
+  CAST(appt_id % 60 AS DOUBLE) AS time_to_be_seen_days,
+  {", ".join(f"CAST((appt_id // {d}) % {m} AS INTEGER) AS {c}" for c, (d, m) in WIDE_COLUMNS.items())}
+FROM ({ORDERS_VIEW_SQL}) v"""
 
 
 def _ch(c):
@@ -347,8 +431,11 @@ _ORDERS_FEATURE_COLS = ["appt_id", "patient_id", "clinic", "appointment_dt", "dn
 _DROP = {"patient_id", "clinic", "letter_received_dt", "appointment_dt", "cancel_flag", "appt_id"}
 
 
-def _model_pairs(prune: bool):
-    for c in _ORDERS_FEATURE_COLS:
+_WIDE_FEATURE_COLS = [*_ORDERS_FEATURE_COLS, "time_to_be_seen_days", *WIDE_COLUMNS]
+
+
+def _model_pairs(prune: bool, cols=None):
+    for c in cols or _ORDERS_FEATURE_COLS:
         if c in _DROP:
             continue
         name = DISPLAY_NAMES.get(c, c)
@@ -361,9 +448,28 @@ def _model_cols(prune: bool):
     return [n for _, n in _model_pairs(prune)]
 
 
-def _model_sql(prune: bool) -> str:
-    sel = [f'{c} AS "{n}"' for c, n in _model_pairs(prune)]
-    return f"SELECT {', '.join(sel)} FROM ({_features_sql('orders')}) f"
+def _model_sql(prune: bool, view: str = "orders", cols=None) -> str:
+    sel = [f'{c} AS "{n}"' for c, n in _model_pairs(prune, cols)]
+    return f"SELECT {', '.join(sel)} FROM ({_features_sql(view)}) f"
+
+
+def _matrix_sql() -> str:
+    sel = [f'coalesce(CAST({c} AS DOUBLE), -1.0e9) AS "{n}"' for c, n in _model_pairs(True) if c != "dna_flag"]
+    return f"""SELECT patient_id, CAST(dna_flag AS DOUBLE) AS label, {', '.join(sel)}
+FROM ({_feat()}) f WHERE dna_flag IS NOT NULL"""
+
+
+def _auc_sql() -> str:
+    """Rank-sum AUC (ties 1/2) and trapezoids under the precision-recall curve."""
+    return f"""WITH g AS (SELECT dna_markov AS s, count(*) FILTER (WHERE dna_flag = 1) AS pos,
+    count(*) FILTER (WHERE dna_flag <> 1) AS neg FROM ({_feat()}) f WHERE dna_flag IS NOT NULL GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp,
+    sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g),
+d AS (SELECT *, CAST(tp AS DOUBLE) / (tp + fp) AS prec,
+    CASE WHEN tp - pos + fp - neg > 0 THEN CAST(tp - pos AS DOUBLE) / (tp - pos + fp - neg) END AS prec0 FROM c)
+SELECT 1 AS round, sum(pos * (below + 0.5 * neg)) / CAST(max(p) * max(n) AS DOUBLE) AS auc,
+    round(sum(CAST(pos AS DOUBLE) / p * (prec + coalesce(prec0, prec)) / 2), 12) AS aucpr FROM d"""
 
 
 def _rank_sql(view):
@@ -455,19 +561,11 @@ FROM ({ORDERS_VIEW_SQL}) a JOIN ({_feat()}) f
 
 
 def _arms_sql():
-    return f"""SELECT *, CASE WHEN {_rank_expr('appt_id', '2024|arm', 'band')} <=
-       round_even(0.5 * count(*) OVER (PARTITION BY band), 0)
-  THEN 'intervention' ELSE 'control' END AS arm FROM ({_trial_sql()}) t"""
-
-
-def _p_sql(z: str) -> str:
-    """Same erfc approximation as ``trial.two_sided_p``."""
-    x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1.0 / (1.0 + {TR.ERF_P!r} * {x}))"
-    poly = "0.0"
-    for a in reversed(TR.ERF_A):
-        poly = f"(({poly} + {a!r}) * {t})"
-    return f"round({poly} * exp(-{x} * {x}), 6)"
+    return f"""SELECT t.*, p.arm FROM ({_trial_sql()}) t JOIN (
+  SELECT patient_id, band, CASE WHEN {_rank_expr('patient_id', '2024|arm', 'band')} <=
+         round_even(0.5 * count(*) OVER (PARTITION BY band), 0) THEN 'intervention' ELSE 'control' END AS arm
+  FROM (SELECT DISTINCT patient_id, band FROM ({_trial_sql()}) u) v) p
+ON t.patient_id IS NOT DISTINCT FROM p.patient_id AND t.band = p.band"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -492,7 +590,7 @@ WHERE (n >= {MIN_COUNT} OR clinic IS NOT DISTINCT FROM 'Other') AND ones > 0""",
         "a4_same_day": _same_day_sql("orders"),
         "a4_same_day_events": _same_day_sql("events"),
         "a6_recent_count": _recent_sql("orders", 90),
-        "a6_recent_count_events": _recent_sql("events", 7),
+        "a6_recent_count_events": _recent_sql("events", DAYS),
         "a7_max_date": f"WITH a AS ({o}) SELECT max(appointment_dt) AS max_dt FROM a",
         "p6_supported_clinic_rows": f"""WITH a AS ({o}),
 s AS (SELECT clinic, count(*) AS n FROM a GROUP BY clinic),
@@ -541,7 +639,7 @@ SELECT patient_id, history_e AS sequence, p_e AS event FROM prob""",
         "m8_markov_probability_cancel": f"""WITH {_seq_ctes('orders', ('cancel_flag',))}
 SELECT patient_id, history_e AS sequence, p_e AS event FROM prob""",
         "g1_patient_features": _features_sql("orders", MIN_COUNT, 90),
-        "g1_patient_features_events": _features_sql("events", MIN_COUNT, 7),
+        "g1_patient_features_events": _features_sql("events", MIN_COUNT, DAYS),
         "g3_model_table": _model_sql(prune=False),
         "g4_model_features": _model_sql(prune=True),
         "r1_pivot_events": f"""SELECT patient_id, {", ".join(
@@ -561,8 +659,8 @@ SELECT appt_id, patient_id, clinic, appointment_dt, dna_flag, cancel_flag,
         "a10_cross_tab": f"SELECT pred, obs, count(*) AS count FROM ({_pred_sql()}) p GROUP BY ALL",
         "t7_markov_confusion": _METRICS_SQL.format(keep="tp, fp, fn, tn,", src=_pred_sql()),
         "t8_mean_metrics": "SELECT " + ", ".join(
-            f'avg("{m}") AS "{m}"' for m in METRIC_NAMES) + " FROM (" + " UNION ALL ".join(
-            _METRICS_SQL.format(keep="", src=_pred_sql(r)) for r in range(1, 6)) + ") u",
+            f'round(avg("{m}"), 12) AS "{m}"' for m in METRIC_NAMES) + " FROM (" + " UNION ALL ".join(
+            _METRICS_SQL.format(keep="", src=_pred_sql(r)) for r in range(1, RUNS + 1)) + ") u",
         "p10_null_profile_model": "SELECT " + ", ".join(
             f'CAST(count(*) - count("{c}") AS BIGINT) AS "{c}"' for c in _model_cols(True))
             + f" FROM ({_model_sql(prune=True)}) m",
@@ -584,7 +682,7 @@ ORDER BY clinic_prop DESC, clinic LIMIT 1""",
         "x3_reminders": f"""SELECT appt_id, appointment_dt, arm, d AS days_before,
        CAST(appointment_dt - d AS DATE) AS reminder_dt
 FROM ({_arms_sql()}) t, unnest(CASE WHEN arm = 'intervention' THEN [5, 3] ELSE [5] END) u(d)""",
-        "x4_trial_outcome": f"""SELECT *, {_p_sql('z')} AS p_value FROM (
+        "x4_trial_outcome": f"""SELECT * FROM (
 SELECT band, n_intervention, miss_intervention, n_control, miss_control,
   CAST(miss_intervention AS DOUBLE) / n_intervention AS rate_intervention,
   CAST(miss_control AS DOUBLE) / n_control AS rate_control,
@@ -600,6 +698,20 @@ FROM (SELECT *, CAST(miss_intervention + miss_control AS DOUBLE)
          count(*) FILTER (WHERE arm = 'control' AND dna_flag = 1) AS miss_control
   FROM ({_arms_sql()}) t GROUP BY band) g) h) o""",
     }
+    sql.update({
+        "s1_csv_roundtrip": f"SELECT * REPLACE (CAST(patient_id AS VARCHAR) AS patient_id) FROM ({o}) v",
+        "s2_s3_metrics_roundtrip": " UNION ALL ".join(
+            f"SELECT *, DATE '2024-05-14' AS date, {r} AS run FROM ({_METRICS_SQL.format(keep='', src=_pred_sql(r))}) m{r}"
+            for r in (1, 2)),
+        "f8_lead_days": f"""SELECT appt_id, CAST(date_diff('day', letter_received_dt, appointment_dt) AS DOUBLE)
+  AS lead_days FROM ({_VIEW_SQL['wide']}) v""",
+        "g3_wide_model_table": _model_sql(False, "wide", _WIDE_FEATURE_COLS),
+        "g4_wide_model_features": _model_sql(True, "wide", _WIDE_FEATURE_COLS),
+        "r2_unite": f"""SELECT patient_id, coalesce(string_agg(CAST(dna_flag AS VARCHAR), '' ORDER BY rn), '') AS sequence
+FROM ({_rank_sql('orders')}) r WHERE rn <= 6 GROUP BY patient_id""",
+        "t4_staged_auc": _auc_sql(),
+        "p9_feature_matrix": _matrix_sql(),
+    })
     if _LLM:
         sql.update(_LLM.oracle_sql())
     if _PIPELINE and _PIPELINE.ORACLE_SQL:

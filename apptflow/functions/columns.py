@@ -31,9 +31,9 @@ def ratio(num, den) -> Column:
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
 
 
-def window_start(max_date, days: int) -> Column:
-    """first excluded day of a trailing window of ``days`` days."""
-    return F.date_sub(col(max_date), days)
+def lead_days(appointment, booked) -> Column:
+    """F8: days between booking and appointment, as a double."""
+    return F.datediff(col(appointment), col(booked)).cast("double")
 
 
 def iso_weekday(d) -> Column:

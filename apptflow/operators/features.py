@@ -6,11 +6,11 @@ latest row.  Every attached value is keyed by patient (or by clinic, or by the
 latest row's own day), so attaching to the latest row only gives the same
 table while joining patient-level tables instead of the appointment table.
 
-Shuffles: one scan + partial aggregate by clinic (rates, clinic rates, newest
-date); the sequence pass (the only full shuffle, five narrow columns) for
-sequences and the same-day flag; a rank-1 pass for the latest row, pre-limited
-map-side to one row per patient per task; a partial aggregate for the recent
-count.  One-row values (rates, count maps) enter as scalar subqueries; the
+The table is scanned three times: a partial aggregate by clinic (rates, clinic
+rates, newest date); the sequence pass (two shuffles of five narrow columns, by
+patient and day, then by patient, each pre-limited map-side) for sequences and
+the same-day flag; and one aggregate by patient for the latest row and the
+recent count, partial before its shuffle.  One-row values (rates, count maps) enter as scalar subqueries; the
 clinic join is left to AQE, which broadcasts it only after measuring its size;
 the remaining joins are between patient-level tables.
 """
@@ -24,7 +24,7 @@ from ..functions.columns import join_null_safe
 from ..session import cut_lineage
 from ..schemas import (CANCEL, CLINIC, DATE, DISPLAY_NAMES, DNA, ID_COLUMNS,
                        PATIENT, PRUNED_FEATURES, TIEBREAK)
-from .rates import clinic_rates_from_stats, clinic_stats, rates_from_stats, recent_count
+from .rates import clinic_rates_from_stats, clinic_stats, rates_from_stats
 from .sequences import count_map, patient_sequences, probability_expr, sequence_counts
 
 
@@ -40,6 +40,20 @@ def latest_rows(df: DataFrame, patient: str = PATIENT, date: str = DATE,
             .where((F.col("_rn") == 1) & F.col(date).isNotNull()).drop("_rn"))
 
 
+def latest_and_recent(df: DataFrame, newest, days: int, patient: str = PATIENT, date: str = DATE,
+                      tiebreak: str = TIEBREAK, out: str = "three_mo_count") -> DataFrame:
+    """W5 + A6 in one aggregate by patient (partial before the shuffle): the
+    latest appointment's columns and the number of rows in the ``days`` up to
+    ``newest``.  Patients with only null dates are dropped."""
+    rest = [c for c in df.columns if c != patient]
+    order = F.when(F.col(date).isNotNull(), F.struct(F.col(date), -F.col(tiebreak)))
+    g = df.groupBy(patient).agg(
+        F.max_by(F.struct(*rest), order).alias("_latest"),
+        F.count(F.when(F.col(date) > F.date_sub(newest, days), 1)).alias(out))
+    return (g.where(F.col("_latest").isNotNull())
+            .select(*[F.col(c) if c == patient else F.col(f"_latest.{c}").alias(c) for c in df.columns], out))
+
+
 def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
                      order: int = 6, patient: str = PATIENT, clinic: str = CLINIC,
                      date: str = DATE, tiebreak: str = TIEBREAK, dna: str = DNA,
@@ -74,7 +88,6 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
     m_dna = count_map(sequence_counts(seqs, "full_dna")).scalar()
     m_cancel = count_map(sequence_counts(seqs, "full_cancel")).scalar()
     rate, cancel_rate = scal.select("rate").scalar(), scal.select("cancel_rate").scalar()
-    recent = recent_count(appts, patient, date, days, newest=scal.select("max_dt"))
 
     p_dna = probability_expr("history_dna", m_dna)
     p_cancel = probability_expr("history_cancel", m_cancel)
@@ -87,11 +100,10 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
                      F.coalesce(p_dna, rate).alias("dna_markov"),
                      F.coalesce(p_cancel, cancel_rate).alias("cancel_markov"),
                      F.col("multi_day"), rate.alias("rate")))
-    # patient-keyed joins first (all three sides are partitioned by patient),
-    # the clinic lookup last (AQE broadcasts it when measured small)
-    base = join_null_safe(latest_rows(appts, patient, date, tiebreak), probs, [patient])
-    base = (join_null_safe(base, recent, [patient], "left")
-            .withColumn("three_mo_count", F.coalesce(F.col("three_mo_count"), F.lit(0))))
+    # the patient-keyed join first (both sides are partitioned by patient), the
+    # clinic lookup last (AQE broadcasts it when measured small)
+    last = latest_and_recent(appts, scal.select("max_dt").scalar(), days, patient, date, tiebreak)
+    base = join_null_safe(last, probs, [patient])
     cr = crates.withColumnRenamed(clinic, "_clinic")
     return (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
             .withColumn("clinic_prop", F.coalesce(F.col("clinic_prop"), F.col("rate")))

@@ -20,10 +20,10 @@ def cross_tab(df: DataFrame, pred: str = "pred", obs: str = "obs") -> DataFrame:
 
 
 def confusion_counts(df: DataFrame, pred: str = "pred", obs: str = "obs",
-                     positive=1) -> DataFrame:
-    """TP, FP, FN, TN in one aggregate (one row)."""
+                     positive=1, by=()) -> DataFrame:
+    """TP, FP, FN, TN in one aggregate (one row, or one a group of ``by``)."""
     p, o = F.col(pred) == positive, F.col(obs) == positive
-    return df.agg(F.count(F.when(p & o, 1)).alias("tp"),
+    return df.groupBy(*by).agg(F.count(F.when(p & o, 1)).alias("tp"),
                   F.count(F.when(p & ~o, 1)).alias("fp"),
                   F.count(F.when(~p & o, 1)).alias("fn"),
                   F.count(F.when(~p & ~o, 1)).alias("tn"))
@@ -52,10 +52,11 @@ def metrics_from_counts(counts: DataFrame, keep=()) -> DataFrame:
 
 
 def confusion_metrics(df: DataFrame, pred: str = "pred", obs: str = "obs",
-                      positive=1, with_counts: bool = False) -> DataFrame:
-    """T7 end to end: one row of 11 metrics (plus the four counts)."""
-    c = confusion_counts(df, pred, obs, positive)
-    return metrics_from_counts(c, keep=("tp", "fp", "fn", "tn") if with_counts else ())
+                      positive=1, with_counts: bool = False, by=()) -> DataFrame:
+    """T7 end to end: one row of 11 metrics (plus the four counts), or one a
+    group of ``by``."""
+    c = confusion_counts(df, pred, obs, positive, by)
+    return metrics_from_counts(c, keep=[*by, *(("tp", "fp", "fn", "tn") if with_counts else ())])
 
 
 def mean_metrics(runs: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ BUCKET_HEX = 4  # 16^4 = 65,536 buckets per stratum
 
 
 def hash_key(key: str, seed) -> Column:
-    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    """``seed``: a value, or a column for a seed by row."""
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), seed.cast("string")))
 
 
 def hash_rank(df: DataFrame, key: str, strata: list[str], seed=0, out: str = "rank",
@@ -56,10 +58,11 @@ def hash_rank(df: DataFrame, key: str, strata: list[str], seed=0, out: str = "ra
 
 
 def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.75, seed=0,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", by=()) -> DataFrame:
     """D1 + D2: exact ``bround(frac * n)`` rows of every class go to 'train',
-    the rest to 'test'.  Null labels are dropped first (they are no class)."""
-    r = hash_rank(df.where(F.col(label).isNotNull()), key, [label], seed)
+    the rest to 'test'.  Null labels are dropped first (they are no class).
+    ``by`` adds grouping columns (e.g. the run, with its number as the seed)."""
+    r = hash_rank(df.where(F.col(label).isNotNull()), key, [*by, label], seed)
     take = F.bround(F.lit(frac) * F.col("_n"), 0)
     return (r.withColumn(out, F.when(F.col("rank") <= take, F.lit("train"))
                          .otherwise(F.lit("test"))).drop("rank", "_n"))

@@ -27,7 +27,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from ..functions.columns import drop_last_char, flag, join_null_safe, prefix_event
 from ..schemas import CANCEL, DATE, DNA, PATIENT, TIEBREAK
 
@@ -40,39 +42,60 @@ def event_char(c: str) -> Column:
     return F.when(x == 1, F.lit("1")).when(x == 0, F.lit("0"))
 
 
-TIE_BLOCK_BITS = 16  # tiebreak ids per rank block: 65,536
-
-
 def rank_appointments(df: DataFrame, patient: str = PATIENT, date: str = DATE,
-                      tiebreak: str = TIEBREAK, out: str = "rn",
-                      block_bits: int = TIE_BLOCK_BITS) -> DataFrame:
+                      tiebreak: str = TIEBREAK, out: str = "rn", parts: int | None = None) -> DataFrame:
     """Rank of every appointment within its patient, newest first
     (null dates last, ties by ascending ``tiebreak``).
 
-    No task sorts a whole patient, or even a whole patient-day: rows are
-    grouped into blocks (patient, day, tiebreak >> 16).  ``tiebreak`` is
-    unique, so a block holds at most 65,536 rows however hot the patient is.
-    Block sizes are counted map-side; a running sum over the (small) block
-    table gives each block's offset, and the rank is offset + row number
-    inside the block.  Blocks order exactly like the rows: by day (newest
-    first, null last), then by tiebreak.
+    Rows are range-partitioned and sorted on (patient, day, tiebreak), numbered
+    inside their slice as they stream by, and written once with the slice
+    number.  Only patients that a slice boundary cuts need an offset; there are
+    at most two (patient, slice) rows a boundary, so that table is bounded by
+    the number of slices however hot a patient is.
     """
     day_key = F.coalesce(-F.unix_date(F.col(date)), F.lit(2**31 - 1))
-    x = (df.withColumn("_dk", day_key)
-         .withColumn("_tb", F.shiftright(F.col(tiebreak).cast("long"), block_bits)))
-    blocks = x.groupBy(patient, "_dk", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(patient).orderBy("_dk", "_tb")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select(F.col(patient).alias("_p"), F.col("_dk").alias("_dk2"),
-                            F.col("_tb").alias("_tb2"),
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wb = Window.partitionBy(patient, "_dk", "_tb").orderBy(F.col(tiebreak).asc())
-    ranked = x.withColumn("_rb", F.row_number().over(wb))
-    cond = (ranked[patient].eqNullSafe(offsets["_p"]) & (ranked["_dk"] == offsets["_dk2"])
-            & (ranked["_tb"] == offsets["_tb2"]))
-    return (ranked.join(offsets, cond, "left")
-            .select(*[ranked[c] for c in df.columns],
-                    (F.col("_off") + F.col("_rb")).cast("int").alias(out)))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = (df.withColumn("_dk", day_key).repartitionByRange(parts, patient, "_dk", tiebreak)
+         .sortWithinPartitions(patient, "_dk", tiebreak).withColumn("_pid", F.spark_partition_id()))
+    y = cut_lineage(_numbered(x, patient))
+    offs = slice_offsets(y, patient)
+    j = y.join(F.broadcast(offs), y[patient].eqNullSafe(offs["_p"]) & (y["_pid"] == offs["_q"]), "left")
+    return j.select(*[y[c] for c in df.columns],
+                    (F.coalesce("_off", F.lit(0)) + F.col("_rk")).cast("int").alias(out))
+
+
+def slice_offsets(numbered: DataFrame, patient: str = PATIENT) -> DataFrame:
+    """(_p, _q, _off): rows of a patient in the slices before ``_q``, for patients
+    in more than one slice; two rows a boundary at most."""
+    n = numbered.groupBy(F.col(patient).alias("_p"), F.col("_pid").alias("_q")).agg(F.max("_rk").alias("_n"))
+    w = Window.partitionBy("_p").orderBy("_q")
+    return (n.withColumn("_off", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+            .where(F.col("_off").isNotNull()).select("_p", "_q", "_off"))
+
+
+def _numbered(df: DataFrame, patient: str) -> DataFrame:
+    """Adds ``_rk``: place among its patient's rows in the (sorted) partition."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    at = df.columns.index(patient)
+
+    def run(batches):
+        last, seen = None, 0                 # the patient at the end of the batch before, its rows so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = pc.fill_null(pc.dictionary_encode(b.column(at)).indices, -1).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            size = np.diff(np.append(begin, b.num_rows))
+            rk = np.arange(b.num_rows) - np.repeat(begin, size) + 1
+            first = b.column(at)[0].as_py()
+            if seen and first == last:
+                rk[:size[0]] += seen
+            last, seen = b.column(at)[b.num_rows - 1].as_py(), int(rk[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rk)], [*b.schema.names, "_rk"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_rk", T.LongType())]))
 
 
 def newest_rows(df: DataFrame, n: int, patient: str = PATIENT, date: str = DATE,
@@ -101,6 +124,8 @@ def rows_before_last_date(df: DataFrame, patient: str = PATIENT,
 def sequence_candidates(df: DataFrame, patient: str = PATIENT, date: str = DATE,
                         tiebreak: str = TIEBREAK, cols=(), order: int = 6) -> DataFrame:
     """Bounded set of rows per patient that determines all sequence outputs."""
+    if not 1 <= order <= 12:     # the count table has 2**(order + 1) keys
+        raise ValueError("order must be from 1 to 12")
     base = df.select(patient, date, tiebreak, *cols)
     w_day = Window.partitionBy(patient, date).orderBy(F.col(tiebreak).asc())
     # >= 2 per day so "more than one row on the newest day" stays exact

@@ -10,14 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import DATE, DNA, TIEBREAK
+from ..functions.columns import join_null_safe
+from ..schemas import DATE, DNA, PATIENT, TIEBREAK
 from .sampling import half_split
 
-# Abramowitz & Stegun 7.1.26 coefficients for erf (|error| <= 1.5e-7).
-ERF_P = 0.3275911
-ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
-
 # Reminder offsets in days before the appointment.
 INTERVENTION_DAYS = [5, 3]
 CONTROL_DAYS = [5]
@@ -28,10 +26,12 @@ def assign_bands(df: DataFrame, prob: str, cut: float = 0.5, out: str = "band")
     return df.withColumn(out, F.when(F.col(prob) >= cut, F.lit("high")).otherwise(F.lit("low")))
 
 
-def assign_arms(df: DataFrame, key: str = TIEBREAK, band: str = "band", seed=0,
+def assign_arms(df: DataFrame, key: str = PATIENT, band: str = "band", seed=0,
                 out: str = "arm") -> DataFrame:
-    """Exact 50:50 intervention / control inside every band."""
-    return half_split(df, key, [band], seed, out)
+    """Exact 50:50 intervention / control of the patients in every band; all
+    appointments of a patient get the patient's arm, so the arms are independent."""
+    patients = half_split(df.select(key, band).distinct(), key, [band], seed, out)
+    return join_null_safe(df, patients, [key, band])
 
 
 def reminder_schedule(df: DataFrame, key: str = TIEBREAK, date: str = DATE,
@@ -45,14 +45,12 @@ def reminder_schedule(df: DataFrame, key: str = TIEBREAK, date: str = DATE,
 
 
 def two_sided_p(z) -> "F.Column":
-    """P(|Z| >= |z|) for a standard normal: erfc(|z| / sqrt 2), rounded to 6
-    decimals (the approximation is good to 1.5e-7)."""
-    x = F.abs(z) / F.lit(2 ** 0.5)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * x)
-    poly = F.lit(0.0)
-    for a in reversed(ERF_A):
-        poly = (poly + F.lit(a)) * t
-    return F.round(poly * F.exp(-x * x), 6)
+    """P(|Z| >= |z|) for a standard normal, erfc(|z| / sqrt 2): one value a band."""
+    @F.pandas_udf(T.DoubleType())
+    def p(z):
+        import math
+        return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None).astype("float64")
+    return p(z)
 
 
 def trial_outcome(df: DataFrame, band: str = "band", arm: str = "arm",

@@ -31,7 +31,7 @@ def run_trial(appts: DataFrame, probs: DataFrame, cut: float = 0.5, seed=2024,
               outcome: str = DNA):
     """Returns (arms, reminders, outcome) DataFrames."""
     base = join_null_safe(appts.select(appt, key, date, outcome), probs, [key])
-    # the arm assignment reads its input twice (bucket counts, ranks)
+    # the arm assignment reads its input twice (the patients, their appointments)
     base = cut_lineage(assign_bands(base, "probability", cut))
-    arms = assign_arms(base, appt, "band", seed)
+    arms = assign_arms(base, key, "band", seed)
     return arms, reminder_schedule(arms, appt, date), trial_outcome(arms, outcome=outcome)

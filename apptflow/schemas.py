@@ -43,6 +43,29 @@ APPOINTMENT_SCHEMA = T.StructType([
     T.StructField("follow_up_appt", T.IntegerType(), True),
 ])
 
+# Column names of the source file that differ from the canonical
+# ones (they must match for its files to be read).
+SOURCE_NAMES = {
+    "anonID": "patient_id",
+    "anonClinic": "clinic",
+    "date_letter_received_dt": "letter_received_dt",
+    "dnaFlag": "dna_flag",
+    "cancelFlag": "cancel_flag",
+    "travelDist": "travel_dist",
+    "month": "appt_month",
+    "refSource": "ref_source",
+    "femaleSpec": "female_spec",
+    "paedSpec": "paed_spec",
+    "newAppt": "new_appt",
+    "physioSpec": "physio_spec",
+    "raeiLeighTl": "raei_leigh_tl",
+    "T&Oappt": "tno_appt",
+    "followUpAppt": "follow_up_appt",
+}
+
+# Without these no feature can be made.
+REQUIRED_COLUMNS = [PATIENT, CLINIC, DATE, DNA, CANCEL]
+
 # Display names of the model features, in the reference's
 # order (must match for the model table and the attribution report).
 DISPLAY_NAMES = {

@@ -13,20 +13,68 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.columns import flag, iso_weekday
-from ..schemas import APPOINTMENT_SCHEMA
+from ..functions.columns import flag, iso_weekday, lead_days
+from ..schemas import APPOINTMENT_SCHEMA, REQUIRED_COLUMNS, SOURCE_NAMES
 from .tables import read_table
 
 
 def read_appointments(spark: SparkSession, path: str, fmt: str = "csv",
                       schema=APPOINTMENT_SCHEMA) -> DataFrame:
-    """Scan an appointment file with a declared schema (no inference)."""
-    reader = spark.read.schema(schema)
+    """An appointment file or folder, columns by header name.
+
+    A column is known by its canonical or its source name, in any order; other
+    columns are left out.  A file without one of the required columns raises
+    ValueError; a value that doesn't fit its declared type fails the read.
+    Optional feature columns that are absent are null, except those that follow
+    from dates: lead days, month and weekday.  Without an appointment id the
+    place in the file is the tiebreak (files in order of name)."""
+    if fmt == "csv":
+        head = spark.read.option("header", True).csv(path).columns
+    else:
+        head = spark.read.format(fmt).load(path).columns
+    canonical = {f.name for f in schema.fields}
+    of = {c: SOURCE_NAMES.get(c, c) for c in head}
+    double = sorted({c for c in canonical if sum(v == c for v in of.values()) > 1})
+    missing = [c for c in REQUIRED_COLUMNS if c not in of.values()]
+    if double or missing:
+        raise ValueError(f"appointment file: columns missing {missing}, given twice {double}")
     if fmt == "csv":
-        # default date parsing keeps the date part of date-time text too
-        return reader.option("header", True).csv(path)
-    return reader.format(fmt).load(path)
+        kinds = {f.name: f.dataType for f in schema.fields}
+        declared = T.StructType([T.StructField(c, kinds.get(of[c], T.StringType())) for c in head])
+        # files whose header differs from the first one's are refused; default
+        # date parsing keeps the date part of date-time text too
+        df = (spark.read.schema(declared).option("header", True).option("enforceSchema", False)
+              .option("mode", "FAILFAST").csv(path))
+    else:
+        df = spark.read.format(fmt).load(path)
+    if "appt_id" not in of.values():
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_block"))
+        df = _with_place(df)
+    have = {of.get(c, c): c for c in df.columns}
+    cols = {f.name: F.col(f"`{have[f.name]}`").cast(f.dataType) if f.name in have
+            else F.lit(None).cast(f.dataType) for f in schema.fields}
+    if "time_to_be_seen_days" not in have:
+        cols["time_to_be_seen_days"] = lead_days(cols["appointment_dt"], cols["letter_received_dt"])
+    if "appt_month" not in have:
+        cols["appt_month"] = F.month(cols["appointment_dt"])
+    if "day_of_week" not in have:
+        cols["day_of_week"] = iso_weekday(cols["appointment_dt"])
+    return df.select(*[x.alias(c) for c, x in cols.items()])
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """``appt_id`` from the place in the files: the split's number (by file name
+    and position, a row for each split), then the row's place in the split."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    splits = at.groupBy("_file", "_block").agg(F.min("_at").alias("_first"))
+    order = splits.withColumn("_split", F.row_number().over(Window.orderBy("_file", "_block")).cast("long"))
+    j = at.join(order, ["_file", "_block"])
+    place = F.shiftleft("_split", 40) + F.col("_at") - F.col("_first")
+    return j.withColumn("appt_id", place).drop("_file", "_block", "_at", "_first", "_split")
 
 
 def appointments_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from apptflow.functions.columns import (drop_last_char, iso_weekday, join_null_safe,
-                                        prefix_event, ratio, window_start)
+                                        lead_days, prefix_event, ratio)
 
 
 def test_string_helpers(spark):
@@ -15,10 +15,9 @@ def test_string_helpers(spark):
 
 
 def test_date_helpers(spark):
-    df = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 7),)], "d date")
-    got = [(r.w, r.s) for r in df.select(iso_weekday("d").alias("w"),
-                                          window_start("d", 90).alias("s")).collect()]
-    assert got == [(1, dt.date(2023, 10, 3)), (7, dt.date(2023, 10, 9))]
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2023, 12, 30)), (dt.date(2024, 1, 7), None)], "d date, l date")
+    got = [(r.w, r.s) for r in df.select(iso_weekday("d").alias("w"), lead_days("d", "l").alias("s")).collect()]
+    assert got == [(1, 2.0), (7, None)]
 
 
 def test_ratio_and_null_safe_join(spark):

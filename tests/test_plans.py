@@ -46,10 +46,24 @@ def test_scan_prunes_columns(spark):
     assert "o_totalprice" not in scan and "o_orderpriority" not in scan
 
 
-def test_sequence_lookup_is_broadcast(spark):
+def test_sequence_lookup_is_a_scalar_map(spark):
+    """The count table enters the patients' projection as one value, no join."""
+    seqs = S.patient_sequences(appointments_from_orders(spark, SF), {"dna_flag": "e"})
+    seqs = spark.createDataFrame(seqs.collect(), seqs.schema)        # the views' own joins out of sight
+    txt = formatted(S.sequence_probabilities(seqs, "full_e", "history_e"))
+    assert "Join" not in txt and "Subquery" in txt
+
+
+def test_features_scan_the_table_three_times(spark):
     a = appointments_from_orders(spark, SF)
-    txt = formatted(S.markov_probability(a))
-    assert "BroadcastExchange" in txt and "SortMergeJoin" not in txt
+    n, seen = a.count(), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    patient_features(a.mapInArrow(count, a.schema), min_count=50).collect()
+    assert seen.value <= 3 * n
 
 
 def test_hash_rank_no_single_stratum_window(spark):
@@ -97,7 +111,7 @@ def test_entry_smoke(spark):
     assert "DNA probability by sequence" in df.columns
 
 
-def test_rank_hot_patient_day_small_blocks(spark):
+def test_rank_hot_patient_and_spread_out_ids(spark):
     import datetime as dt
     rnd = random.Random(11)
     rows = []
@@ -107,7 +121,7 @@ def test_rank_hot_patient_day_small_blocks(spark):
                                                                   else rnd.randint(0, 9)))
         rows.append((rnd.randint(0, 10**6) * 1000 + i, p, "c", d, 0, 0))
     df = spark.createDataFrame(rows, APPT).repartition(5)
-    got = {r.appt_id: r.rn for r in S.rank_appointments(df, block_bits=2).collect()}
+    got = {r.appt_id: r.rn for r in S.rank_appointments(df, parts=7).collect()}
     pdf = pd.DataFrame(rows, columns=[f.name for f in APPT.fields])
     pdf["nul"] = pdf.appointment_dt.isna()
     pdf["d"] = pdf.appointment_dt.fillna(dt.date(1900, 1, 1))
@@ -117,6 +131,23 @@ def test_rank_hot_patient_day_small_blocks(spark):
             assert got[aid] == k
 
 
+def test_rank_offsets_are_bounded_by_the_slices(spark):
+    """At most two rows a slice boundary, whatever the patients and ids."""
+    import datetime as dt
+    rows = [(i * 1_000_003, None if i % 5 == 0 else ("HOT" if i % 3 == 0 else f"p{i}"), "c", dt.date(2024, 1, 1 + i % 9), 0, 0)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, APPT).withColumn("_dk", -F.unix_date("appointment_dt"))
+    x = df.repartitionByRange(11, "patient_id", "_dk", "appt_id").sortWithinPartitions("patient_id", "_dk", "appt_id") \
+        .withColumn("_pid", F.spark_partition_id())
+    offs = S.slice_offsets(S._numbered(x, "patient_id")).collect()
+    assert 0 < len(offs) <= 2 * 10
+    got = {r.appt_id: r.rn for r in S.rank_appointments(df.drop("_dk"), parts=11).collect()}
+    by = {}
+    for r in sorted(rows, key=lambda r: (-r[3].toordinal(), r[0])):
+        by.setdefault(r[1], []).append(r[0])
+    assert all(got[a] == k for g in by.values() for k, a in enumerate(g, 1))
+
+
 def test_no_cross_joins_in_core_plans(spark):
     import __spark_entry__ as E
     qs = E.queries()

@@ -35,6 +35,23 @@ def test_run_many_writes_reads_and_averages(spark, tmp_path):
     assert again[0].metrics.drop("date").collect() == results[0].metrics.drop("date").collect()
 
 
+def test_a_stopped_run_many_keeps_finished_runs(spark, tmp_path, monkeypatch):
+    import apptflow.plans.training as TP
+    table = model_table(patient_features(appointments_from_orders(spark, SF), min_count=50), keep=("patient_id",))
+    once, out = TP.run_once, str(tmp_path / "runs")
+
+    def stops(table, run, *a, **k):
+        if run == 3:
+            raise RuntimeError("stopped")
+        return once(table, run, *a, **k)
+    monkeypatch.setattr(TP, "run_once", stops)
+    try:
+        run_many(table, runs=5, p=BoostParams(rounds=2, folds=2, depth=2), out_path=out, date="2024-05-14")
+    except RuntimeError:
+        pass
+    assert sorted(r.run for r in read_run_metrics(spark, out).collect()) == [1, 2]
+
+
 def test_full_flow_small(spark, tmp_path):
     from apptflow.plans.flow import full_flow
     res = full_flow(appointments_from_orders(spark, SF), str(tmp_path / "flow"), runs=1,

@@ -5,11 +5,11 @@ from apptflow.operators import trial as TR
 
 
 def test_bands_arms_reminders_outcome(spark):
-    rows = [(i, dt.date(2024, 2, 10), 0.9 if i < 40 else 0.1, 1 if i % 4 == 0 else 0)
+    rows = [(i, i, dt.date(2024, 2, 10), 0.9 if i < 40 else 0.1, 1 if i % 4 == 0 else 0)
             for i in range(100)]
-    df = spark.createDataFrame(rows, "appt_id long, appointment_dt date, p double, dna_flag int")
+    df = spark.createDataFrame(rows, "appt_id long, patient_id long, appointment_dt date, p double, dna_flag int")
     b = TR.assign_bands(df, "p", 0.5)
-    a = TR.assign_arms(b, "appt_id", "band", seed=1)
+    a = TR.assign_arms(b, "patient_id", "band", seed=1)
     c = {(r.band, r.arm): r["count"] for r in a.groupBy("band", "arm").count().collect()}
     assert c == {("high", "intervention"): 20, ("high", "control"): 20,
                  ("low", "intervention"): 30, ("low", "control"): 30}
@@ -28,12 +28,26 @@ def test_bands_arms_reminders_outcome(spark):
     assert (h.z is None and z is None) or abs(h.z - z) < 1e-12
 
 
+def test_arms_are_drawn_by_patient(spark):
+    rows = [(i, i % 37 if i % 37 else None, "high" if i % 37 < 20 else "low") for i in range(1000)]
+    a = TR.assign_arms(spark.createDataFrame(rows, "appt_id long, patient_id long, band string"), seed=3)
+    assert a.count() == 1000
+    per = a.groupBy("patient_id").agg({"arm": "count"}).count()
+    arms = a.select("patient_id", "band", "arm").distinct().collect()
+    assert len(arms) == per == 37                              # no patient in two arms
+    for band, n in (("high", 20), ("low", 17)):
+        assert sum(r.arm == "intervention" for r in arms if r.band == band) in (n // 2, n - n // 2)
+
+
 def test_two_sided_p_value(spark):
-    zs = [0.0, 0.5, 1.0, 1.959964, 2.5, -3.0, 4.0]
-    df = spark.createDataFrame([(z,) for z in zs], "z double")
-    got = [r.p for r in df.select(TR.two_sided_p(df.z).alias("p")).collect()]
-    for z, p in zip(zs, got):
-        assert abs(p - math.erfc(abs(z) / math.sqrt(2))) < 1e-6
+    """Published values of the normal distribution, far tails included."""
+    known = {0.0: 1.0, 1.0: 0.31731050786291410, -1.959963984540054: 0.05, 2.5758293035489004: 0.01,
+             3.0: 0.0026997960632601866, 6.0: 1.9731752900753855e-09, 10.0: 1.523970604832105e-23}
+    df = spark.createDataFrame([(z,) for z in known] + [(None,)], "z double")
+    got = {r.z: r.p for r in df.select("z", TR.two_sided_p(df.z).alias("p")).collect()}
+    assert got.pop(None) is None
+    for z, p in known.items():
+        assert math.isclose(got[z], p, rel_tol=1e-12)
 
 
 def test_run_trial_plan(spark):
@@ -48,8 +62,9 @@ def test_run_trial_plan(spark):
     arms, rem, out = run_trial(a, probs, cut=0.4, seed=7)
     assert arms.count() == a.count()
     c = {(r.band, r.arm): r["count"] for r in arms.groupBy("band", "arm").count().collect()}
+    by = {(r.band, r.arm): r["n"] for r in arms.groupBy("band", "arm").agg(F.countDistinct("patient_id").alias("n")).collect()}
     for band in {b for b, _ in c}:
-        assert abs(c.get((band, "intervention"), 0) - c.get((band, "control"), 0)) <= 1
+        assert abs(by.get((band, "intervention"), 0) - by.get((band, "control"), 0)) <= 1
     n_iv = sum(v for (b, arm), v in c.items() if arm == "intervention")
     assert rem.count() == 2 * n_iv + (a.count() - n_iv)
     assert {r.band for r in out.collect()} == {b for b, _ in c}
