@@ -7,7 +7,7 @@ of all rows still ships one partial row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag, join_null_safe, ratio
@@ -123,12 +123,12 @@ def share_within(df: DataFrame, count_col: str, by: list[str] | None = None,
                  out: str = "prop") -> DataFrame:
     """``count / sum(count)`` within groups (whole table when ``by`` is empty).
 
-    Implemented as aggregate + join of the group totals rather than an
-    unpartitioned window, so no single task has to hold the table.
+    With groups, the totals come from a window over the (already counted) rows,
+    so the counts are computed once; null keys are a group.  Without groups the
+    total is a scalar subquery: no task has to hold the table.
     """
-    by = by or []
     if not by:
         tot = df.agg(F.sum(count_col)).scalar()
         return df.withColumn(out, ratio(count_col, tot))
-    tot = df.groupBy(*by).agg(F.sum(count_col).alias("_tot"))
-    return join_null_safe(df, tot, by).withColumn(out, ratio(count_col, "_tot")).drop("_tot")
+    return (df.withColumn("_tot", F.sum(count_col).over(Window.partitionBy(*by)))
+            .withColumn(out, ratio(count_col, "_tot")).drop("_tot"))

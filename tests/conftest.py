@@ -8,8 +8,9 @@ sys.path.insert(0, ROOT)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from apptflow.session import get_spark
-    s = get_spark("local[*]", app="apptflow-tests", shuffle_partitions=8)
+    s = get_spark("local[*]", app="apptflow-tests", shuffle_partitions=8,
+                  extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
     s.stop()
