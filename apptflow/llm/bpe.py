@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import map_array, new_folder, put_file
+from .words import SPACE_WORDS, chunk_rows, text_buffers, words
 
 WORD_END = "</w>"
 
@@ -119,6 +120,81 @@ def _merge_long(s: list[str], rank: dict) -> list[str]:
     return [x for x, ok in zip(s, alive) if ok]
 
 
+class Merger:
+    """Merges of many words at once: a word is a row of ids, the pair table a hash
+    table; each round merges every row's lowest-ranked pair, leftmost first."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.inner = np.array([v.ids[c] for c in v.letters], np.int32)
+        self.last = np.array([v.ids[c + WORD_END] for c in v.letters], np.int32)
+        pairs = [(v.ids[a], v.ids[b], v.ids[a + b]) for a, b in v.rank]       # in the order of their ranks
+        left, right, made = (np.array(x, np.int64) for x in zip(*pairs))
+        self.bits = max(4, int(4 * len(pairs)).bit_length())
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.rank = np.full(1 << self.bits, 1 << 30, np.int32)
+        self.made = np.zeros(1 << self.bits, np.int32)
+        keys = left << 32 | right
+        for k, at, i, m in zip(keys.tolist(), self._slot(keys).tolist(), range(len(pairs)), made.tolist()):
+            while self.key[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.key[at], self.rank[at], self.made[at] = k, i, m
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the keys (an empty slot, with the largest rank, for others)."""
+        at = self._slot(keys)
+        todo = np.flatnonzero((self.key[at] != keys) & (self.key[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            todo = todo[(self.key[at[todo]] != keys[todo]) & (self.key[at[todo]] >= 0)]
+        return at
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for lo, hi in ((1, 4), (5, 8), (9, 12), (13, 16), (17, 32), (33, 64)):
+            pick = np.flatnonzero((size >= lo) & (size <= hi))
+            for part in np.array_split(pick, len(pick) // 8192 + 1):
+                if len(part):
+                    self._merge([words[i] for i in part], size[part], hi, part, out)
+        for i in np.flatnonzero(size > 64):
+            out[i] = np.array(self.v.merge(words[i].decode("utf-8")), "<u4").tobytes()
+        return out
+
+    def _merge(self, words, size, width, part, out) -> None:
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        ids = self.inner[raw]
+        row = np.arange(len(words))
+        ids[row, size - 1] = self.last[raw[row, size - 1]]
+        size = size.copy()
+        col = np.arange(width)
+        live = np.flatnonzero(size > 1)
+        while len(live):
+            x = ids[live]
+            keys = x[:, :-1].astype(np.int64) << 32 | x[:, 1:]
+            slot = self._find(keys.ravel()).reshape(keys.shape)
+            rank = self.rank[slot]
+            rank[col[1:] >= size[live][:, None]] = 1 << 30      # behind the word's end
+            best = rank.argmin(axis=1)
+            n = np.arange(len(live))
+            ok = rank[n, best] < 1 << 30
+            live, x, best, made = live[ok], x[ok], best[ok], self.made[slot[n, best]][ok]
+            if not len(live):
+                break
+            moved = np.take_along_axis(x, np.minimum(col + (col > best[:, None]), width - 1), axis=1)
+            moved[np.arange(len(live)), best] = made
+            ids[live] = moved
+            size[live] -= 1
+            live = live[size[live] > 1]
+        data = ids.astype("<u4").tobytes()
+        for j, (i, k) in enumerate(zip(part.tolist(), size.tolist())):
+            out[i] = data[4 * j * width:4 * (j * width + k)]
+
+
 # ------------------------------------------------------------------ the lexicon
 
 def build_lexicon(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -225,17 +301,24 @@ def frequent_words(texts: DataFrame, text_col: str, vocab_path: str, most: int)
     def run(batches):
         v, seen = _vocabulary(vocab_path), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(t.lower().split())
+            buf, off = text_buffers(b.column(0))
+            for lo, hi in chunk_rows(off):
+                part = buf[off[lo]:off[hi]]
+                h, s, e, _ = words(part, off[lo:hi + 1] - off[lo], SPACE_WORDS)
+                _, at, n = np.unique(h, return_index=True, return_counts=True)
+                at, n = at[n > 1], n[n > 1]
+                data = part.tobytes()
+                for i, j, c in zip(s[at].tolist(), e[at].tolist(), n.tolist()):
+                    if j - i <= 64:
+                        seen[data[i:j]] += c
             if len(seen) > 8 * most:
                 seen = Counter(dict(seen.most_common(4 * most)))
         pieces = Counter()
-        for w, c in seen.most_common(4 * most):
-            for p in v.split(w):
+        for w, c in seen.most_common(2 * most):
+            for p in v.split(w.decode("utf-8")):
                 if isinstance(p, str):
                     pieces[p] += c
-        got = pieces.most_common(2 * most)
+        got = pieces.most_common(most)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()),
                                           pa.array([c for _, c in got], pa.int64())], ["w", "n"])
 
@@ -245,14 +328,15 @@ def frequent_words(texts: DataFrame, text_col: str, vocab_path: str, most: int)
     return rows.column(0).to_pylist()
 
 
-def write_lexicon(spark: SparkSession, words: list[str], vocab_path: str) -> str:
+def write_lexicon(spark: SparkSession, lexicon_words: list[str], vocab_path: str) -> str:
     """Compile words with their ids; the folder of the mapped arrays."""
     v = Vocabulary(vocab_path)
-    pairs = sorted({w.encode("utf-8"): w for w in words}.items())
+    pairs = sorted({w.encode("utf-8"): w for w in lexicon_words}.items())
     arrays = build_lexicon([b for b, _ in pairs])
-    ids = [v.merge(w) for _, w in pairs]
-    arrays["id_at"] = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    arrays["ids"] = np.array([i for x in ids for i in x], np.int32)
+    ids = Merger(v)([b for b, _ in pairs])
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+    arrays["id_at"] = np.append(at, at[-1]).astype(np.int32)      # one more, so that an empty lexicon can be indexed
+    arrays["ids"] = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
     folder = new_folder(spark, "lexicon")
     for k, t in Lexicon.FIELDS.items():
         put_file(folder, k, np.ascontiguousarray(arrays[k].astype(t)))
@@ -268,6 +352,13 @@ def _vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def _merger(path: str) -> Merger:
+    key = f"merger:{path}"
+    if key not in _LOADED:
+        _LOADED[key] = Merger(_vocabulary(path))
+    return _LOADED[key]
+
+
 def _lexicon(folder: str) -> Lexicon:
     if folder not in _LOADED:
         for k in [k for k, x in _LOADED.items() if isinstance(x, Lexicon)]:
@@ -277,34 +368,40 @@ def _lexicon(folder: str) -> Lexicon:
 
 
 class Encoder:
-    """Texts to ids; ``known`` keeps the ids of words met, up to ``keep``."""
+    """Texts to ids and decoded strings; ``known`` keeps both of the words met, up
+    to ``keep`` of them."""
+
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, merger: Merger, keep: int = 400_000):
+        self.v, self.lex, self.merger, self.keep = vocab, lexicon, merger, keep
+        self._forget()
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, keep: int = 400_000):
-        self.v, self.lex, self.keep = vocab, lexicon, keep
-        self.known: dict = {i: np.array([i], "<u4").tobytes() for i in vocab.special.values()}
-        self.merged = 0
+    def _forget(self) -> None:
+        self.known = {i: (np.array([i], "<u4").tobytes(), t) for t, i in self.v.special.items()}
 
     def learn(self, pieces: set) -> None:
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > self.keep:
-            self.known = {i: np.array([i], "<u4").tobytes() for i in self.v.special.values()}
+            self._forget()
             new = [p for p in pieces if p not in self.known]
-        ranks = self.lex.ranks([p.encode("utf-8") for p in new])
-        ids = np.asarray(self.lex.a["ids"]).astype("<u4")
-        at = self.lex.a["id_at"]
-        for p, r in zip(new, ranks.tolist()):
-            if r >= 0:
-                self.known[p] = ids[at[r]:at[r + 1]].tobytes()
-            else:
-                self.merged += 1
-                self.known[p] = np.array(self.v.merge(p), "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        raw = [p.encode("utf-8") for p in new]
+        ranks = self.lex.ranks(raw)
+        ids, at = np.asarray(self.lex.a["ids"]).astype("<u4").tobytes(), self.lex.a["id_at"]
+        merged = iter(self.merger([w for w, r in zip(raw, ranks.tolist()) if r < 0]))
+        begin, end = at[np.maximum(ranks, 0)].tolist(), at[np.maximum(ranks, 0) + 1].tolist()
+        tokens = self.v.tokens
+        for p, r, a, b in zip(new, ranks.tolist(), begin, end):
+            x = ids[4 * a:4 * b] if r >= 0 else next(merged)
+            self.known[p] = (x, decode(x, tokens))
+
+    def encode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[str] | None]:
+        """Ids of each text as little-endian 32-bit integers, and what they decode
+        to (a text's decoded pieces joined are its decoded ids)."""
         pieces = [self.v.split(t) if t else [] for t in texts]
-        self.learn(set().union(*pieces) if pieces else set())
+        self.learn(set().union(*pieces))
         known = self.known
-        return [b"".join([known[p] for p in x]) for x in pieces]
+        found = [[known[p] for p in x] for x in pieces]
+        return ([b"".join([i for i, _ in x]) for x in found],
+                [" ".join([t for _, t in x]) for x in found] if decoded else None)
 
 
 def decode(ids: bytes, tokens: dict[int, str]) -> str:
@@ -341,13 +438,13 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         v = _vocabulary(vocab_path)
-        enc = Encoder(v, _lexicon(folder))
+        enc = Encoder(v, _lexicon(folder), _merger(vocab_path))
         for b in batches:
             for lo in range(0, b.num_rows, chunk):
                 part = b.slice(lo, chunk)
-                ids = enc.encode(part.column(1).to_pylist())
+                ids, texts = enc.encode(part.column(1).to_pylist(), decoded)
                 if decoded:
-                    out = [pa.array(ids, pa.binary()), pa.array([decode(x, v.tokens) for x in ids], pa.string())]
+                    out = [pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
                 else:
                     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                     at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))

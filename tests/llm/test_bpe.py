@@ -76,6 +76,13 @@ def test_long_and_short_merges_agree():
         assert [v.ids[x] for x in B._merge_long(s, v.rank)] == v.merge(w)
 
 
+def test_merging_many_words_at_once():
+    v = B.Vocabulary(PATH)
+    words = sorted(set(re.findall(r"\S+", " ".join(_random_texts(400, 5)).lower())) | {"a", "zz" * 40, "é" * 32, "thththth"})
+    got = B.Merger(v)([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [v.merge(w) for w in words]
+
+
 def test_plain_text_round_trip():
     v = B.Vocabulary(PATH)
     for t in ("hello world", "naïve café 日本", "a" * 200):
