@@ -54,15 +54,14 @@ def need_overlap(na, nb, num: int, den: int):
 
 
 def groups_of(n: int) -> int:
-    """Groups of a set of n shingles, a power of two: 8 to 16 shingles in each.
-    Unrelated sets of n then differ by about sqrt(n * groups) counts, a third of n,
-    while sets that link differ by less than a fifth."""
-    return 1 << max(4, (max(n, 1) // 16).bit_length())
+    """Groups of a set of n shingles, a power of two: one or two shingles in each,
+    so that what two sets don't share rarely meets in a group by chance."""
+    return 1 << max(4, (max(n, 1) // 2).bit_length())
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """Counts by group, at most 255: shingles are distinct and their hashes mixed,
-    8 to 16 are expected, so the limit is never met (and is checked)."""
+    so the limit is never met (and is checked)."""
     g = groups_of(len(s))
     v = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
     if v.max(initial=0) > 255:
@@ -447,7 +446,7 @@ def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: i
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                        num: int = 80, den: int = 100, tile: int = 4096, bits: int = 40,
-                       segment: int = 4_000_000, heavy_class: int = 7, keep_key: bool = False) -> DataFrame:
+                       segment: int = 1_000_000, heavy_class: int = 7, keep_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id), with
     ``keep_key`` also ``key``, the xxhash64 of the text.
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20      # of the passes over bytes, whose arrays are the largest
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -118,7 +119,7 @@ def _hash_block(mapped: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(h + (ends - starts).astype(np.uint64) * _M3), starts, ends
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, block: int = CHUNK_BYTES):
+def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, block: int = BLOCK_BYTES):
     """Word hashes of texts in ``buf``.
 
     Returns (hash, start, end, first): first[i]:first[i+1] are text i's words.
