@@ -11,13 +11,20 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_POP = np.array([bin(b).count("1") for b in range(256)], np.int64)
-_SELECT = np.zeros((256, 8), np.int64)
+_SELECT = np.zeros((256, 8), np.uint8)       # place of the r-th set bit of a byte
+_ONES = _U(0x0101010101010101)
 for _b in range(256):
     for _r, _i in enumerate([i for i in range(8) if _b >> i & 1]):
         _SELECT[_b, _r] = _i
 
 
+def _byte_counts(x: np.ndarray) -> np.ndarray:
+    """Set bits of each byte of 64-bit words, in that byte."""
+    x = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    x = (x & _U(0x3333333333333333)) + ((x >> _U(2)) & _U(0x3333333333333333))
+    return (x + (x >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)
+
+
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays of sorted uint64 values below ``universe``: head (n, low bits,
     words), low, high, ones (set bits before each word of ``high``)."""
@@ -41,7 +48,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         high[word[begin]] = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), begin)
     ones = np.zeros(words + 1, np.uint32)
-    ones[1:] = np.cumsum(_POP[high.view(np.uint8)].reshape(-1, 8).sum(axis=1))
+    ones[1:] = np.cumsum((_byte_counts(high) * _ONES) >> _U(56))
     return {"head": np.array([n, bits, words], np.int64), "low": low, "high": high, "ones": ones}
 
 
@@ -70,13 +77,13 @@ class EliasFano:
         x = self.high[word]
         if not ones:
             x = ~x
-        by = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
-        acc = np.cumsum(_POP[by], axis=1)
-        r = k - before
-        byte = (acc <= r[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        r = r - np.where(byte > 0, acc[row, np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + _SELECT[by[row, byte], r]
+        # byte i of acc: set bits up to and with byte i
+        acc = _byte_counts(x) * _ONES
+        r = (k - before).astype(np.uint8)
+        byte = (acc.view(np.uint8).reshape(-1, 8) <= r[:, None]).sum(axis=1, dtype=np.uint64)
+        shift = byte << _U(3)
+        r -= ((acc << _U(8)) >> shift).astype(np.uint8)
+        return word * 64 + (shift + _SELECT[(x >> shift).astype(np.uint8), r]).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -96,10 +103,19 @@ class EliasFano:
         if not len(x):
             return np.zeros(0, np.int64), np.zeros(0, bool)
         h = (x >> _U(self.bits)).astype(np.int64)
-        hi = self._select(h, False) - h
-        lo = np.zeros(len(x), np.int64)
+        # the values with high bits h are the set bits behind the zero before h
+        at = np.zeros(len(x), np.int64)
         later = h > 0
-        lo[later] = self._select(h[later] - 1, False) - (h[later] - 1)
+        at[later] = self._select(h[later] - 1, False) + 1
+        lo = at - h
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, self.words - 1)]
+        run = (self.high[word] >> bit) | np.where(bit > 0, after << ((_U(64) - bit) & _U(63)), _U(0))
+        stop = ~run & (run + _U(1))            # the first clear bit, alone
+        hi = lo + np.log2(np.maximum(stop, _U(1)).astype(np.float64)).astype(np.int64)
+        far = (stop == 0) | ((word + 1 >= self.words) & (hi - lo + (at & 63) >= 64))
+        if far.any():
+            hi[far] = self._select(h[far], False) - h[far]
         end, want = hi.copy(), x & self.mask
         live = np.flatnonzero(lo < hi)
         while len(live):                      # binary search of the low bits, all side by side

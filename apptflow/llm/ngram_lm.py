@@ -263,15 +263,35 @@ def _keys_of(trie: Trie, seq: np.ndarray, at: np.ndarray, min_word: int = 0):
     return ids[inverse], begin
 
 
-def _places(trie: Trie, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Place in level 2 of each position's word after the one before, or -1."""
-    out = np.full(len(ids), -1, np.int64)
-    at = np.flatnonzero(~begin[1:] & (ids[1:] >= 0) & (ids[:-1] >= 0)) + 1
-    if len(at):
+class _Pairs:
+    """The pairs of words of a chunk in level 2.  ``at``: positions of second
+    words; ``of``: the number of each one's distinct pair; ``first``, ``place``: the
+    pairs' first words and places (-1: not kept), both ascending."""
+
+    def __init__(self, trie: Trie, ids: np.ndarray, begin: np.ndarray):
+        self.trie = trie
+        self.at = np.flatnonzero(~begin[1:] & (ids[1:] >= 0) & (ids[:-1] >= 0)) + 1
         n = _U(trie.word_start[-1])
-        u, inverse = np.unique(ids[at - 1].astype(np.uint64) * n + ids[at].astype(np.uint64), return_inverse=True)
-        out[at] = trie.pair_places((u // n).astype(np.int64), (u % n).astype(np.int64))[inverse]
-    return out
+        u, self.of = np.unique(ids[self.at - 1].astype(np.uint64) * n + ids[self.at].astype(np.uint64), return_inverse=True)
+        self.first = (u // n).astype(np.int64)
+        self.place = trie.pair_places(self.first, (u - self.first.astype(np.uint64) * n).astype(np.int64)) if len(u) \
+            else np.zeros(0, np.int64)
+        self.kept = self.place >= 0
+
+    def spread(self, size: int, values: np.ndarray, rest) -> np.ndarray:
+        """The pairs' values at the positions of their second words."""
+        out = np.full(size, rest, values.dtype)
+        out[self.at] = values[self.of]
+        return out
+
+    def relative(self) -> np.ndarray:
+        """Number of the second word among the first's successors, of kept pairs."""
+        out = np.zeros(len(self.place), np.int64)
+        f = self.first[self.kept]
+        change = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+        start = np.repeat(self.trie.first_successor(f[change]), np.diff(np.append(change, len(f))))
+        out[self.kept] = self.place[self.kept] - start
+        return out
 
 
 def _counted(texts: DataFrame, shards: int, keys_of, shard_of, chunk_bytes: int) -> DataFrame:
@@ -388,9 +408,11 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, min_count: i
 
     def triple_keys(seq, at):
         ids, begin = _keys_of(two, seq, at, min_count)
-        place = _places(two, ids, begin)
+        pairs_of = _Pairs(two, ids, begin)
+        place = pairs_of.spread(len(seq), pairs_of.place, -1)
+        rel = pairs_of.spread(len(seq), pairs_of.relative(), 0)
         i = np.flatnonzero((place[1:] >= 0) & (place[:-1] >= 0)) + 1
-        return place[i - 1].astype(np.uint64) * _U(fan) + _relative(two, ids, place, i)
+        return place[i - 1].astype(np.uint64) * _U(fan) + rel[i].astype(np.uint64)
 
     def write_triples(key, t):
         s = key[0].as_py()
@@ -417,12 +439,6 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, min_count: i
     return two
 
 
-def _relative(trie: Trie, ids: np.ndarray, place: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Number of the words at positions i among the successors of the word before."""
-    u, inverse = np.unique(ids[i - 1], return_inverse=True)
-    return (place[i] - trie.first_successor(u)[inverse]).astype(np.uint64)
-
-
 # -------------------------------------------------------------------- scoring
 
 def score_chunk(trie: Trie, seq: np.ndarray, at: np.ndarray):
@@ -436,28 +452,36 @@ def score_chunk(trie: Trie, seq: np.ndarray, at: np.ndarray):
     base[begin] = 0.0
     logp = base.copy()
     if trie.levels >= 2:
-        place = _places(trie, ids, begin)
-        known = np.flatnonzero(place >= 0)
-        p, back = np.unique(place[known], return_inverse=True)
-        left = np.flatnonzero((place < 0) & ~begin)
-        left = left[ids[left - 1] >= 0]
-        c, cback = np.unique(ids[left - 1], return_inverse=True)
-        logp[left] += trie.backoff1(c)[cback]
-        logp[known] = trie.pair_values(p, "prob")[back]
+        pairs = _Pairs(trie, ids, begin)
+        kept = pairs.kept
+        # kept pairs have a probability; others add their context's backoff
+        value = np.zeros(len(kept))
+        value[kept] = trie.pair_values(pairs.place[kept], "prob")
+        value[~kept] = trie.backoff1(pairs.first[~kept])
+        own = kept[pairs.of]
+        logp[pairs.at] = np.where(own, 0.0, logp[pairs.at]) + value[pairs.of]
+        # an unseen word after a known one
+        left = np.flatnonzero((ids[1:] < 0) & ~begin[1:] & (ids[:-1] >= 0)) + 1
+        c, back = np.unique(ids[left - 1], return_inverse=True)
+        logp[left] += trie.backoff1(c)[back]
     if trie.levels >= 3:
-        # texts' second words and later ones whose two words before are kept
-        inner = np.flatnonzero(place[:-1] >= 0) + 1
-        inner = inner[~begin[inner]]
-        c, cback = np.unique(place[inner - 1], return_inverse=True)
-        backoff = trie.pair_values(c, "back")[cback]
-        got = np.full(len(inner), np.nan)
-        both = np.flatnonzero(place[inner] >= 0)
-        i = inner[both]
-        if len(i):
-            k, kback = np.unique(place[i - 1].astype(np.uint64) * _U(trie.fan_out) + _relative(trie, ids, place, i),
-                                 return_inverse=True)
-            got[both] = trie.triple_probs((k // _U(trie.fan_out)).astype(np.int64), (k % _U(trie.fan_out)).astype(np.int64))[kback]
-        logp[inner] = np.where(np.isnan(got), backoff + logp[inner], got)
+        # words whose two words before are a kept pair
+        size = len(seq)
+        place = pairs.spread(size, pairs.place, -1)
+        value = np.zeros(len(kept))
+        value[kept] = trie.pair_values(pairs.place[kept], "back")
+        backoff = pairs.spread(size, value, 0.0)
+        rel = pairs.spread(size, pairs.relative(), 0)
+        inner = np.flatnonzero((place[:-1] >= 0) & ~begin[1:]) + 1
+        logp[inner] += backoff[inner - 1]
+        i = inner[place[inner] >= 0]
+        k = place[i - 1].astype(np.uint64) * _U(trie.fan_out) + rel[i].astype(np.uint64)
+        o = np.argsort(k)
+        k = k[o]
+        context = k // _U(trie.fan_out)
+        got = trie.triple_probs(context.astype(np.int64), (k - context * _U(trie.fan_out)).astype(np.int64))
+        o, got = o[~np.isnan(got)], got[~np.isnan(got)]
+        logp[i[o]] = got
     n = np.diff(at) - 1
     seen = np.add.reduceat(((count > 0) & ~begin).astype(np.int64), at[:-1]) if len(n) else n
     total = [np.add.reduceat(x, at[:-1]) if len(n) else np.zeros(0) for x in (base, logp)]
