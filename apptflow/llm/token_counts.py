@@ -127,6 +127,6 @@ def token_counts(docs: DataFrame, vocab_path: str, end_id: int = 50256, dtype: s
     try:
         written = cut(write_token_files(docs, folder, vocab_path, end_id, dtype, id_col, text_col))
         counts = scan_separators(list_files(spark, folder), folder, end_id, dtype, block_bytes)
-        return cut(written.join(counts, ["file", "doc_no"]).select(F.col("id").alias(id_col), "file", "doc_no", "start", "n_tokens"))
+        return cut(written.hint("merge").join(counts, ["file", "doc_no"]).select(F.col("id").alias(id_col), "file", "doc_no", "start", "n_tokens"))
     finally:
         drop_folder(spark, folder)
