@@ -15,8 +15,8 @@ How it is dealt out
       two sets that link share one of these).  Any order is exact; the rarest
       come first, and those that no other document holds make no block at all.
     * Blocks with the same members are merged by a hash of their members.
-    * First every member is checked against the block's first member, and
-      verified links are merged to components.  The R-trees then only look at
+    * First every member is checked against a few members of its block, the first
+      in fixed orders, and verified links are merged to components.  The R-trees then only look at
       pairs whose components still differ, so a group of n near copies costs n
       checks and not n squared.  Blocks over ``tile`` points are split by size
       strata and tiles.
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import cut, drop_folder, map_array, new_folder, put_file
+from .shared import cut, drop_folder, map_array, new_folder, put_file, tidy
 from .words import SPACE_WORDS, chunk_rows, mix, shingle_sets, signed, text_buffers, words
 
 LEAF = 32
@@ -81,7 +81,7 @@ def _text_sets(docs: DataFrame, id_col: str, text_col: str, k: int, make, schema
                 sets, at = shingle_sets(h, first, k)
                 yield from make(b.column(0).slice(lo, hi - lo), sets, at)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def _fingerprint(s: np.ndarray) -> bytes:
@@ -191,7 +191,7 @@ def frequency_classes(docs: DataFrame, id_col: str, text_col: str, k: int, folde
                  np.array([total], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(level))
         return pa.table({"n": [len(level)]})
 
-    (src.mapInArrow(send, "shard long, part long, seg long, keys binary, counts binary").groupBy("shard")
+    (src.mapInArrow(tidy(send), "shard long, part long, seg long, keys binary, counts binary").groupBy("shard")
      .applyInArrow(count, "shard long, part long, seg long, level binary, sums long").groupBy("part", "seg")
      .applyInArrow(write, "n long").agg(F.sum("n")).collect())
 
@@ -240,7 +240,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int,
                  pa.array(heavy, pa.int32()), pa.array(vecs, pa.binary())],
                 ["id", "n", "fp", "prefix", "heavy", "vec"])
 
-    return src.mapInArrow(run, T.StructType([
+    return src.mapInArrow(tidy(run), T.StructType([
         src.schema["id"], T.StructField("n", T.IntegerType()),
         T.StructField("fp", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
         T.StructField("heavy", T.IntegerType()), T.StructField("vec", T.BinaryType())])) \
@@ -356,7 +356,7 @@ def _bound_filter(pairs: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
     return (pairs.where(F.lit(num) * F.greatest("na", "nb") <= F.lit(den) * F.least("na", "nb"))
-            .select("a", "na", "va", "b", "nb", "vb").mapInArrow(run, "a long, b long"))
+            .select("a", "na", "va", "b", "nb", "vb").mapInArrow(tidy(run), "a long, b long"))
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int,
@@ -397,7 +397,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, te
 
     n_pairs = pairs.count()
     return (pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").select("a", "b", "items_a", "items_b")
-            .mapInArrow(run, "u long, v long"))
+            .mapInArrow(tidy(run), "u long, v long"))
 
 
 def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: int) -> DataFrame:
@@ -446,7 +446,7 @@ def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: i
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                        num: int = 80, den: int = 100, tile: int = 4096, bits: int = 40,
-                       segment: int = 1_000_000, heavy_class: int = 7, keep_key: bool = False) -> DataFrame:
+                       segment: int = 1_000_000, heavy_class: int = 7, anchors: int = 4, keep_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id), with
     ``keep_key`` also ``key``, the xxhash64 of the text.
 
@@ -482,8 +482,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return (pairs.join(point.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
                 .join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b"))
 
-    anchor = member.groupBy("sig").agg(F.min("c").alias("a"))
-    first = member.join(anchor, "sig").where("c <> a").select("a", F.col("c").alias("b")).distinct()
+    # the first members of a block in a few fixed orders: near copies of one text
+    # share most blocks, and so these members
+    first_in = [F.min("c")] + [F.min_by("c", F.xxhash64("c", F.lit(i))) for i in range(1, anchors)]
+    anchor = member.groupBy("sig").agg(F.array_distinct(F.array(*first_in)).alias("a")).select("sig", F.explode("a").alias("a"))
+    first = member.join(anchor, "sig").where("c <> a").select(
+        F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
     first = cut(_bound_filter(pointed(first), num, den))
     edges = cut(verified(docs, reps, first, id_col, text_col, k, num, den))
     comp = cut(connected_components(edges))

@@ -7,11 +7,13 @@ is made only where that is unset on a ``local[...]`` master (tests).
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,6 +59,22 @@ def _local(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
+def tidy(run):
+    """A function for ``mapInArrow`` that gives its memory back at the end of a
+    partition.  Workers serve one task after the other; what the allocators keep
+    for later would add up over the stages of a long job."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 @contextlib.contextmanager
 def stream_file(folder: str, name: str):
     """An open file of the folder, for writing.  It is written under a name of its
