@@ -462,8 +462,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result.  Other columns are not looked at.
 
     ``docs`` is read several times and has to come in the same partitions each
-    time, as tables read from files do (else ValueError: write it first)."""
+    time, as tables read from files do; where its plan has an exchange, its ids
+    and texts are checkpointed first."""
     spark = docs.sparkSession
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = cut(docs.select(id_col, text_col))
     folder = new_folder(spark, "classes")
     shards = 1 << (4 * docs.rdd.getNumPartitions() - 1).bit_length()
     frequency_classes(docs, id_col, text_col, k, folder, shards, bits, segment)
