@@ -16,6 +16,7 @@ decoder), and :func:`plain_text` the words.
 
 from __future__ import annotations
 
+import itertools
 import json
 import unicodedata
 from collections import Counter
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import map_array, new_folder, put_file
+from .shared import map_array, new_folder, put_file, tidy
 from .words import SPACE_WORDS, chunk_rows, text_buffers, words
 
 WORD_END = "</w>"
@@ -302,7 +303,7 @@ def frequent_words(texts: DataFrame, text_col: str, vocab_path: str, most: int)
         v, seen = _vocabulary(vocab_path), Counter()
         for b in batches:
             buf, off = text_buffers(b.column(0))
-            for lo, hi in chunk_rows(off):
+            for lo, hi in chunk_rows(off, 2 << 20):
                 part = buf[off[lo]:off[hi]]
                 h, s, e, _ = words(part, off[lo:hi + 1] - off[lo], SPACE_WORDS)
                 _, at, n = np.unique(h, return_index=True, return_counts=True)
@@ -311,8 +312,8 @@ def frequent_words(texts: DataFrame, text_col: str, vocab_path: str, most: int)
                 for i, j, c in zip(s[at].tolist(), e[at].tolist(), n.tolist()):
                     if j - i <= 64:
                         seen[data[i:j]] += c
-            if len(seen) > 8 * most:
-                seen = Counter(dict(seen.most_common(4 * most)))
+            if len(seen) > 4 * most:
+                seen = Counter(dict(seen.most_common(2 * most)))
         pieces = Counter()
         for w, c in seen.most_common(2 * most):
             for p in v.split(w.decode("utf-8")):
@@ -322,7 +323,7 @@ def frequent_words(texts: DataFrame, text_col: str, vocab_path: str, most: int)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()),
                                           pa.array([c for _, c in got], pa.int64())], ["w", "n"])
 
-    rows = (texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "w string, n long")
+    rows = (texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "w string, n long")
             .where(F.length("w") <= 64).groupBy("w").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "w").limit(most).select("w").toArrow())
     return rows.column(0).to_pylist()
@@ -368,40 +369,41 @@ def _lexicon(folder: str) -> Lexicon:
 
 
 class Encoder:
-    """Texts to ids and decoded strings; ``known`` keeps both of the words met, up
-    to ``keep`` of them."""
+    """Texts to ids and decoded strings; both are kept of the words met, up to
+    ``keep`` of them."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, merger: Merger, keep: int = 400_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, merger: Merger, keep: int = 200_000):
         self.v, self.lex, self.merger, self.keep = vocab, lexicon, merger, keep
         self._forget()
 
     def _forget(self) -> None:
-        self.known = {i: (np.array([i], "<u4").tobytes(), t) for t, i in self.v.special.items()}
+        self.ids = {i: np.array([i], "<u4").tobytes() for i in self.v.special.values()}
+        self.texts = {i: t for t, i in self.v.special.items()}
 
     def learn(self, pieces: set) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.keep:
+        new = [p for p in pieces if p not in self.ids]
+        if len(self.ids) + len(new) > self.keep:
             self._forget()
-            new = [p for p in pieces if p not in self.known]
+            new = [p for p in pieces if p not in self.ids]
         raw = [p.encode("utf-8") for p in new]
         ranks = self.lex.ranks(raw)
-        ids, at = np.asarray(self.lex.a["ids"]).astype("<u4").tobytes(), self.lex.a["id_at"]
+        at = self.lex.a["id_at"]
+        lexicon = np.asarray(self.lex.a["ids"]).astype("<u4").tobytes()
         merged = iter(self.merger([w for w, r in zip(raw, ranks.tolist()) if r < 0]))
-        begin, end = at[np.maximum(ranks, 0)].tolist(), at[np.maximum(ranks, 0) + 1].tolist()
-        tokens = self.v.tokens
-        for p, r, a, b in zip(new, ranks.tolist(), begin, end):
-            x = ids[4 * a:4 * b] if r >= 0 else next(merged)
-            self.known[p] = (x, decode(x, tokens))
+        begin, end = (4 * at[np.maximum(ranks, 0)]).tolist(), (4 * at[np.maximum(ranks, 0) + 1]).tolist()
+        ids = [lexicon[a:b] if r >= 0 else next(merged) for r, a, b in zip(ranks.tolist(), begin, end)]
+        tokens = list(map(self.v.tokens.__getitem__, np.frombuffer(b"".join(ids), "<u4").tolist()))
+        ends = [0, *itertools.accumulate(len(x) // 4 for x in ids)]
+        self.ids.update(zip(new, ids))
+        self.texts.update(zip(new, [" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]))
 
     def encode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[str] | None]:
         """Ids of each text as little-endian 32-bit integers, and what they decode
         to (a text's decoded pieces joined are its decoded ids)."""
         pieces = [self.v.split(t) if t else [] for t in texts]
         self.learn(set().union(*pieces))
-        known = self.known
-        found = [[known[p] for p in x] for x in pieces]
-        return ([b"".join([i for i, _ in x]) for x in found],
-                [" ".join([t for _, t in x]) for x in found] if decoded else None)
+        return ([b"".join(map(self.ids.__getitem__, x)) for x in pieces],
+                [" ".join(map(self.texts.__getitem__, x)) for x in pieces] if decoded else None)
 
 
 def decode(ids: bytes, tokens: dict[int, str]) -> str:
@@ -454,5 +456,5 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())] if decoded else \
         [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     names = ["id", *(f.name for f in fields)]
-    return src.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *fields])) \
+    return src.mapInArrow(tidy(run), T.StructType([T.StructField("id", docs.schema[id_col].dataType), *fields])) \
         .withColumnRenamed("id", id_col)
