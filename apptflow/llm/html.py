@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _TAG_START = re.compile(r"</?[A-Za-z]")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -240,5 +242,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(texts, pa.string())], names)
 
     names = ["id", *src.columns[2:], "text"]
-    out = src.mapInArrow(run, T.StructType([src.schema["id"], *src.schema.fields[2:], T.StructField("text", T.StringType())]))
+    out = src.mapInArrow(tidy(run), T.StructType([src.schema["id"], *src.schema.fields[2:], T.StructField("text", T.StringType())]))
     return out.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "text")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, tidy
 from .words import SPACE_WORDS, chunk_rows, mix, signed, text_buffers, words
 
 _U = np.uint64
@@ -128,7 +128,7 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, gr
                      pa.array((e - a + 1).astype(np.int32)), pa.array(signed(fp)), pa.array(signed(wh))],
                     ["id", "key", "a", "n", "fp", "wh"])
 
-    return src.mapInArrow(run, T.StructType([
+    return src.mapInArrow(tidy(run), T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.LongType()),
         T.StructField("a", T.IntegerType()), T.StructField("n", T.IntegerType()),
         T.StructField("fp", T.LongType()), T.StructField("wh", T.LongType())]))

@@ -24,7 +24,6 @@ row of a task; what passes ``min_count`` is then dealt by context.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .elias_fano import DTYPES, EliasFano, encode
-from .shared import cut, map_array, new_folder, put_file
+from .shared import map_array, new_folder, put_file, tidy
 from .words import SPACE_WORDS, chunk_rows, mix, text_buffers, words
 
 _U = np.uint64
@@ -302,7 +301,7 @@ def _counted(texts: DataFrame, shards: int, keys_of, shard_of, chunk_bytes: int)
             yield from counter.add(keys_of(seq, at))
         yield from counter.blocks()
 
-    return texts.mapInArrow(run, _BLOCK)
+    return texts.mapInArrow(tidy(run), _BLOCK)
 
 
 def _pruned(blocks: DataFrame, min_count: int, starts: np.ndarray, unit: int, to: int) -> DataFrame:
@@ -508,7 +507,7 @@ def score_texts(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(seen), pa.array(base),
                                               pa.array(score)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-    return src.mapInArrow(run, T.StructType([
+    return src.mapInArrow(tidy(run), T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()),
         T.StructField("score", T.DoubleType())])).withColumnRenamed("id", id_col)

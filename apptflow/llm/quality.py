@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, tidy
 from .words import SPACE_WORDS, chunk_rows, mix, run_hash, text_buffers, words
 
 # Character classes by byte; bytes of multi-byte characters are letters.
@@ -155,7 +155,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
                      pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)),
                                               pa.array(x.ravel()))], ["id", "x"])
 
-    return src.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType),
+    return src.mapInArrow(tidy(run), T.StructType([T.StructField("id", docs.schema[id_col].dataType),
                                              T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
@@ -186,7 +186,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, towa
         k, j = np.nonzero(acc)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(j), pa.array(acc[k, j])], ["y", "j", "v"])
 
-    got = rows.mapInArrow(sums, "y long, j long, v double").groupBy("y", "j").agg(F.sum("v").alias("v")).toArrow()
+    got = rows.mapInArrow(tidy(sums), "y long, j long, v double").groupBy("y", "j").agg(F.sum("v").alias("v")).toArrow()
     acc = np.zeros((2, 1 + d + d * d))
     acc[got.column(0).to_numpy(), got.column(1).to_numpy()] = got.column(2).to_numpy()
     return fit_discriminant(acc[:, 0], acc[:, 1:d + 1], acc[:, d + 1:].reshape(2, d, d), towards_pooled, towards_sphere)
@@ -200,7 +200,7 @@ def score(stats: DataFrame, model: Discriminant, softness: float = 1.0) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(odds, -700, 700))))],
                                              ["id", "score"])
 
-    return stats.mapInArrow(run, T.StructType([stats.schema["id"], T.StructField("score", T.DoubleType())]))
+    return stats.mapInArrow(tidy(run), T.StructType([stats.schema["id"], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -243,4 +243,4 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 keep = 1 / (1 + np.exp(-np.clip(np.concatenate(odds), -700, 700))) >= threshold
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 KINDS = ("assign", "access", "hex", "novel")
 
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -137,7 +139,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
                 ["id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
-    return src.mapInArrow(run, T.StructType(
+    return src.mapInArrow(tidy(run), T.StructType(
         [T.StructField("id", docs.schema[id_col].dataType)]
         + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
         + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])) \

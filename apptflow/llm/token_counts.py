@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import cut, drop_folder, new_folder, read_range, stream_file
+from .shared import cut, drop_folder, new_folder, read_range, stream_file, tidy
 
 _ENCODINGS: dict[str, object] = {}     # this worker's encodings, by path
 
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab_path: str, end_id: int
                     ["id", "file", "doc_no"])
                 n += b.num_rows
 
-    return src.mapInArrow(run, T.StructType([
+    return src.mapInArrow(tidy(run), T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("file", T.StringType()),
         T.StructField("doc_no", T.LongType())]))
 
@@ -99,7 +99,7 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, dtype: str = "<u
                      pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file", "block", "total", "is_last", "ends"])
 
     found = blocks.select("file", "bytes", "block").mapInArrow(
-        run, "file string, block long, total long, is_last boolean, ends array<long>")
+        tidy(run), "file string, block long, total long, is_last boolean, ends array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select(
         "*", F.coalesce(F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1))).over(before), F.lit(-1).cast("long")).alias("carry"),
