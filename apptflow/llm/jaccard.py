@@ -310,9 +310,9 @@ class RTree:
     def _fine(self, leaf: int, g: int) -> np.ndarray:
         return _matrix(self.vecs[self.cuts[leaf]:self.cuts[leaf + 1]], g)
 
-    def self_join(self, num: int, den: int) -> Iterator[tuple[int, int]]:
+    def self_join(self, num: int, den: int, skip=lambda i, j: False) -> Iterator[tuple[int, int]]:
         """Pairs (positions in the input) with different labels that the bound
-        lets through."""
+        lets through, but for those to ``skip``."""
         for j in range(len(self.hi)):
             i = np.arange(j + 1)
             ok = (num * np.maximum(self.n_lo[j], self.n_lo[i]) <= den * np.minimum(self.n_hi[j], self.n_hi[i]))
@@ -323,9 +323,9 @@ class RTree:
             box = np.minimum(self.hi[i], self.hi[j]).sum(axis=1)
             i = i[box >= need_overlap(self.n_lo[i], self.n_lo[j], num, den)]
             for leaf in i:
-                yield from self._leaves(int(leaf), j, num, den)
+                yield from self._leaves(int(leaf), j, num, den, skip)
 
-    def _leaves(self, a: int, b: int, num: int, den: int):
+    def _leaves(self, a: int, b: int, num: int, den: int, skip):
         sa, sb = slice(self.cuts[a], self.cuts[a + 1]), slice(self.cuts[b], self.cuts[b + 1])
         na, nb = self.n[sa][:, None], self.n[sb][None, :]
         ok = (num * np.maximum(na, nb) <= den * np.minimum(na, nb)) & (self.label[sa][:, None] != self.label[sb][None, :])
@@ -340,7 +340,7 @@ class RTree:
         x, y = x[keep], y[keep]
         for p, q in zip(x, y):
             i, j = sa.start + p, sb.start + q
-            if summed_minima(self.vecs[i], self.vecs[j]) >= need[p, q]:
+            if not skip(self.order[i], self.order[j]) and summed_minima(self.vecs[i], self.vecs[j]) >= need[p, q]:
                 yield int(self.order[i]), int(self.order[j])
 
 
@@ -400,45 +400,52 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, te
             .mapInArrow(tidy(run), "u long, v long"))
 
 
-def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: int, early: int = 32) -> DataFrame:
     """(a, b): pairs with different components that the R-trees let through.
 
-    ``members``: (sig, c, comp), ``point``: (c, n, vec).  A block of up to ``tile`` rows is one
-    tree.  A larger one is split by size strata (sizes that link are at most one
-    stratum apart, so a row goes to two cells), and a cell that is still larger
-    into tiles, of which every two meet."""
+    ``members``: (sig, c, comp), ``point``: (c, n, vec).  A block of up to ``tile``
+    rows is one tree.  A larger one is split by size strata (sizes that link are at
+    most one stratum apart, so a row goes to two cells), and a cell that is still
+    larger into tiles, of which every two meet.
+
+    Two classes often share many blocks.  Each row carries its class's first
+    ``early`` block numbers, and a pair that shares an earlier block by these is
+    left to that one."""
     step = math.log(den / num) * (1 + 1e-9) if num < den else 1e-6
     size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"),
                                       F.max("comp").alias("hi")).where("lo <> hi").select("sig", "m")
-    live = members.join(size, "sig").join(point, "c")
-    stratum = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long")
+    own = members.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, early).alias("sigs"))
+    live = members.join(size, "sig").join(point.join(own, "c"), "c").withColumn(
+        "s", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long"))
+    zero = F.lit(0).cast("long")
     small = live.where(F.col("m") <= tile).select(
-        "sig", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"),
-        F.lit(0).cast("long").alias("t"), "c", "n", "vec", "comp")
-    big = (live.where(F.col("m") > tile).withColumn("s", stratum)
-           .withColumn("cell", F.explode(F.array(F.col("s"), F.col("s") - 1))))
+        "sig", zero.alias("cell"), zero.alias("p"), zero.alias("q"), zero.alias("t"), zero.alias("s"), "c", "n", "vec",
+        "comp", "sigs")
+    big = live.where(F.col("m") > tile).withColumn("cell", F.explode(F.array(F.col("s"), F.col("s") - 1)))
     cells = (big.groupBy("sig", "cell").agg(F.count(F.lit(1)).alias("mc"))
              .select("sig", "cell", F.ceil(F.col("mc") / F.lit(tile)).cast("long").alias("tiles")))
     big = (big.join(cells, ["sig", "cell"])
            .withColumn("t", F.pmod(F.xxhash64("c"), F.col("tiles")))
            .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-           .select("sig", "cell", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "t",
-                   "c", "n", "vec", "comp"))
+           .select("sig", "cell", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "t", "s",
+                   "c", "n", "vec", "comp", "sigs"))
     rows = small.unionByName(big)
 
     def run(key, t):
+        sig, cell, p, q = (x.as_py() for x in key)
         c = t.column("c").to_numpy()
         n = t.column("n").to_numpy().astype(np.int64)
-        comp = t.column("comp").to_numpy()
-        vec = t.column("vec").to_pylist()
-        own = t.column("t").to_numpy()
-        two = key[2].as_py() != key[3].as_py()
+        comp, own, s = (t.column(k).to_numpy() for k in ("comp", "t", "s"))
+        sigs = [frozenset(x for x in y if x < sig) for y in t.column("sigs").to_pylist()]
         a, b = [], []
+
+        def skip(i, j):
+            return not sigs[i].isdisjoint(sigs[j]) or p != q and own[i] == own[j] or min(s[i], s[j]) != cell
+
         if len(c) > 1 and (comp != comp[0]).any():
-            for i, j in RTree(n, vec, comp).self_join(num, den):
-                if not two or own[i] != own[j]:
-                    a.append(min(c[i], c[j]))
-                    b.append(max(c[i], c[j]))
+            for i, j in RTree(n, t.column("vec").to_pylist(), comp).self_join(num, den, skip):
+                a.append(min(c[i], c[j]))
+                b.append(max(c[i], c[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return (rows.groupBy("sig", "cell", "p", "q").applyInArrow(run, "a long, b long").distinct())
