@@ -323,7 +323,7 @@ def frequent_words(texts: DataFrame, text_col: str, vocab_path: str, most: int)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()),
                                           pa.array([c for _, c in got], pa.int64())], ["w", "n"])
 
-    rows = (texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "w string, n long")
+    rows = (texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, f"{__name__}:_LOADED"), "w string, n long")
             .where(F.length("w") <= 64).groupBy("w").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "w").limit(most).select("w").toArrow())
     return rows.column(0).to_pylist()
@@ -372,7 +372,7 @@ class Encoder:
     """Texts to ids and decoded strings; both are kept of the words met, up to
     ``keep`` of them."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, merger: Merger, keep: int = 200_000):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, merger: Merger, keep: int = 100_000):
         self.v, self.lex, self.merger, self.keep = vocab, lexicon, merger, keep
         self._forget()
 
@@ -380,7 +380,7 @@ class Encoder:
         self.ids = {i: np.array([i], "<u4").tobytes() for i in self.v.special.values()}
         self.texts = {i: t for t, i in self.v.special.items()}
 
-    def learn(self, pieces: set) -> None:
+    def learn(self, pieces: set, decoded: bool = True) -> None:
         new = [p for p in pieces if p not in self.ids]
         if len(self.ids) + len(new) > self.keep:
             self._forget()
@@ -392,16 +392,17 @@ class Encoder:
         merged = iter(self.merger([w for w, r in zip(raw, ranks.tolist()) if r < 0]))
         begin, end = (4 * at[np.maximum(ranks, 0)]).tolist(), (4 * at[np.maximum(ranks, 0) + 1]).tolist()
         ids = [lexicon[a:b] if r >= 0 else next(merged) for r, a, b in zip(ranks.tolist(), begin, end)]
-        tokens = list(map(self.v.tokens.__getitem__, np.frombuffer(b"".join(ids), "<u4").tolist()))
-        ends = [0, *itertools.accumulate(len(x) // 4 for x in ids)]
         self.ids.update(zip(new, ids))
-        self.texts.update(zip(new, [" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]))
+        if decoded:
+            tokens = list(map(self.v.tokens.__getitem__, np.frombuffer(b"".join(ids), "<u4").tolist()))
+            ends = [0, *itertools.accumulate(len(x) // 4 for x in ids)]
+            self.texts.update(zip(new, [" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]))
 
     def encode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[str] | None]:
         """Ids of each text as little-endian 32-bit integers, and what they decode
         to (a text's decoded pieces joined are its decoded ids)."""
         pieces = [self.v.split(t) if t else [] for t in texts]
-        self.learn(set().union(*pieces))
+        self.learn(set().union(*pieces), decoded)
         return ([b"".join(map(self.ids.__getitem__, x)) for x in pieces],
                 [" ".join(map(self.texts.__getitem__, x)) for x in pieces] if decoded else None)
 
@@ -425,7 +426,7 @@ def plain_text(ids: bytes, tokens: dict[int, str]) -> str:
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     lexicon_words: int = 50_000, chunk: int = 256, decoded: bool = True) -> DataFrame:
+                     lexicon_words: int = 30_000, chunk: int = 256, decoded: bool = True) -> DataFrame:
     """One row per row of ``docs``: (id_col, ids, decoded); without ``decoded``:
     (id_col, n_tokens, tokens), the ids as an array of integers.
 
@@ -456,5 +457,5 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())] if decoded else \
         [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     names = ["id", *(f.name for f in fields)]
-    return src.mapInArrow(tidy(run), T.StructType([T.StructField("id", docs.schema[id_col].dataType), *fields])) \
+    return src.mapInArrow(tidy(run, f"{__name__}:_LOADED"), T.StructType([T.StructField("id", docs.schema[id_col].dataType), *fields])) \
         .withColumnRenamed("id", id_col)

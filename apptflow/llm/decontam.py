@@ -131,7 +131,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             found = matches_of([normalised(t) for t in b.column(at).cast(pa.string()).to_pylist()], _automata(shared, keep))
             yield b.filter(pa.array([not len(ranges) for _, ranges, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, f"{__name__}:_BUILT"), docs.schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -166,7 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 ["id", "n_words", "n_hit", "items", "spans"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return src.mapInArrow(tidy(run), T.StructType([
+    return src.mapInArrow(tidy(run, f"{__name__}:_BUILT"), T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("spans", span)])).withColumnRenamed("id", id_col)

@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from . import bpe, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, quality, secrets, token_counts
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most ``rows`` texts in one Arrow batch of this session: both sides of a
+    worker's pipe hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

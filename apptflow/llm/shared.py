@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import importlib
 import os
 import tempfile
 import uuid
@@ -59,14 +60,18 @@ def _local(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
-def tidy(run):
+def tidy(run, kept: str | None = None):
     """A function for ``mapInArrow`` that gives its memory back at the end of a
-    partition.  Workers serve one task after the other; what the allocators keep
-    for later would add up over the stages of a long job."""
+    partition, and empties the dictionary ``kept`` ("module:name") of what it
+    loaded.  Workers serve one task after the other; what they and the allocators
+    keep for later would add up over the stages of a long job."""
     def whole(batches):
         try:
             yield from run(batches)
         finally:
+            if kept:
+                module, name = kept.split(":")
+                getattr(importlib.import_module(module), name).clear()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # where the C library has it
             if trim is not None:
