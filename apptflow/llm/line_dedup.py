@@ -5,8 +5,10 @@ without words are passed over.  A *window* is a line and as many following ones
 as it takes to reach ``min_words`` words; a window is *repeated* if the same
 lines in the same order occur earlier, by (document id, line).  Later repeats
 are deleted: every line that a repeated window covers.  Overlapping repeated
-windows join up, so a repeated run is extended line by line both ways as far as
-whole windows match.
+windows join up.  With ``extend``, the shortest runs of ``min_words`` words that
+*end* at each line are windows too, and a repeated run goes whole: a line of it
+that has ``min_words`` words up to itself is the last of such a run, and any line
+before is in the window of the run's first line.
 
 Fingerprints are selected by winnowing: in each window, the smallest hash of
 its grams (a line and as many following ones as reach ``gram_words`` words).
@@ -87,7 +89,14 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def windows_of(h: np.ndarray, n: np.ndarray, text: np.ndarray, min_words: int, gram_words: int):
+def _run_starts(total: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """First line of the shortest run up to each line with ``least`` words; -1 where
+    the text starts behind."""
+    a = np.searchsorted(total, total[1:] - least, side="right") - 1
+    return np.where(a >= first, a, -1)
+
+
+def windows_of(h: np.ndarray, n: np.ndarray, text: np.ndarray, min_words: int, gram_words: int, extend: bool = False):
     """(first line, last line, fingerprint, hash) of every window."""
     z = np.zeros(0, np.int64)
     if not len(h):
@@ -96,7 +105,13 @@ def windows_of(h: np.ndarray, n: np.ndarray, text: np.ndarray, min_words: int, g
     last = np.searchsorted(text, text, side="right") - 1
     e, g = _run_ends(total, last, min_words), _run_ends(total, last, gram_words)
     a = np.flatnonzero(e >= 0)
-    e = e[a]
+    if extend:
+        b = _run_starts(total, np.searchsorted(text, text), min_words)
+        z = np.flatnonzero(b >= 0)
+        z = z[e[b[z]] != z]          # the others are windows of their first line
+        a, e = np.concatenate([a, b[z]]), np.concatenate([e[a], z])
+    else:
+        e = e[a]
     gram = np.full(len(h), _U(2**64 - 1))
     ok = np.flatnonzero(g >= 0)
     gram[ok] = _run_hashes(h, ok, g[ok])
@@ -106,7 +121,8 @@ def windows_of(h: np.ndarray, n: np.ndarray, text: np.ndarray, min_words: int, g
     return a, e, _range_min(gram, a, m), _run_hashes(h, a, e)
 
 
-def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram_words: int) -> DataFrame:
+def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram_words: int,
+                 extend: bool = False) -> DataFrame:
     """(id, key, a, n, fp, wh): windows of every document; ``a`` counts lines with
     words from 0, ``key`` is a hash of the text."""
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"),
@@ -117,7 +133,7 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, gr
             buf, off = text_buffers(b.column(2))
             for lo, hi in chunk_rows(off):
                 h, n, text = lines_of(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                a, e, fp, wh = windows_of(h, n, text, min_words, gram_words)
+                a, e, fp, wh = windows_of(h, n, text, min_words, gram_words, extend)
                 if not len(a):
                     continue
                 row = text[a]
@@ -134,9 +150,10 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, gr
         T.StructField("fp", T.LongType()), T.StructField("wh", T.LongType())]))
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50, gram_words: int = 25) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = 50, gram_words: int = 25,
+                   extend: bool = False) -> DataFrame:
     """(id, key, runs): line ranges [from, to] that repeat earlier lines."""
-    w = cut(line_windows(docs, id_col, text_col, min_words, gram_words))
+    w = cut(line_windows(docs, id_col, text_col, min_words, gram_words, extend))
     often = w.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
     found = w.join(often, "fp", "left_semi").select("id", "key", "a", "n", "wh")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "a")
@@ -171,9 +188,11 @@ def _without(text: str, runs) -> tuple[str, int]:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50,
-               gram_words: int = 25) -> DataFrame:
+               gram_words: int = 25, extend: bool = False) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text_col``, plus
-    ``lines_removed`` (long; a column of that name is replaced).
+    ``lines_removed`` (long; a column of that name is replaced).  With ``extend``
+whole repeated runs of ``min_words`` words or more go, else as far as windows
+from a starting line cover them.
 
     Null texts stay null and empty texts empty (0 lines removed); a document of
     which every line repeats earlier ones ends with the empty text.  Documents
@@ -184,7 +203,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are kept as they are; an empty table gives an empty result."""
     if not 0 < gram_words <= min_words:
         raise ValueError("gram_words must be between 1 and min_words")
-    runs = repeated_lines(docs, id_col, text_col, min_words, gram_words)
+    runs = repeated_lines(docs, id_col, text_col, min_words, gram_words, extend)
     rest = [c for c in docs.columns if c not in (text_col, "lines_removed")]
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(id_col).alias("id"),
                        F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))

@@ -70,7 +70,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf, "documents")).select("doc_id", "text", "lines_removed")
+    return line_dedup.line_dedup(_table(spark, sf, "documents"), extend=True).select("doc_id", "text", "lines_removed")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:

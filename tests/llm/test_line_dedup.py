@@ -99,3 +99,48 @@ def test_winnowing_guarantee():
         inside = (a >= pre) & (e < pre + 12)
         got.append(list(zip(a[inside] - pre, e[inside] - pre, fp[inside], wh[inside])))
     assert got[0] and got[0] == got[1] == got[2]
+
+
+def whole(rows, min_words):
+    """What is left of each text without later repeats of any run of lines."""
+    seen, out = {}, []
+    for k, (d, t) in enumerate(rows):
+        lines = (t or "").split("\n")
+        real = [i for i, x in enumerate(lines) if x.strip(L._BLANK)]
+        w = [tuple("".join(c.lower() if "A" <= c <= "Z" else c for c in lines[i]).split()) for i in real]
+        gone = set()
+        for a in range(len(w)):
+            n = 0
+            for e in range(a, len(w)):
+                n += len(w[e])
+                if n >= min_words:
+                    k0, a0 = seen.setdefault(tuple(w[a:e + 1]), (k, a))
+                    if (k0, a0) != (k, a):
+                        gone.update(range(max(a, a0 + e + 1 - a) if k0 == k else a, e + 1))
+        drop = {real[i] for i in gone}
+        for i in gone:
+            if i + 1 in gone:
+                drop.update(range(real[i], real[i + 1]))
+        out.append((d, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in drop), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed,words,gram", [(1, 10, 5), (5, 12, 3)])
+def test_whole_runs_equal_brute_force(spark, seed, words, gram):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["text"], r["lines_removed"])
+                 for r in L.line_dedup(df, min_words=words, gram_words=gram, extend=True).collect() if r["text"] is not None)
+    want = [r for r in whole(rows, words) if r[1] is not None]
+    assert got == want and want != [r for r in brute(rows, words) if r[1] is not None]
+
+
+def test_query_and_stage_leave_no_tail(spark, tmp_path):
+    import corpus_pipeline
+    from apptflow.llm import queries
+    tail = "\n".join(" ".join(f"{p}{i}" for i in range(n)) for p, n in (("a", 60), ("b", 30)))
+    df = spark.createDataFrame([(1, tail, 1), (2, tail, 1)], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: tail, 2: ""}
+    assert [r.doc_id for r in corpus_pipeline.line_dedup_stage(spark, df, str(tmp_path)).collect()] == [1]
