@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Training counts all n-grams of the training texts; n-grams of two and more
-words are kept from ``min_count`` occurrences on.  A word's id is its place
+words are kept from ``min_count`` occurrences on (1: all).  A word's id is its place
 among the sorted word hashes.  The trie's levels are flat files:
 
     level 1   word hashes (Elias-Fano), counts, backoffs
@@ -343,7 +343,7 @@ def _level(trie: Trie, level: int, s: int, local: np.ndarray, c: np.ndarray, con
     return back
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2, shards: int | None = None,
+def train(texts: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 1, shards: int | None = None,
           chunk_bytes: int = 4 << 20) -> Trie:
     """The trie of all ``texts`` (null texts count as empty)."""
     spark = texts.sparkSession
@@ -514,7 +514,7 @@ def score_texts(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: s
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 1,
-              order: int = 3, min_count: int = 2) -> DataFrame:
+              order: int = 3, min_count: int = 1) -> DataFrame:
     """One row per row of ``docs``: (id_col, held_out, n_tokens, n_known,
     train_tokens, base_score, score).
 

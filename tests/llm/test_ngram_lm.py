@@ -132,3 +132,20 @@ def test_probabilities_sum_to_one():
     for h in [(), ("w1",), ("w1", "w7"), ("<s>",), ("nope",)]:
         total = sum(plain.prob(h, w) for w in words) + plain.prob(h, "unseen")
         assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_query_counts_what_occurs_once(spark, tmp_path):
+    from apptflow.llm import queries
+    rows = corpus(5, 120)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = {d: t for d, t in rows if d is not None and d != 3}
+    train = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    every, twice = Plain(train, 3, 1), Plain(train, 3, 2)
+    off = [[], []]
+    for r in queries.op6_lm_scoring(spark, str(tmp_path)).collect():
+        if r.doc_id in by:
+            t, n = by[r.doc_id], r.n_tokens
+            assert r.score == pytest.approx(every.score(t), abs=0.02 * n + 0.02)
+            off[0].append(abs(r.score - every.score(t)) / n)
+            off[1].append(abs(r.score - twice.score(t)) / n)
+    assert sum(off[0]) * 5 < sum(off[1])
