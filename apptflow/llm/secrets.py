@@ -1,7 +1,8 @@
 """Secret scans: patterns, and dictionary-primed zstandard novelty.
 
 Base kinds are found by pattern (``assign``, ``access``, ``hex``).  The method
-adds kind ``novel``: strings near a sensitive word whose bytes can't be saved.  A
+adds kind ``novel``: strings whose bytes can't be saved, on the line of a
+sensitive word, the lines beside it or a few characters off, on both sides.  A
 candidate's marginal bytes are what it adds to the zstandard size of the text
 around it, with a compressor primed with an identifier dictionary; names that
 the dictionary or the surroundings hold cost next to nothing, keys cost most of
@@ -74,34 +75,76 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z lowered; every character keeps its place."""
+    if text.isascii():
+        return text.lower()
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _joined_up(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _around(text: str, marks, near: int) -> list[tuple[int, int]]:
+    """Ranges of the lines of the marks and the lines beside them, and of ``near``
+    characters on both sides."""
+    out, end = [], -1
+    for s, e in marks:
+        out.append((max(0, s - near), min(len(text), e + near)))
+        if s >= end:
+            first = text.rfind("\n", 0, s)
+            first = text.rfind("\n", 0, first) + 1 if first > 0 else 0
+            end = text.find("\n", e)
+            end = len(text) if end < 0 else end
+            last = text.find("\n", end + 1)
+            out.append((first, len(text) if last < 0 else last))
+    return _joined_up(out)
+
+
 def novel_spans(text: str, low: str, base, novelty: Novelty, near: int, around: int,
                 share: float) -> list[tuple[int, int, int]]:
-    """Incompressible strings at most ``near`` characters behind a sensitive word
-    and clear of the base spans."""
+    """Incompressible strings before and behind a sensitive word, clear of the base
+    spans: on its line, the lines beside it or within ``near`` characters.  Of a
+    string that holds a sensitive word, the pieces beside the word are measured."""
     if not any(w in low for w in _SENSITIVE):
         return []
-    out, done = [], -1
-    taken = [(s, e) for s, _, e in base]
-    for w in _SENSITIVE_RE.finditer(low) if len(low) == len(text) else _SENSITIVE_RE.finditer(text):
-        for m in _CANDIDATE.finditer(text, w.start(), min(len(text), w.end() + near + 256)):
-            s, e = m.span()
-            if s > w.end() + near:
+    if len(low) != len(text):
+        low = lowered(text)
+    marks = [m.span() for m in _SENSITIVE_RE.finditer(low)]
+    cuts = _joined_up(marks + [(s, e) for s, _, e in base])
+    out, done, k = [], 0, 0
+    for lo, hi in _around(text, marks, near):
+        while lo > done and text[lo - 1] in _BODY:
+            lo -= 1
+        for m in _CANDIDATE.finditer(text, max(lo, done)):
+            s, stop = m.span()
+            if s >= hi:
                 break
-            if s < w.end():          # the sensitive word's own string: what follows its last separator
-                s = max(s, w.end())
-                while s < e and text[s] in "=._-/+":
+            done = stop
+            while k < len(cuts) and cuts[k][1] <= s:
+                k += 1
+            pieces, i, whole = [], k, True
+            while i < len(cuts) and cuts[i][0] < stop:
+                pieces.append((s, cuts[i][0], whole))
+                s, whole, i = cuts[i][1], False, i + 1
+            pieces.append((s, stop, whole))
+            for s, e, whole in pieces:
+                while not whole and s < e and text[s] in "=._-/+":     # behind a word: from its separators on
                     s += 1
-            while e < len(text) and text[e] in _BODY:
-                e += 1
-            c = text[s:e].rstrip("=.-/_+") if s >= w.end() else ""
-            e = s + len(c)
-            if len(c) < 16 or s <= done or any(s < b and a < e for a, b in taken):
-                continue
-            done = s
-            cost = novelty.marginal(text[max(0, s - around):s], c, text[e:e + around])
-            if cost >= share * len(c):
-                out.append((s, 3, e))
-                taken.append((s, e))
+                c = text[s:e].rstrip("=.-/_+") if s < e else ""
+                if len(c) < 16:
+                    continue
+                e = s + len(c)
+                cost = novelty.marginal(text[max(0, s - around):s], c, text[e:e + around])
+                if cost >= share * len(c):
+                    out.append((s, 3, e))
     return out
 
 
@@ -129,7 +172,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for text in b.column(1):
                 text = text.as_py() or ""
-                low = text.lower()
+                low = lowered(text)
                 base = base_spans(text, low)
                 more = novel_spans(text, low, base, novelty, near, around, share)
                 n = [sum(k == j for _, k, _ in base) for j in range(3)]

@@ -74,3 +74,25 @@ def test_novel_strings_in_sensitive_context():
 def test_marginal_bytes_order(a, b):
     n = S.Novelty()
     assert n.marginal("auth: ", a, "\n") > 2 * n.marginal("auth: ", b, "\n")
+
+
+def test_novel_strings_on_both_sides_and_farther_off():
+    n = S.Novelty()
+
+    def novel(t, low=str.lower):
+        low = low(t)
+        return [t[s:e] for s, _, e in S.novel_spans(t, low, S.base_spans(t, low), n, 48, 256, 0.6)]
+    far = "of the service that we all use, as was said to you in the long mail of last week, is "
+    assert novel(f'"{B64}"  # client secret') == [B64]
+    assert novel(f'{{"value": "{B64}", "name": "access_key"}}') == [B64]
+    assert novel(f"the credential {far}{B64}") == [B64]
+    assert novel(f"{B64}\ncredential\n") == novel(f"credential:\n{B64}\n") == [B64]
+    assert novel(f"{B64}_credential") == novel(f"x-auth-{B64}") == [B64]
+    assert novel("\n".join([B64, "a" * 60, "b" * 60, "credential", "c" * 60, "d" * 60, B64[::-1]])) == []
+    for low in (str.lower, S.lowered):
+        assert novel(f"\u0130 the CREDENTIAL is {B64}", low) == [B64]
+
+
+def test_lowered_keeps_places():
+    t = "\u0130\u212a A\u00c4Z\U0001f600Q"
+    assert S.lowered(t) == "\u0130\u212a a\u00c4z\U0001f600q"
