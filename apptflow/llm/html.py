@@ -6,9 +6,11 @@ article text are left out: by tag (menus, headers, footers, asides, forms,
 scripts, styles ...) or by the words of their class, id and role.  Every
 paragraph passes points to its ancestors: one, one for each comma and up to
 three for its length; in full to its parent, half to the next, and less further
-up.  Points of a container are discounted by its link density.  The best
-container is kept, with those of its siblings that score like it or read like
-prose.
+up.  Points of a container are discounted by its link density.  From the best
+container on the article is widened: to the article or main element around it,
+else to one parent after the other as long as their text is low in links; then by
+the siblings that score like it or read like prose.  What stands between kept
+siblings is kept.
 """
 
 from __future__ import annotations
@@ -106,8 +108,9 @@ def parse(html: str) -> Node:
                     at = n.up
                 n = n.up
         attrs = m.group(3)
-        marked = name not in ("html", "body") and bool(attrs) and _marked(attrs)
-        node = Node(name, at, at.skip or marked or name in SKIP_TAGS, marked)
+        node = Node(name, at, False, False)
+        node.marked = name not in ("html", "body") and bool(attrs) and _marked(attrs)
+        node.skip = at.skip or node.marked or name in SKIP_TAGS
         at.kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
@@ -173,9 +176,8 @@ def _is_paragraph(n: Node) -> bool:
         and any(isinstance(k, str) and not k.isspace() for k in n.kids))
 
 
-def main_blocks(html: str) -> list[str]:
-    """Blocks of the main text."""
-    root = parse(html)
+def _best(root: Node) -> tuple[Node | None, float]:
+    """The container that scores best, and its score."""
     order = _measure(root)
     for n in order:
         if not _is_paragraph(n):
@@ -195,15 +197,52 @@ def main_blocks(html: str) -> list[str]:
             score = n.points * (1 - n.links / n.chars) if n.chars else 0.0
             if score > most:
                 best, most = n, score
+    return best, most
+
+
+def main_blocks(html: str) -> list[str]:
+    """Blocks of the main text."""
+    root = parse(html)
+    best, most = _best(root)
     if best is None:
         return _blocks(root) if root.chars else []
-    if best.up is None:
-        return _blocks(best)
-    out = []
-    for k in best.up.kids:
-        if k is best or isinstance(k, Node) and not k.skip and _joins(k, most):
-            out += _blocks(k)
-    return out
+    at, around = best, {}
+    while at is not None:
+        if at.tag in ("article", "main"):
+            around[at.tag] = at
+        at = at.up
+    at = around.get("article") or around.get("main")
+    if at is None:
+        at = best
+        while at.up is not None and at.up.links < 0.25 * at.up.chars:
+            at = _narrowed(at, _low_in_links)
+    if at.up is not None:
+        at = _narrowed(at, lambda k: isinstance(k, Node) and not k.skip and _joins(k, most))
+    return _blocks(at)
+
+
+def _narrowed(n: Node, belongs) -> Node:
+    """The parent, cut to the kids from the first to the last that belongs to ``n``;
+    a line of text is not cut."""
+    kids = n.up.kids
+    at = [i for i, k in enumerate(kids) if k is n or belongs(k)]
+    first, last = at[0], at[-1]
+    while first and _inline(kids[first]) and _inline(kids[first - 1]):
+        first -= 1
+    while last + 1 < len(kids) and _inline(kids[last]) and _inline(kids[last + 1]):
+        last += 1
+    n.up.kids = kids[first:last + 1]
+    return n.up
+
+
+def _inline(k) -> bool:
+    return isinstance(k, str) or k.tag not in BLOCK and not k.skip
+
+
+def _low_in_links(k) -> bool:
+    if isinstance(k, str):
+        return not k.isspace()
+    return not k.skip and k.links < 0.25 * k.chars
 
 
 def _own_text(n: Node):

@@ -69,3 +69,19 @@ def test_odd_rows(spark):
     assert sorted((str(r.page_id), r.text) for r in H.extract_text(df).collect()) == [
         ("1", ""), ("1", ""), ("2", "x"), ("2", "x"), ("None", "x")]
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+LONG = "A paragraph, of some length, that goes on and on so that it scores as the prose of an article does. " * 2
+
+
+def test_parts_of_an_article_of_any_length_are_kept():
+    many, end = f"<p>{LONG}</p>" * 8, "x" * 190 + ", with, commas"
+    want = ["T", *[LONG.strip()] * 8, "End", end, "one", "bare"]
+    rest = f"<h2>End</h2><section><p>{end}</p></section><ul><li>one</li></ul>bare"
+    for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<body>", "</body>"), ("", "")):
+        assert H.main_blocks(f"{a}<h1>T</h1><section>{many}</section>{rest}{b}") == want, a
+    links = "<div><a href='/'>Here, there</a> <a href='/'>and there</a></div>"
+    got = H.main_blocks(f"<div><h1>T</h1><section>{many}</section>{rest}</div>{links}")
+    assert got == want
+    got = H.main_blocks(f"<body><a href='#c'>Skip to it</a><div><section>{many}</section>Read <a href='/'>this</a></div></body>")
+    assert got == [LONG.strip()] * 8 + ["Read this"]
