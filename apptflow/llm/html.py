@@ -10,7 +10,8 @@ up.  Points of a container are discounted by its link density.  From the best
 container on the article is widened: to the article or main element around it,
 else to one parent after the other as long as their text is low in links; then by
 the siblings that score like it or read like prose.  What stands between kept
-siblings is kept.
+siblings is kept.  A page of which nothing scores is read again with the marks off
+that hide its text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
 SKIP_TAGS = frozenset("head nav header footer aside form button select option label fieldset input dialog menu "
                       "script style title textarea noscript iframe noembed noframes template svg math canvas "
-                      "object embed audio video map figcaption".split())
+                      "object embed audio video map".split())
 #: Words of class, id or role that mark what is not the article.
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo "
                        "promos promotion banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs "
@@ -61,10 +62,11 @@ CONTAINERS = frozenset("article main section div body td li blockquote html".spl
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "skip", "marked", "points", "chars", "links")
+    __slots__ = ("tag", "up", "kids", "skip", "marked", "article", "points", "chars", "links")
 
     def __init__(self, tag: str, up: "Node | None", skip: bool, marked: bool):
         self.tag, self.up, self.kids, self.skip, self.marked = tag, up, [], skip, marked
+        self.article = tag == "article" or up is not None and up.article
         self.points, self.chars, self.links = 0.0, 0, 0
 
 
@@ -109,7 +111,9 @@ def parse(html: str) -> Node:
                 n = n.up
         attrs = m.group(3)
         node = Node(name, at, False, False)
-        node.marked = name not in ("html", "body") and bool(attrs) and _marked(attrs)
+        # words mark an article only inside another one (a comment, a card)
+        free = name in ("html", "body") or name in ("article", "main") and not at.article
+        node.marked = not free and bool(attrs) and _marked(attrs)
         node.skip = at.skip or node.marked or name in SKIP_TAGS
         at.kids.append(node)
         if name in RAW:
@@ -200,10 +204,45 @@ def _best(root: Node) -> tuple[Node | None, float]:
     return best, most
 
 
+def _reset(root: Node, marks: bool = True) -> list[tuple[Node, int]]:
+    """Nodes with nothing counted and skipped anew, by tag alone without ``marks``;
+    with the number of marks on their way."""
+    out, todo = [], [(root, 0)]
+    while todo:
+        n, depth = todo.pop()
+        depth += n.marked
+        n.points, n.chars, n.links = 0.0, 0, 0
+        n.skip = n.up is not None and n.up.skip or marks and n.marked or n.tag in SKIP_TAGS
+        out.append((n, depth))
+        todo.extend((k, depth) for k in n.kids if isinstance(k, Node))
+    return out
+
+
+def _unmarked(root: Node) -> tuple[Node | None, float]:
+    """The best container with the fewest marks off under which something scores."""
+    nodes = _reset(root, marks=False)
+    least = min((d for n, d in nodes if not n.skip and _is_paragraph(n) and "".join(_own_text(n)).strip()), default=0)
+    off = [n for n, d in nodes if n.marked and d <= least]
+    for n in off:
+        n.marked = False
+    _reset(root)
+    best, _ = _best(root)
+    path, up = set(), best
+    while up is not None:
+        path.add(id(up))
+        up = up.up
+    for n in off:
+        n.marked = id(n) not in path
+    _reset(root)
+    return _best(root)
+
+
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text."""
     root = parse(html)
     best, most = _best(root)
+    if best is None:
+        best, most = _unmarked(root)
     if best is None:
         return _blocks(root) if root.chars else []
     at, around = best, {}

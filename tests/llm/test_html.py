@@ -83,5 +83,19 @@ def test_parts_of_an_article_of_any_length_are_kept():
     links = "<div><a href='/'>Here, there</a> <a href='/'>and there</a></div>"
     got = H.main_blocks(f"<div><h1>T</h1><section>{many}</section>{rest}</div>{links}")
     assert got == want
+    got = H.main_blocks(f"<article><div><section>{many}</section></div><figure><figcaption>Seen</figcaption></figure></article>{links}")
+    assert got == [LONG.strip()] * 8 + ["Seen"]
     got = H.main_blocks(f"<body><a href='#c'>Skip to it</a><div><section>{many}</section>Read <a href='/'>this</a></div></body>")
     assert got == [LONG.strip()] * 8 + ["Read this"]
+
+
+def test_marks_do_not_empty_a_page():
+    body = f"<h1>T</h1><p>{LONG}</p><div class='share'>Share</div>"
+    want = ["T", LONG.strip()]
+    for tag in ('article class="post category-legal"', 'main id="search-results-article"', 'div class="legal"',
+                'div class="search"><div id="notice"'):
+        name = tag.split()[0]
+        assert H.main_blocks(f"<body><{tag}>{body}</{name}></body>") == want, tag
+    comment = '<article class="comment"><p>Nice, long, post, I, say, with, many, commas, in, it, all.</p></article>'
+    assert H.main_blocks(f"<article>{body}{comment}</article>") == want
+    assert H.main_blocks(f"<p>Short.</p><div class='comments'>{body}</div>") == ["Short."]
