@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, quality, secrets, token_counts
+from . import (bpe, conversations, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, quality, secrets,
+               token_counts)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -81,6 +82,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = conversations.damage(_table(spark, sf, "conversations"))
+    return conversations.repair_conversations(rows, present=F.col("present"))
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -93,6 +99,7 @@ def queries():
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
@@ -125,5 +132,64 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
 
+# Forward dynamic programming over the rows, an independent form of the parse: v0
+# to v3 hold the least cost (six digits) and audit of each format state.
+def _add(v: str, cost, letter: str) -> str:
+    return f"lpad(CAST(CAST({v}[1:6] AS INTEGER) + {cost} AS VARCHAR), 6, '0') || {v}[7:] || '{letter}'"
+
+
+def _user(v: str) -> str:
+    return f"CASE r.k WHEN '-' THEN '900000' WHEN 'u' THEN {_add(v, 'r.e', 'K')} ELSE {_add(v, '2 + r.e', 'R')} END"
+
+
+_OP11_STEP = f"""list_transform([{{
+  'v0': {_add('a.v0', 3, 'D')},
+  'v1': least({_add('a.v1', 3, 'D')}, CASE WHEN r.k = 's' THEN {_add('a.v0', 'r.e', 'K')} ELSE '900000' END),
+  'v2': least({_add('a.v2', 3, 'D')}, {_user('a.v0')}, {_user('a.v1')}, {_user('a.v3')}),
+  'v3': least({_add('a.v3', 3, 'D')}, CASE r.k WHEN '-' THEN '900000' WHEN 'a' THEN {_add('a.v2', 'r.e', 'K')}
+              ELSE {_add('a.v2', '2 + r.e', 'R')} END)}}], lambda w: {{'v0': w.v0, 'v1': w.v1,
+  'v2': least(w.v2, {_add('w.v0', 2, 'I')}, {_add('w.v1', 2, 'I')}, {_add('w.v3', 2, 'I')}),
+  'v3': least(w.v3, {_add('w.v2', 2, 'I')}, {_add('w.v0', 4, 'II')}, {_add('w.v1', 4, 'II')}),
+  'k': '', 'e': 0}})[1]"""
+
+_OP11_SQL = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+               lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+src AS (SELECT conv_id AS c, turn AS t, coalesce(role, ' ') AS role, coalesce(text, ' ') AS x,
+          list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                         lambda s: CAST(ascii(s) AS BIGINT)) AS b FROM conversations),
+dealt AS (SELECT src.*, xor(list_reduce([4294967295] || b, lambda h, y: xor(h >> 8, tab[(xor(h, y) & 255) + 1])), 4294967295) % 20 AS m
+          FROM src, crc),
+damaged AS (SELECT c, t, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+              CASE m WHEN 1 THEN '' WHEN 2 THEN translate(x, '.!?', '') ELSE x END AS x,
+              unnest(CASE WHEN m = 3 THEN [0, 1] ELSE [0] END) AS n FROM dealt WHERE m <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, sha256(role || chr(0) || x), n) AS i FROM damaged),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(x, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY c, role, x ORDER BY i) > 1 THEN 'd'
+    WHEN regexp_extract(x, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+    lag(role) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+marked AS (SELECT *, CASE WHEN f IN ('b', 'd') THEN '-' WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS k,
+    CASE WHEN f = 't' THEN 1 ELSE 0 END AS e FROM faults),
+found AS (SELECT c, coalesce(max(t) - min(t) + 1 - count(DISTINCT t), 0) AS gaps, count(*) FILTER (WHERE f = 'b') AS blank,
+    count(*) FILTER (WHERE f = 'd') AS duplicate, count(*) FILTER (WHERE f = 't') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+    list_reduce(list({{'v0': '', 'v1': '', 'v2': '', 'v3': '', 'k': k, 'e': e}} ORDER BY i), lambda a, r: {_OP11_STEP},
+                {{'v0': '000000', 'v1': '900000', 'v2': '000002I', 'v3': '000004II', 'k': '', 'e': 0}}) AS v
+    FROM marked GROUP BY c),
+solved AS (SELECT * EXCLUDE (v), least(v.v0, v.v3) AS v FROM found),
+edits AS (SELECT c, string_split(v[7:], '') AS l, unnest(range(1, length(v) - 5)) AS j FROM solved),
+numbered AS (SELECT c, j, l[j] AS edit, len(list_filter(l[:j], lambda y: y <> 'I')) AS i,
+    len(list_filter(l[:j], lambda y: y <> 'D')) AS o FROM edits),
+joined AS (SELECT numbered.*, role, x, bool_or(o = 1 AND edit = 'K' AND role[1] = 's') OVER (PARTITION BY numbered.c) AS sys
+    FROM numbered LEFT JOIN marked ON numbered.c IS NOT DISTINCT FROM marked.c AND numbered.i = marked.i),
+texts AS (SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o % 2 = 1) <> sys THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE x END, chr(10) ORDER BY j) AS s FROM joined WHERE edit <> 'D' GROUP BY c)
+SELECT o.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v[1:6], '0') AS BIGINT) AS cost,
+  coalesce(v[7:], '') AS audit, sha256(coalesce(s, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS c FROM conversations) o LEFT JOIN solved ON o.c IS NOT DISTINCT FROM solved.c
+LEFT JOIN texts ON o.c IS NOT DISTINCT FROM texts.c"""
+
+
 def oracle_sql():
-    return {"op4_exact_dedup": _OP4_SQL, "op10_benchmark_decontamination": _OP10_SQL}
+    return {"op4_exact_dedup": _OP4_SQL, "op10_benchmark_decontamination": _OP10_SQL, "op11_conversation_repair": _OP11_SQL}
