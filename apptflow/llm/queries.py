@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, conversations, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, quality, secrets,
-               token_counts)
+               token_counts, whitening)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -87,6 +87,10 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair_conversations(rows, present=F.col("present"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"), components=16)
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -100,6 +104,7 @@ def queries():
         "op9_line_dedup": op9_line_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_conversation_repair": op11_conversation_repair,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 

@@ -1,0 +1,122 @@
+"""Whitening against numpy's eigenvectors of the exact covariance."""
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from apptflow.llm import whitening as W
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def integers(rows):
+    """{row number: integer vector} of the rows that stay."""
+    ok = {i: v for i, (_, v) in enumerate(rows) if v and all(c is not None and math.isfinite(c) for c in v)}
+    sizes = [len(v) for v in ok.values()]
+    d = max(sizes, key=lambda s: (sizes.count(s), s)) if sizes else 0
+    return {i: tuple(math.floor(Fraction(float(np.float32(c))) * 64) + 1_000_000 for c in v) for i, v in ok.items() if len(v) == d}
+
+
+def brute(rows, components):
+    vecs = integers(rows)
+    fit = sorted(set(vecs.values()))
+    n, d = len(fit), len(fit[0])
+    s = [sum(v[j] for v in fit) for j in range(d)]
+    x = np.array([[float(Fraction(n * v[j] - s[j], n)) for j in range(d)] for v in fit])
+    e, q = np.linalg.eigh(x.T @ x / n)
+    e, q = e[::-1], q[:, ::-1]
+    k = int((e[:components] > 1e-12 * e.sum()).sum())
+    w = (q / np.sqrt(np.where(e > 0, e, 1)))[:, :k]
+    out = []
+    for i, v in vecs.items():
+        z = np.array([float(Fraction(n * v[j] - s[j], n)) for j in range(d)]) @ w
+        out.append((rows[i][0], n, sum((n * v[j] - s[j]) ** 2 for j in range(d)), z))
+    return out, e[:k] / e.sum()
+
+
+def compare(got, rows, components, tol=1e-8):
+    want, share = brute(rows, components)
+    by = {}
+    for r in got:
+        assert r.n == want[0][1] and r.identity_error < 1e-9
+        assert abs(r.explained / share[r.component - 1] - 1) < 1e-9
+        by.setdefault((r.vec_id, r.deviation), []).append((r.component, r.whitened))
+    assert len(got) == len(want) * len(share)
+    table = {}
+    for vec_id, _, dev, z in want:
+        table.setdefault((vec_id, dev), []).append(z)
+    assert set(by) == set(table)
+    signs = np.zeros(len(share))
+    for key, zs in table.items():
+        mine = np.array([v for _, v in sorted(by[key])]).reshape(len(share), -1)
+        z = np.sort(np.array(zs).T, axis=1)
+        for j in range(len(share)):
+            if len(zs) == 1 and abs(z[j, 0]) > 1e-3:
+                now = np.sign(mine[j, 0] * z[j, 0])
+                assert signs[j] in (0, now)
+                signs[j] = now
+            s = signs[j] or 1
+            assert np.allclose(np.sort(mine[j] * s), z[j], atol=tol)
+
+
+def test_given_table(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    compare(W.whiten(df).collect(), [tuple(r) for r in df.collect()], 16)
+
+
+def test_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    v = (rng.standard_normal((60, 5)) * [4, 2, 1, .5, .2]).astype(np.float32)
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(v)]
+    rows += [rows[3]] * 40 + [(None, rows[3][1]), (100, None), (101, []), (102, [1.0, 2.0]), (103, [1.0, None, 1.0, 1.0, 1.0]),
+                              (104, [1.0, math.nan, 1.0, 1.0, 1.0]), (105, [math.inf, 1.0, 1.0, 1.0, 1.0]), (106, [50.0, -50.0, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as n", "'x' as v").repartition(3)
+    got = W.whiten(df, components=3).collect()
+    compare(got, rows, 3)
+    assert {r.vec_id for r in got} == {*range(60), None, 106}
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert W.whiten(df).count() == 0                 # no variance, no direction
+    empty = W.whiten(df.limit(0))
+    assert empty.count() == 0 and empty.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    rows.append((3, [2.0, 2.0, 5.0]))
+    compare(W.whiten(spark.createDataFrame(rows, SCHEMA)).collect(), rows, 16)
+
+
+def test_large_entries(spark):
+    rows = [(i, [1e30 if i else -1e30, float(i)]) for i in range(4)] + [(9, [3e9, 1.0])]
+    got = W.whiten(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert got and all(math.isfinite(r.whitened) for r in got) and any(r.deviation is None for r in got)
+
+
+@pytest.mark.parametrize("d,n", [(64, 4000), (200, 600), (40, 30)])
+def test_eigenpairs_of_hard_spectra(d, n):
+    """A bulk of nearly equal eigenvalues below a few large ones."""
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((n, d)) * np.concatenate([[30, 20, 10], np.full(d - 3, 2.0)])
+    a = x.T @ x / n
+    calls = []
+
+    def apply(y):
+        calls.append(y.shape[1])
+        return a @ y
+
+    values, q, residual = W.top_eigenpairs(apply, d, 16)
+    e, u = np.linalg.eigh(a)
+    assert residual < 1e-12 and np.allclose(values, e[::-1][:16], rtol=1e-12)
+    assert np.abs(np.abs((q * u[:, ::-1][:, :16]).sum(axis=0)) - 1).max() < 1e-12
+    assert max(calls) < d or d <= 33
+    print(d, n, len(calls))
+
+
+def test_keys_are_canonical():
+    x = np.array([[0, 5], [-32768, 32767], [-32769, 0], [1 << 40, -(1 << 40)]], np.int64) + W.SHIFT
+    keys = W._keys(x)
+    assert [len(k.as_py()) for k in keys] == [5, 5, 9, 17]
+    assert sorted(map(tuple, W._unpacked(keys, 2).tolist())) == sorted(map(tuple, x.tolist()))
