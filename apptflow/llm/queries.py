@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, conversations, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, quality, secrets,
+from . import (bpe, conversations, decontam, exact_dedup, html, jaccard, line_dedup, ngram_lm, packing, quality, secrets,
                token_counts, whitening)
+from .shared import cut
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -87,6 +88,11 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair_conversations(rows, present=F.col("present"))
 
 
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    got = packing.pack_documents(_table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+    return cut(got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf, "embeddings"), components=16)
 
@@ -104,6 +110,7 @@ def queries():
         "op9_line_dedup": op9_line_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_packing": op12_packing,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
 
