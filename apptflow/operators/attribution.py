@@ -3,186 +3,127 @@
 Exact tree SHAP values (path-dependent expectation, as in the reference's
 summary plot) in log-odds units.
 
-* Tree structure: parsed from the model's public ``toDebugString``.
-* Node covers: training rows per leaf from MLlib's ``leafCol`` (leaf indices
-  in left-to-right order), one ``groupBy(tree, leaf).count()`` job; internal
-  covers are sums of their leaves.  Structure + covers are bounded by
-  trees x 2^depth and travel to the tasks inside the function closure.
-* Values: for a leaf with value v whose path uses the distinct features U,
-  the conditional expectation given a feature set S is
-  ``v * prod_j (x follows every split on j if j in S else cover ratio z_j)``,
-  a product game, whose Shapley value for i is
-  ``v (o_i - z_i) sum_k k!(m-k-1)!/m! e_k`` with ``e_k`` the t^k coefficient of
-  ``prod_{j != i} (z_j + o_j t)``.  Summed over leaves and trees this is the
-  exact tree SHAP; it is vectorised over the rows of each Arrow batch in
-  ``mapInPandas``, so the work is split by Spark partitions.
+* Covers are the sums of hessians that the fit keeps at every node; no pass over
+  the training rows.  Trees and covers are bounded by trees x 2^depth and travel to the
+  tasks inside the function closure.
+* A leaf of value v whose path uses the features U is a product game: given a
+  feature set S it is worth ``v * prod_j (o_j if j in S else z_j)``, o_j whether the row
+  follows all the path's splits on j, z_j the share of cover that does.  Path weights by
+  subset size are extended by one feature after the other and unwound by each in
+  turn, so a leaf costs the square of its path, not the cube; leaves of one path
+  length go together, over all rows of an Arrow batch.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TREE = re.compile(r"Tree (\d+) \(weight ([^)]+)\):")
-_IF = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
-_ELSE = re.compile(r"Else \(feature (\d+) > ([^)]+)\)")
-_PRED = re.compile(r"Predict: (\S+)")
-
+from .boosting import Forest
+from .quantiles import matrix
 
-def parse_trees(debug: str) -> list[tuple[float, dict]]:
-    """(weight, root) per tree; nodes are dicts (leaf: value; split:
-    feature, threshold, left, right)."""
-    lines = [ln.strip() for ln in debug.splitlines()]
-    trees, i = [], 0
 
-    def node(pos):
-        ln = lines[pos]
-        m = _PRED.match(ln)
-        if m:
-            return {"value": float(m.group(1))}, pos + 1
-        m = _IF.match(ln)
-        if not m:
-            raise ValueError(f"unsupported split (categorical?): {ln}")
-        left, nxt = node(pos + 1)
-        if not _ELSE.match(lines[nxt]):
-            raise ValueError(f"malformed tree text at: {lines[nxt]}")
-        right, end = node(nxt + 1)
-        return {"feature": int(m.group(1)), "threshold": float(m.group(2)),
-                "left": left, "right": right}, end
-
-    while i < len(lines):
-        m = _TREE.match(lines[i])
-        if m:
-            root, i = node(i + 1)
-            trees.append((float(m.group(2)), root))
-        else:
-            i += 1
-    return trees
-
-
-def _leaves(root):
-    """Leaves left to right with their paths [(feature, thr, went_left, parent)]."""
-    out = []
-
-    def walk(n, path):
-        if "value" in n:
-            out.append((n, list(path)))
-            return
-        walk(n["left"], path + [(n["feature"], n["threshold"], True, n)])
-        walk(n["right"], path + [(n["feature"], n["threshold"], False, n)])
-    walk(root, [])
-    return out
-
-
-def leaf_covers(model, train: DataFrame) -> dict[tuple[int, int], int]:
-    """Training rows per (tree, leaf) — one aggregate, bounded output."""
-    lm = model.copy().setLeafCol("_leaf")
-    leaves = lm.transform(train.select("features")).select(
-        F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    rows = leaves.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).count().collect()
-    return {(r.tree, r.leaf): r["count"] for r in rows}
-
-
-def leaf_table(model, covers: dict[tuple[int, int], int], rounds: int | None = None):
-    """Per leaf: (2*w*value, features, z per feature, splits per feature);
-    plus the base value (expected log-odds).  ``rounds`` keeps the first
-    trees only (a model cut at its chosen round)."""
+def leaf_table(forest: Forest, rounds: int | None = None) -> tuple[list, float]:
+    """Per leaf: (value, features, cover shares, lower bounds, upper bounds, whether
+    missing values follow); plus the base value (expected log-odds).  A row follows
+    feature j's splits if its value is above the lower and not above the upper bound."""
     table, base = [], 0.0
-    trees = parse_trees(model.toDebugString)
-    for t, (w, root) in enumerate(trees[:rounds] if rounds else trees):
-        lv = _leaves(root)
-        cov = {}
-
-        def cover(n, _lv=lv, _t=t, _cov=cov):
-            k = id(n)
-            if k not in _cov:
-                if "value" in n:
-                    idx = next(i for i, (leaf, _) in enumerate(_lv) if leaf is n)
-                    _cov[k] = covers.get((_t, idx), 0)
-                else:
-                    _cov[k] = cover(n["left"]) + cover(n["right"])
-            return _cov[k]
-        for leaf, path in lv:
-            by_f: dict[int, list] = {}
-            for f, thr, left, parent in path:
-                child = parent["left"] if left else parent["right"]
-                pc = cover(parent)
-                ratio = cover(child) / pc if pc else 0.0
-                by_f.setdefault(f, []).append((thr, left, ratio))
-            feats = sorted(by_f)
-            z = np.array([math.prod(r for _, _, r in by_f[f]) for f in feats])
-            v = 2.0 * w * leaf["value"]
-            base += v * float(np.prod(z)) if len(z) else v
-            table.append((v, feats, z, [[(thr, left) for thr, left, _ in by_f[f]] for f in feats]))
+    f = forest.first(rounds)
+    for t in range(f.rounds):
+        open_ = [(0, {})]
+        while open_:
+            node, path = open_.pop()
+            j = int(f.feature[t, node])
+            if j < 0:
+                feats = sorted(path)
+                z, lo, hi, null = (np.array([path[k][i] for k in feats]) for i in range(4)) if feats else (np.zeros(0),) * 4
+                v = float(f.weight[t, node])
+                base += v * float(np.prod(z))
+                table.append((v, feats, z, lo, hi, null.astype(bool)))
+                continue
+            thr, cover, here = f.threshold[t, node], f.cover[t, node], path.get(j, (1.0, -np.inf, np.inf, True))
+            for left in (False, True):
+                child = 2 * node + (1 if left else 2)
+                share = f.cover[t, child] / cover if cover else 0.0
+                lo, hi = (here[1], min(here[2], thr)) if left else (max(here[1], thr), here[2])
+                open_.append((child, {**path, j: (here[0] * share, lo, hi, here[3] and bool(f.missing_left[t, node]) == left)}))
     return table, base
 
 
-def _shapley_weights(m: int) -> np.ndarray:
-    return np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
-                     for k in range(m)])
-
-
-def shap_matrix(x: np.ndarray, table) -> np.ndarray:
-    """SHAP values (n x d) for a batch of rows."""
+def shap_matrix(x: np.ndarray, table: list) -> np.ndarray:
+    """SHAP values (n x d) for a batch of rows (missing values are NaN)."""
     n, d = x.shape
     phi = np.zeros((n, d))
-    wcache: dict[int, np.ndarray] = {}
-    for v, feats, z, splits in table:
-        m = len(feats)
-        if m == 0:
+    missing = np.isnan(x)
+    by_size: dict[int, list] = {}
+    for leaf in table:
+        by_size.setdefault(len(leaf[1]), []).append(leaf)
+    for m, leaves in by_size.items():
+        if not m:
             continue
-        o = np.empty((n, m))
-        for j, f in enumerate(feats):
-            ok = np.ones(n, dtype=bool)
-            for thr, left in splits[j]:
-                ok &= (x[:, f] <= thr) if left else (x[:, f] > thr)
-            o[:, j] = ok
-        w = wcache.setdefault(m, _shapley_weights(m))
-        for i in range(m):
-            poly = np.ones((n, 1))
+        step = max(1, (1 << 20) // (max(n, 1) * (m + 1)))
+        for a in range(0, len(leaves), step):
+            v, feats, z, lo, hi, null = (np.array([leaf[i] for leaf in leaves[a:a + step]]) for i in range(6))
+            xs = x[:, feats]                                          # rows x leaves x path features
+            with np.errstate(invalid="ignore"):
+                o = np.where(missing[:, feats], null, (xs > lo) & (xs <= hi)).astype(float)
+            w = _extended(z, o)
             for j in range(m):
-                if j == i:
-                    continue
-                nxt = np.zeros((n, poly.shape[1] + 1))
-                nxt[:, :-1] += poly * z[j]
-                nxt[:, 1:] += poly * o[:, j:j + 1]
-                poly = nxt
-            phi[:, feats[i]] += v * (o[:, i] - z[i]) * (poly @ w)
+                share = v * (o[:, :, j] - z[:, j]) * _unwound(w, z[:, j], o[:, :, j])
+                for f in np.unique(feats[:, j]):
+                    phi[:, f] += share[:, feats[:, j] == f].sum(axis=1)
     return phi
 
 
-def shap_values(model, df: DataFrame, names: list[str], key: str,
-                covers_from: DataFrame | None = None,
-                rounds: int | None = None) -> tuple[DataFrame, float]:
-    """Long table (key, feature, value, attribution) + base value.
-
-    ``covers_from`` is the training set (defaults to ``df``)."""
-    covers = leaf_covers(model, covers_from if covers_from is not None else df)
-    table, base = leaf_table(model, covers, rounds)
+def _extended(z: np.ndarray, o: np.ndarray) -> list:
+    """Path weights by the number of followed features, after all features."""
+    m = z.shape[1]
+    w = [np.ones(o.shape[:2])]
+    for k in range(m):                    # k features so far, k + 1 after
+        new = [np.zeros(o.shape[:2]) for _ in range(k + 2)]
+        for i, p in enumerate(w):
+            new[i] += z[:, k] * p * ((k + 1 - i) / (k + 2))
+            new[i + 1] += o[:, :, k] * p * ((i + 1) / (k + 2))
+        w = new
+    return w
+
+
+def _unwound(w: list, z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """The sum of the path weights without a feature of share z, followed or not."""
+    m = len(w) - 1
+    total = np.zeros_like(o)
+    nxt = w[m]
+    safe = np.where(z > 0, z, 1.0)
+    for i in range(m - 1, -1, -1):
+        one = nxt * ((m + 1) / (i + 1))                      # followed: o = 1
+        zero = w[i] * ((m + 1) / (m - i)) / safe
+        total += np.where(o > 0, one, np.where(z > 0, zero, 0.0))
+        nxt = w[i] - one * z * ((m - i) / (m + 1))
+    return total
+
+
+def shap_values(forest: Forest, df: DataFrame, names: list[str], key: str, rounds: int | None = None,
+                features: str = "x") -> tuple[DataFrame, float]:
+    """Long table (key, feature, value, attribution) + base value; a missing
+    value is null."""
+    table, base = leaf_table(forest, rounds)
     key_type = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, feature string, value double, attribution double"
-    src = df.select(F.col(key), vector_to_array("features").alias("_x"))
+    d = len(names)
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["_x"].to_numpy())
-            phi = shap_matrix(x, table)
-            n, d = x.shape
-            yield pd.DataFrame({
-                key: np.repeat(pdf[key].to_numpy(), d),
-                "feature": np.tile(np.array(names[:d], dtype=object), n),
-                "value": x.reshape(-1),
-                "attribution": phi.reshape(-1),
-            })
-    return src.mapInPandas(run, schema), base
+        for b in batches:
+            for a in range(0, b.num_rows, 2048):
+                part = b.slice(a, 2048)
+                x = matrix(part.column(1), d)
+                n = len(x)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(np.repeat(np.arange(n), d))), pa.array(np.tile(np.array(names, dtype=object), n), pa.string()),
+                    pa.array(x.ravel(), from_pandas=True), pa.array(shap_matrix(x, table).ravel())], [key, "feature", "value", "attribution"])
+
+    return df.select(F.col(key), F.col(features).alias("_x")).mapInArrow(run, schema), base
 
 
 def shap_summary(values: DataFrame, top_n: int = 25) -> DataFrame:
@@ -206,13 +147,15 @@ def shap_plot_data(values: DataFrame, top_n: int = 25) -> DataFrame:
                       scaled.alias("value_scaled"))
 
 
-def gain_importance(model, names: list[str]) -> list[tuple[str, float]]:
-    """MLlib's impurity-gain importances with feature names (small list)."""
-    imp = model.featureImportances.toArray()
-    return [(names[i], float(imp[i])) for i in range(len(imp))]
+def gain_importance(forest: Forest, names: list[str], rounds: int | None = None) -> list[tuple[str, float]]:
+    """Share of all splits' gain by feature (small list)."""
+    f = forest.first(rounds)
+    used = f.feature >= 0
+    by = np.bincount(f.feature[used], weights=f.gain[used], minlength=len(names))
+    return [(n, float(v / by.sum()) if by.sum() else 0.0) for n, v in zip(names, by)]
 
 
-def permutation_importance(model, df: DataFrame, names: list[str], key: str,
+def permutation_importance(forest: Forest, df: DataFrame, names: list[str], key: str,
                            rounds: int | None = None, seed=0) -> DataFrame:
     """T9 (alternative view): drop in ROC AUC when one feature's values are
     permuted across rows (a random rotation of a random order), one row per feature.
@@ -223,14 +166,12 @@ def permutation_importance(model, df: DataFrame, names: list[str], key: str,
     and its donor become one row a feature, with that slot replaced, and one
     AUC pass gives every feature's figure.
     """
-    from pyspark.ml.functions import array_to_vector
-
     from ..session import cut_lineage
     from .model import margin, staged_auc
     from .sampling import hash_rank
 
     d = len(names)
-    base = df.select(key, "label", vector_to_array("features").alias("_x"))
+    base = df.select(key, "label", F.col("x").alias("_x"))
     ranked = cut_lineage(hash_rank(base, key, [], f"{seed}|perm", out="_r", size_col="_n"))
     # one wanted donor rank a row and feature; feature -1 is the row itself
     want = ranked.select("label", "_x", F.explode(F.array(*[F.lit(j) for j in range(-1, d)])).alias("_j"), "_r", "_n")
@@ -239,9 +180,9 @@ def permutation_importance(model, df: DataFrame, names: list[str], key: str,
         F.pmod(F.col("_r") - 1 + shift, F.col("_n")) + 1))
     donor = ranked.select(F.col("_r").alias("_d"), F.col("_x").alias("_from"))
     x = want.join(donor, "_d").select(
-        F.col("_j"), "label", array_to_vector(F.transform("_x", lambda v, i: F.when(
-            i == F.col("_j"), F.get("_from", i)).otherwise(v))).alias("features"))
-    auc = cut_lineage(staged_auc(margin(model, x, rounds), col="_margin", by=["_j"], pr=False).select("_j", "auc"))
+        F.col("_j"), "label", F.transform("_x", lambda v, i: F.when(
+            i == F.col("_j"), F.get("_from", i)).otherwise(v)).alias("x"))
+    auc = cut_lineage(staged_auc(margin(forest, x, d, rounds), col="_margin", by=["_j"], pr=False).select("_j", "auc"))
     whole = auc.where("_j = -1").select("auc").scalar()
     name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_j"))
     return auc.where("_j >= 0").select(name.alias("feature"), F.col("auc").alias("permuted_auc"),

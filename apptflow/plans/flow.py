@@ -32,7 +32,7 @@ def full_flow(appts: DataFrame, out_path: str | None = None, runs: int = 25,
     table = model_table(feats, keep=("patient_id",))
     results, per_run, mean = run_many(table, runs, params, out_path=out_path, date=date)
     last = results[-1]
-    vals, base = shap_values(last.model, last.train, last.feature_names, "patient_id",
+    vals, base = shap_values(last.model, last.train, last.features, "patient_id",
                              rounds=last.rounds)
     return {
         "features": feats,
@@ -45,10 +45,10 @@ def full_flow(appts: DataFrame, out_path: str | None = None, runs: int = 25,
         "shap_summary": shap_summary(vals, top_n),
         "shap_plot_data": shap_plot_data(vals, top_n),
         "shap_base_value": base,
-        "gain_importance": gain_importance(last.model, last.feature_names),
+        "gain_importance": gain_importance(last.model, last.features, last.rounds),
         "permutation_importance": permutation_importance(
-            last.model, last.scored.select("patient_id", "label", "features"),
-            last.feature_names, "patient_id", last.rounds),
+            last.model, last.scored.select("patient_id", "label", "x"),
+            last.features, "patient_id", last.rounds),
         "results": results,
     }
 

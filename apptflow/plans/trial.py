@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import join_null_safe
 from ..session import cut_lineage
-from ..operators.model import assemble, feature_plan, score
+from ..operators.model import assemble, score
 from ..operators.trial import assign_arms, assign_bands, reminder_schedule, trial_outcome
 from ..schemas import DATE, DNA, PATIENT, TIEBREAK
 
@@ -21,9 +21,8 @@ from ..schemas import DATE, DNA, PATIENT, TIEBREAK
 def patient_probabilities(model, table: DataFrame, features: list[str], rounds: int | None,
                           key: str = PATIENT, label: str = DNA) -> DataFrame:
     """(patient, probability) from a fitted run over a model table."""
-    plan = feature_plan(table, features)
-    x, _ = assemble(table.where(F.col(label).isNotNull()), plan, label, keep=[key])
-    return score(model, x, 0.5, rounds=rounds).select(key, "probability")
+    x = assemble(table.where(F.col(label).isNotNull()), features, label, keep=[key])
+    return score(model, x, len(features), 0.5, rounds=rounds).select(key, "probability")
 
 
 def run_trial(appts: DataFrame, probs: DataFrame, cut: float = 0.5, seed=2024,

@@ -78,3 +78,9 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     import uuid
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder made under :func:`shared_folder`."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

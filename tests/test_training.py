@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from apptflow.operators.features import model_table, patient_features
-from apptflow.operators.model import BoostParams
+from apptflow.operators.boosting import BoostParams
 from apptflow.plans.training import run_many
 from apptflow.schemas import METRIC_NAMES
 from apptflow.sources import appointments_from_orders, read_run_metrics
@@ -32,26 +32,43 @@ def test_run_many_writes_reads_and_averages(spark, tmp_path):
     # same run number -> same split and metrics (repeatable)
     again, _, _ = run_many(table, runs=1, p=BoostParams(rounds=4, folds=2, depth=3),
                            date="2024-05-14")
+    assert results[0].model.rounds == results[0].rounds_grown == again[0].rounds_grown
     assert again[0].metrics.drop("date").collect() == results[0].metrics.drop("date").collect()
 
 
 def test_a_stopped_run_many_keeps_finished_runs(spark, tmp_path, monkeypatch):
     import apptflow.plans.training as TP
     table = model_table(patient_features(appointments_from_orders(spark, SF), min_count=50), keep=("patient_id",))
-    once, out = TP.run_once, str(tmp_path / "runs")
+    batch, out = TP.run_together, str(tmp_path / "runs")
 
-    def stops(table, run, *a, **k):
-        if run == 3:
+    def stops(table, runs, *a, **k):
+        if 3 in runs:
             raise RuntimeError("stopped")
-        return once(table, run, *a, **k)
-    monkeypatch.setattr(TP, "run_once", stops)
+        return batch(table, runs, *a, **k)
+    monkeypatch.setattr(TP, "run_together", stops)
     try:
-        run_many(table, runs=5, p=BoostParams(rounds=2, folds=2, depth=2), out_path=out, date="2024-05-14")
+        run_many(table, runs=5, p=BoostParams(rounds=2, folds=2, depth=2), out_path=out, date="2024-05-14", together=2)
     except RuntimeError:
         pass
     assert sorted(r.run for r in read_run_metrics(spark, out).collect()) == [1, 2]
 
 
+def test_runs_in_lockstep_equal_runs_on_their_own(spark):
+    import numpy as np
+
+    from apptflow.plans.training import run_once
+    table = model_table(patient_features(appointments_from_orders(spark, SF), min_count=50), keep=("patient_id",))
+    p = BoostParams(rounds=4, folds=2, depth=3, every=3)
+    both, _, _ = run_many(table, runs=2, p=p, date="2024-05-14")
+    one = run_once(table, 2, p, date="2024-05-14")
+    two = both[1]
+    assert (one.cv_rounds, one.rounds) == (two.cv_rounds, two.rounds)
+    for a, b in zip(one.forests, two.forests):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.weight, b.weight)
+    assert one.metrics.collect() == two.metrics.collect()
+    assert sorted(one.scored.select("patient_id", "probability").collect()) == sorted(two.scored.select("patient_id", "probability").collect())
+
+
 def test_full_flow_small(spark, tmp_path):
     from apptflow.plans.flow import full_flow
     res = full_flow(appointments_from_orders(spark, SF), str(tmp_path / "flow"), runs=1,
