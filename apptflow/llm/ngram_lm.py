@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .elias_fano import DTYPES, EliasFano, encode
+from .jaccard import _packed, _unpacked
 from .shared import map_array, new_folder, put_file, tidy
 from .words import SPACE_WORDS, chunk_rows, mix, text_buffers, words
 
@@ -92,9 +93,10 @@ class _Counter:
 
 
 def _block(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys, as differences by byte planes, and their counts."""
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if counts.max(initial=0) <= np.iinfo(t).max)
     tag = np.array([np.dtype(kind).itemsize], np.uint8).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([keys.tobytes()], pa.binary()),
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([_packed(keys)], pa.binary()),
                                        pa.array([tag + counts.astype(kind).tobytes()], pa.binary())],
                                       ["shard", "keys", "counts"])
 
@@ -115,7 +117,8 @@ def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     for k, c in zip(t.column("keys"), t.column("counts")):
         c = c.as_buffer()
         kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[c[0]]
-        runs.append((np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c, kind, offset=1).astype(np.int64)))
+        k = k.as_buffer()
+        runs.append((_unpacked(k) if len(k) else np.zeros(0, np.uint64), np.frombuffer(c, kind, offset=1).astype(np.int64)))
     return _merge(runs)
 
 
@@ -325,6 +328,12 @@ def _hash_shard(shards: int):
     return lambda k: (mix(k) & _U(shards - 1)).astype(np.int64)
 
 
+def _fits(keys: int, what: str) -> None:
+    """Keys are 64-bit numbers; more of them would be counted as others."""
+    if keys > 1 << 64:
+        raise OverflowError(f"{what} have more than 2^64 keys; train on fewer texts or a lower order")
+
+
 def _level(trie: Trie, level: int, s: int, local: np.ndarray, c: np.ndarray, contexts: int, context_count: np.ndarray,
            unit: int, lower: np.ndarray) -> np.ndarray:
     """Write a level's files of shard s: ``local`` keys (context * unit + rel),
@@ -373,6 +382,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, min_count: i
         return one
     n_words = int(one.word_start[-1])
     unit = n_words
+    _fits(n_words * n_words, "pairs of words")
 
     def pair_keys(seq, at):
         ids, begin = _keys_of(one, seq, at, min_count)
@@ -404,6 +414,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, min_count: i
     if order < 3 or not pairs.sum():
         return two
     fan = two.fan_out
+    _fits(int(pairs.sum()) * fan, "triples of words")
 
     def triple_keys(seq, at):
         ids, begin = _keys_of(two, seq, at, min_count)

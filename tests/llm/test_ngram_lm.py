@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from apptflow.llm import elias_fano as E
@@ -149,3 +150,14 @@ def test_query_counts_what_occurs_once(spark, tmp_path):
             off[0].append(abs(r.score - every.score(t)) / n)
             off[1].append(abs(r.score - twice.score(t)) / n)
     assert sum(off[0]) * 5 < sum(off[1])
+
+
+def test_blocks_pack_sorted_keys_and_guard_their_size():
+    keys = np.array([0, 5, 6, 1 << 40, (1 << 64) - 1], np.uint64)
+    counts = np.array([1, 2, 300, 1, 7])
+    t = pa.Table.from_batches([M._block(3, keys, counts), M._block(3, keys[1:3], counts[:2]), M._block(3, keys[:0], counts[:0])])
+    k, c = M._merged(t)
+    assert k.tolist() == keys.tolist() and c.tolist() == [1, 3, 302, 1, 7]
+    M._fits(1 << 64, "keys")
+    with pytest.raises(OverflowError):
+        M._fits((1 << 64) + 1, "keys")

@@ -37,19 +37,14 @@ def test_quality(spark, stages):
 
 
 def test_line_dedup(stages):
+    """Whole repeated runs go, as the stage asks for."""
     rows = sorted((d, r.text) for d, r in stages[1].items())
-    want = {d: t for d, t, n in line_brute.brute(rows, 50) if not n or t.strip(" \t\n\x0b\x0c\r")}
+    want = {d: t for d, t, n in line_brute.whole(rows, 50) if not n or t.strip(" \t\n\x0b\x0c\r")}
     assert {d: r.text for d, r in stages[2].items()} == want
     assert all(r.n_chars == len(r.text) for r in stages[2].values())
     assert any(len(stages[1][d].text) > len(t) for d, t in want.items())
 
 
-def test_line_dedup_of_whole_runs(stages):
-    rows = sorted((d, r.text) for d, r in stages[1].items())
-    want = {d: t for d, t, n in line_brute.whole(rows, 50) if not n or t.strip(" \t\n\x0b\x0c\r")}
-    assert {d: r.text for d, r in stages[2].items()} == want
-
-
 def test_near_duplicates(stages):
     rows = sorted((d, r.text) for d, r in stages[2].items())
     want = {d for d, _, c in jaccard_brute.brute(rows, 5, 80, 100) if d == c}
