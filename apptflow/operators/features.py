@@ -7,12 +7,12 @@ latest row's own day), so attaching to the latest row only gives the same
 table while joining patient-level tables instead of the appointment table.
 
 The table is scanned three times: a partial aggregate by clinic (rates, clinic
-rates, newest date); the sequence pass (two shuffles of five narrow columns, by
-patient and day, then by patient, each pre-limited map-side) for sequences and
-the same-day flag; and one aggregate by patient for the latest row and the
-recent count, partial before its shuffle.  One-row values (rates, count maps) enter as scalar subqueries; the
-clinic join is left to AQE, which broadcasts it only after measuring its size;
-the remaining joins are between patient-level tables.
+rates, newest date); the sequence pass (two shuffles, by patient and day, then by
+patient, each pre-limited map-side) for sequences, the same-day flag and the latest
+row, whose columns it carries; and a count of the recent rows by patient, hashed
+before its shuffle.  One-row values (rates, count maps) enter as scalar subqueries;
+the clinic join is left to AQE, which broadcasts it only after measuring its size;
+the remaining join is between patient-level tables.
 """
 
 from __future__ import annotations
@@ -40,20 +40,6 @@ def latest_rows(df: DataFrame, patient: str = PATIENT, date: str = DATE,
             .where((F.col("_rn") == 1) & F.col(date).isNotNull()).drop("_rn"))
 
 
-def latest_and_recent(df: DataFrame, newest, days: int, patient: str = PATIENT, date: str = DATE,
-                      tiebreak: str = TIEBREAK, out: str = "three_mo_count") -> DataFrame:
-    """W5 + A6 in one aggregate by patient (partial before the shuffle): the
-    latest appointment's columns and the number of rows in the ``days`` up to
-    ``newest``.  Patients with only null dates are dropped."""
-    rest = [c for c in df.columns if c != patient]
-    order = F.when(F.col(date).isNotNull(), F.struct(F.col(date), -F.col(tiebreak)))
-    g = df.groupBy(patient).agg(
-        F.max_by(F.struct(*rest), order).alias("_latest"),
-        F.count(F.when(F.col(date) > F.date_sub(newest, days), 1)).alias(out))
-    return (g.where(F.col("_latest").isNotNull())
-            .select(*[F.col(c) if c == patient else F.col(f"_latest.{c}").alias(c) for c in df.columns], out))
-
-
 def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
                      order: int = 6, patient: str = PATIENT, clinic: str = CLINIC,
                      date: str = DATE, tiebreak: str = TIEBREAK, dna: str = DNA,
@@ -77,11 +63,9 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
         stats = cut_lineage(stats)
     scal = rates_from_stats(stats, {dna: "rate", cancel: "cancel_rate"})
     crates = clinic_rates_from_stats(stats, clinic, dna, min_count)
-    # narrow columns only through the one full shuffle (sequence pass); the
-    # latest row's other columns come from a pre-limited pass (<= 1 row per
-    # patient per map task) and a patient-level join.
+    rest = [c for c in appts.columns if c not in (patient, date, tiebreak, dna, cancel)]
     seqs = patient_sequences(appts, {dna: "dna", cancel: "cancel"}, patient=patient,
-                             date=date, tiebreak=tiebreak, order=order)
+                             date=date, tiebreak=tiebreak, order=order, carry=rest)
     if materialize:
         seqs = cut_lineage(seqs)
     # one-row values enter as scalar subqueries (each evaluated once, no join)
@@ -95,15 +79,18 @@ def patient_features(appts: DataFrame, min_count: int = 500, days: int = 90,
         p_dna = F.when(F.col("history_dna").isNull(), _marginal(m_dna)).otherwise(p_dna)
         p_cancel = F.when(F.col("history_cancel").isNull(),
                           _marginal(m_cancel)).otherwise(p_cancel)
-    probs = (seqs.where(F.col("latest").isNotNull())
-             .select(F.col(patient),
-                     F.coalesce(p_dna, rate).alias("dna_markov"),
-                     F.coalesce(p_cancel, cancel_rate).alias("cancel_markov"),
-                     F.col("multi_day"), rate.alias("rate")))
-    # the patient-keyed join first (both sides are partitioned by patient), the
-    # clinic lookup last (AQE broadcasts it when measured small)
-    last = latest_and_recent(appts, scal.select("max_dt").scalar(), days, patient, date, tiebreak)
-    base = join_null_safe(last, probs, [patient])
+    last = (seqs.where(F.col("latest").isNotNull())
+            .select(*[F.col(c) if c == patient else F.col(f"latest.{c}").alias(c) for c in appts.columns],
+                    F.coalesce(p_dna, rate).alias("dna_markov"),
+                    F.coalesce(p_cancel, cancel_rate).alias("cancel_markov"),
+                    F.col("multi_day"), rate.alias("rate")))
+    newest = scal.select("max_dt").scalar()
+    recent = (appts.where(F.col(date) > F.date_sub(newest, days)).groupBy(F.col(patient).alias("_p"))
+              .agg(F.count(F.lit(1)).alias("_recent")))
+    # the patient-keyed join first, the clinic lookup last (AQE broadcasts it when
+    # measured small)
+    base = (last.join(recent, F.col(patient).eqNullSafe(F.col("_p")), "left")
+            .withColumn("three_mo_count", F.coalesce("_recent", F.lit(0).cast("long"))).drop("_p", "_recent"))
     cr = crates.withColumnRenamed(clinic, "_clinic")
     return (base.join(cr, base[clinic].eqNullSafe(cr["_clinic"]), "left")
             .withColumn("clinic_prop", F.coalesce(F.col("clinic_prop"), F.col("rate")))

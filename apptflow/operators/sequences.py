@@ -66,8 +66,13 @@ def rank_appointments(df: DataFrame, patient: str = PATIENT, date: str = DATE,
 
 def slice_offsets(numbered: DataFrame, patient: str = PATIENT) -> DataFrame:
     """(_p, _q, _off): rows of a patient in the slices before ``_q``, for patients
-    in more than one slice; two rows a boundary at most."""
-    n = numbered.groupBy(F.col(patient).alias("_p"), F.col("_pid").alias("_q")).agg(F.max("_rk").alias("_n"))
+    in more than one slice; two rows a boundary at most.  Such a patient is the
+    first or the last of its slice, so no other is grouped (a null one comes first)."""
+    ends = numbered.groupBy(F.col("_pid").alias("_s")).agg(F.min(patient).alias("_lo"), F.max(patient).alias("_hi"))
+    p = F.col(patient)
+    at_end = numbered.join(F.broadcast(ends), (F.col("_pid") == F.col("_s")) & (
+        p.isNull() | (p == F.col("_lo")) | (p == F.col("_hi"))))          # a row a slice is broadcast
+    n = at_end.groupBy(p.alias("_p"), F.col("_pid").alias("_q")).agg(F.max("_rk").alias("_n"))
     w = Window.partitionBy("_p").orderBy("_q")
     return (n.withColumn("_off", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
             .where(F.col("_off").isNotNull()).select("_p", "_q", "_off"))

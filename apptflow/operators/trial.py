@@ -79,3 +79,83 @@ def trial_outcome(df: DataFrame, band: str = "band", arm: str = "arm",
         (p0 - p1).alias("abs_reduction"),
         F.try_divide(p0 - p1, se).alias("z"),
         two_sided_p(F.try_divide(p0 - p1, se)).alias("p_value"))
+
+
+REPLICATES = 1024        # re-randomisations, 128 to an md5
+
+
+def clustered_outcome(df: DataFrame, patient: str = PATIENT, band: str = "band", arm: str = "arm", outcome: str = DNA,
+                      replicates: int = REPLICATES, seed=0) -> DataFrame:
+    """X4 with the patient as the unit, as arms go by patient: a row a band with
+    patients, appointments and misses of both arms, the difference of miss rates
+    (control - intervention), its cluster-robust standard error and z, and the share
+    of re-randomisations whose difference is at least as large either way.
+
+    Robust variance of an arm's rate p: m / (m - 1) * sum over its m patients of
+    (misses - p * appointments)^2, over appointments squared; the squares open up into
+    sums of integers, so one aggregate of patients serves.  In replicate r a patient's
+    arm is bit r of md5(patient | seed | r // 128): every task adds its patients to all
+    replicates at once, and all replicates are one aggregate.  Null outcomes are no
+    misses.  Without patients in both arms, or two in each for z, figures are null."""
+    per = df.groupBy(band, patient, arm).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(outcome) == 1, 1)).alias("y"))
+    per = per.select(F.col(band).alias("b"), F.col(patient).cast("string").alias("p"), F.col(arm).alias("a"), "n", "y")
+    aggs = []
+    for a in ("intervention", "control"):
+        own = F.col("a") == a
+        aggs += [F.count(F.when(own, 1)).alias(f"m_{a}")]
+        aggs += [F.sum(F.when(own, x).otherwise(0)).alias(f"{k}_{a}") for k, x in {
+            "n": F.col("n"), "y": F.col("y"), "yy": F.col("y") * F.col("y"), "yn": F.col("y") * F.col("n"),
+            "nn": F.col("n") * F.col("n")}.items()]
+    one = per.groupBy("b").agg(*aggs)
+
+    def d(x):
+        return F.col(x).cast("double")
+
+    def variance(a):
+        rate = F.try_divide(d(f"y_{a}"), d(f"n_{a}"))
+        ss = d(f"yy_{a}") - F.lit(2.0) * rate * d(f"yn_{a}") + rate * rate * d(f"nn_{a}")
+        return F.try_divide(d(f"m_{a}") * F.greatest(ss, F.lit(0.0)), (d(f"m_{a}") - 1) * d(f"n_{a}") * d(f"n_{a}"))
+
+    p1, p0 = (F.try_divide(d(f"y_{a}"), d(f"n_{a}")) for a in ("intervention", "control"))
+    out = one.withColumn("rate_intervention", p1).withColumn("rate_control", p0).withColumn("abs_reduction", p0 - p1) \
+        .withColumn("se_clustered", F.sqrt(variance("intervention") + variance("control"))) \
+        .withColumn("z_clustered", F.try_divide("abs_reduction", "se_clustered"))
+    rep = _replicates(per, replicates, seed).join(out.select(F.col("b").alias("_b"), "abs_reduction"), F.col("b").eqNullSafe(F.col("_b")))
+    diff = F.try_divide(d("y0"), d("n0")) - F.try_divide(d("y1"), d("n1"))
+    share = rep.groupBy(F.col("b").alias("_b")).agg(
+        F.count(F.when(F.abs(diff) >= F.abs("abs_reduction") - 1e-12, 1)).alias("as_large"), F.count(diff).alias("replicates"))
+    return out.join(share, F.col("b").eqNullSafe(F.col("_b")), "left").select(
+        F.col("b").alias(band), F.col("m_intervention").alias("patients_intervention"), F.col("m_control").alias("patients_control"),
+        *[F.col(f"{k}_{a}").alias(f"{v}_{a}") for a in ("intervention", "control") for k, v in (("n", "n"), ("y", "miss"))],
+        "rate_intervention", "rate_control", "abs_reduction", "se_clustered", "z_clustered",
+        F.try_divide(F.col("as_large").cast("double"), F.col("replicates").cast("double")).alias("p_rerandomised"))
+
+
+def _replicates(per: DataFrame, replicates: int, seed) -> DataFrame:
+    """(b, r, n1, y1, n0, y0): appointments and misses of both arms in each
+    re-randomisation, of patients (b, p, n, y)."""
+    import numpy as np
+    import pyarrow as pa
+    words = -(-replicates // 128)
+    bits = F.concat(*[F.unhex(F.md5(F.concat_ws("|", "p", F.lit(str(seed)), F.lit(str(k))))) for k in range(words)])
+    src = per.select("b", "n", "y", bits.alias("bits"))
+
+    def run(batches):
+        acc: dict = {}
+        for batch in batches:
+            b = batch.column(0).to_pylist()
+            n, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            raw = np.stack([np.frombuffer(x, np.uint8) for x in batch.column(3).to_pylist()])
+            on = np.unpackbits(raw, axis=1)[:, :replicates].astype(bool)
+            for k in set(b):
+                at = np.array([v == k if k is not None else v is None for v in b])
+                v = np.stack([np.where(on[at], x[at][:, None], 0).sum(axis=0) for x in (n, y)]
+                             + [np.where(on[at], 0, x[at][:, None]).sum(axis=0) for x in (n, y)])
+                acc[k] = acc[k] + v if k in acc else v
+        for k, v in acc.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * replicates, batch.schema.field(0).type), pa.array(np.arange(replicates)),
+                                              *[pa.array(x) for x in v]], ["b", "r", "n1", "y1", "n0", "y0"])
+
+    kind = per.schema["b"].dataType.simpleString()
+    sums = src.mapInArrow(run, f"b {kind}, r long, n1 long, y1 long, n0 long, y0 long")
+    return sums.groupBy("b", "r").agg(*[F.sum(c).alias(c) for c in ("n1", "y1", "n0", "y0")])

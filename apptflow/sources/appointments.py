@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import flag, iso_weekday, lead_days
 from ..schemas import APPOINTMENT_SCHEMA, REQUIRED_COLUMNS, SOURCE_NAMES
 from .tables import read_table
+from .typed_text import parsed, read_text
 
 
 def read_appointments(spark: SparkSession, path: str, fmt: str = "csv",
@@ -26,8 +27,10 @@ def read_appointments(spark: SparkSession, path: str, fmt: str = "csv",
     """An appointment file or folder, columns by header name.
 
     A column is known by its canonical or its source name, in any order; other
-    columns are left out.  A file without one of the required columns raises
-    ValueError; a value that doesn't fit its declared type fails the read.
+    columns are left out.  Empty cells and ``NA`` are null in every column, white
+    space around a value doesn't count.  A file without one of the required columns
+    raises ValueError; another value that doesn't fit its declared type fails the
+    query that reads it.
     Optional feature columns that are absent are null, except those that follow
     from dates: lead days, month and weekday.  Without an appointment id the
     place in the file is the tiebreak (files in order of name)."""
@@ -42,12 +45,7 @@ def read_appointments(spark: SparkSession, path: str, fmt: str = "csv",
     if double or missing:
         raise ValueError(f"appointment file: columns missing {missing}, given twice {double}")
     if fmt == "csv":
-        kinds = {f.name: f.dataType for f in schema.fields}
-        declared = T.StructType([T.StructField(c, kinds.get(of[c], T.StringType())) for c in head])
-        # files whose header differs from the first one's are refused; default
-        # date parsing keeps the date part of date-time text too
-        df = (spark.read.schema(declared).option("header", True).option("enforceSchema", False)
-              .option("mode", "FAILFAST").csv(path))
+        df = read_text(spark, path, head)
     else:
         df = spark.read.format(fmt).load(path)
     if "appt_id" not in of.values():
@@ -55,7 +53,9 @@ def read_appointments(spark: SparkSession, path: str, fmt: str = "csv",
                        F.col("_metadata.file_block_start").alias("_block"))
         df = _with_place(df)
     have = {of.get(c, c): c for c in df.columns}
-    cols = {f.name: F.col(f"`{have[f.name]}`").cast(f.dataType) if f.name in have
+    value = parsed if fmt == "csv" else (lambda c, t: F.col(f"`{c}`").cast(t))
+    cols = {f.name: (F.col("appt_id").cast(f.dataType) if have[f.name] == "appt_id" and "appt_id" not in of.values()
+                     else value(have[f.name], f.dataType)) if f.name in have
             else F.lit(None).cast(f.dataType) for f in schema.fields}
     if "time_to_be_seen_days" not in have:
         cols["time_to_be_seen_days"] = lead_days(cols["appointment_dt"], cols["letter_received_dt"])

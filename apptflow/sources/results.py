@@ -27,8 +27,10 @@ def read_run_metrics(spark: SparkSession, path: str, fmt: str = "csv",
     reader = spark.read.option("header", True)
     if fmt == "csv":
         # columns by header name: a file with others or in another order is
-        # refused instead of read into the wrong ones
-        df = reader.option("enforceSchema", False).schema(METRICS_SCHEMA).csv(path)
+        # refused instead of read into the wrong ones; NA and empty cells are null,
+        # other text that is no number fails
+        df = (reader.option("enforceSchema", False).option("nullValue", "NA").option("mode", "FAILFAST")
+              .schema(METRICS_SCHEMA).csv(path))
     else:
         df = reader.format(fmt).load(path)
     if with_run and "run" not in df.columns:

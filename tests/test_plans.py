@@ -165,3 +165,22 @@ def test_latest_and_newest_rows_prelimit(spark):
         order = [ln.strip().lstrip("+-: ") for ln in body.splitlines()
                  if "WindowGroupLimit" in ln or ("Exchange" in ln and "Broadcast" not in ln)]
         assert order[-1].startswith("WindowGroupLimit") and order[-2].startswith("Exchange")
+
+
+def test_features_sort_no_whole_table_for_an_aggregate(spark):
+    a = appointments_from_orders(spark, SF)
+    txt = formatted(patient_features(a, min_count=50, materialize=False))
+    assert "SortAggregate" not in txt
+
+
+def test_samples_shuffle_counts_not_rows(spark):
+    """The split's rows cross no exchange: only counted buckets and one bucket's rows do."""
+    from apptflow.operators.sampling import stratified_split
+    df = spark.createDataFrame([(i, i % 3 == 0) for i in range(5000)], "id long, y boolean")
+    txt = formatted(stratified_split(df, "id", "y", 0.75, 1))
+    body = txt.split("\n\n")[0]
+    assert "BroadcastHashJoin" in body
+    assert not [ln for ln in body.splitlines() if "Exchange" in ln and "Broadcast" not in ln]
+    got = {r.y: (r.t, r.n) for r in stratified_split(df, "id", "y", 0.75, 1).groupBy("y").agg(
+        F.count(F.when(F.col("split") == "train", 1)).alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {True: (1250, 1667), False: (2500, 3333)}

@@ -117,3 +117,51 @@ def test_driver_views(spark):
     e = appointments_from_events(spark, SF)
     assert o.count() == 1500 and e.count() == 1000
     assert o.select("patient_id").distinct().count() == 150
+
+
+def test_missing_markers_are_null_and_garbage_fails(spark, tmp_path):
+    head = "anonID,anonClinic,appointment_dt,dnaFlag,cancelFlag,age,travelDist"
+    p = tmp_path / "a.csv"
+    p.write_text(head + """\np1,A,2024-01-02,1,0,NA, 3.5 \np2,NA,2024-01-03,NA,,40,"NA"\nNA,B,NA,0,1, ,1e2\n""")
+    got = {(r.patient_id, r.clinic, str(r.appointment_dt), r.dna_flag, r.cancel_flag, r.age, r.travel_dist)
+           for r in read_appointments(spark, str(p)).collect()}
+    assert got == {("p1", "A", "2024-01-02", 1, 0, None, 3.5), ("p2", None, "2024-01-03", None, None, 40.0, None),
+                   (None, "B", "None", 0, 1, None, 100.0)}
+    for bad in ("p1,A,2024-01-02,1,0,old,1", "p1,A,2024-13-02,1,0,1,1", "p1,A,2024-01-02,maybe,0,1,1", "p1,A,2024-01-02,1,0,1,n/a"):
+        q = tmp_path / f"bad{abs(hash(bad))}.csv"
+        q.write_text(head + "\np1,A,2024-01-02,1,0,1,1\n" + bad + "\n")
+        with pytest.raises(Exception, match="holds a value that is no"):
+            read_appointments(spark, str(q)).collect()
+
+
+def test_run_metrics_with_missing_values(spark, tmp_path):
+    from apptflow.schemas import METRIC_NAMES
+    from apptflow.sources import read_run_metrics
+    p = tmp_path / "1.csv"
+    p.write_text(",".join([*METRIC_NAMES, "date"]) + "\n" + ",".join(["NA", "", *["0.5"] * (len(METRIC_NAMES) - 2), "2024-05-14"]) + "\n")
+    r = read_run_metrics(spark, str(p)).first()
+    assert r[METRIC_NAMES[0]] is None and r[METRIC_NAMES[1]] is None and r[METRIC_NAMES[2]] == 0.5
+    p.write_text(",".join([*METRIC_NAMES, "date"]) + "\n" + ",".join(["high", *["0.5"] * (len(METRIC_NAMES) - 1), "2024-05-14"]) + "\n")
+    with pytest.raises(Exception):
+        read_run_metrics(spark, str(p)).collect()
+
+
+def test_types_from_all_values(spark, tmp_path):
+    from apptflow.sources.typed_text import inferred_types, read_text, read_typed
+    cols = {"logical": ["T", "NA", "false"], "integer": ["1", "-20", ""], "double": ["1", "2.5", "1e3"], "date": ["2024-01-02", "NA", "2024-02-29"],
+            "date-time": ["2024-01-02", "2024-01-02T03:04:05Z", "2024-01-02 03:04"], "text": ["1", "x", "2"], "none": ["NA", "", "NA"],
+            "zeros": ["007", "008", "1"], "no date": ["2024-02-30", "2024-01-01", "NA"], "mixed": ["TRUE", "1", "NA"], "numbers and dates": ["1", "2024-01-01", ""]}
+    want = {c: c for c in ("logical", "integer", "double", "date", "date-time", "text")}
+    want |= {"none": "logical", "zeros": "text", "no date": "text", "mixed": "text", "numbers and dates": "text"}
+    p = tmp_path / "t.csv"
+    p.write_text("\n".join([",".join(cols), *[",".join(r) for r in zip(*cols.values())]]) + "\n")
+    assert {r["column"]: r["type"] for r in inferred_types(read_text(spark, str(p))).collect()} == want
+    rows = read_typed(spark, str(p)).collect()
+    assert [r["integer"] for r in rows] == [1, -20, None] and [r["logical"] for r in rows] == [True, None, False]
+    assert [r["double"] for r in rows] == [1.0, 2.5, 1000.0] and rows[0]["zeros"] == "007"
+    # one late value among many files changes the type
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(8):
+        (many / f"{i}.csv").write_text("a,b\n" + "\n".join(f"{j},{j}" for j in range(200)) + ("\nlate,1.5\n" if i == 7 else "\n"))
+    assert {r["column"]: r["type"] for r in inferred_types(read_text(spark, str(many))).collect()} == {"a": "text", "b": "double"}

@@ -1,3 +1,5 @@
+import random
+import pytest
 import datetime as dt
 import math
 
@@ -68,3 +70,62 @@ def test_run_trial_plan(spark):
     n_iv = sum(v for (b, arm), v in c.items() if arm == "intervention")
     assert rem.count() == 2 * n_iv + (a.count() - n_iv)
     assert {r.band for r in out.collect()} == {b for b, _ in c}
+
+
+def test_clustered_outcome_by_hand(spark):
+    from apptflow.operators.trial import clustered_outcome
+    rnd = random.Random(3)
+    rows = [(b, f"{b}{i}", "intervention" if i % 2 else "control", rnd.choice([0, 1, 1, None])) for b in ("high", None) for i in range(12)
+            for _ in range(rnd.randint(1, 5))] + [("one", "x", "control", 1)]
+    got = {r.band: r for r in clustered_outcome(spark.createDataFrame(rows, "band string, patient_id string, arm string, dna_flag int"),
+                                                replicates=200).collect()}
+    assert set(got) == {"high", None, "one"}
+    for b in ("high", None):
+        rate, var = {}, {}
+        for arm in ("intervention", "control"):
+            per = {}
+            for band, p, a, y in rows:
+                if (band, a) == (b, arm):
+                    n, m = per.get(p, (0, 0))
+                    per[p] = n + 1, m + (y == 1)
+            n, y = (sum(v[i] for v in per.values()) for i in (0, 1))
+            rate[arm] = y / n
+            var[arm] = len(per) / (len(per) - 1) * sum((v[1] - rate[arm] * v[0]) ** 2 for v in per.values()) / n**2
+        r = got[b]
+        assert r.abs_reduction == pytest.approx(rate["control"] - rate["intervention"])
+        assert r.se_clustered == pytest.approx(sum(var.values()) ** 0.5)
+        assert r.z_clustered == pytest.approx(r.abs_reduction / r.se_clustered) and 0 < r.p_rerandomised <= 1
+    assert got["one"].z_clustered is None and got["one"].patients_control == 1
+
+
+def test_clustered_z_keeps_its_level_where_appointments_of_a_patient_are_alike(spark):
+    """4,000 trials without an effect, a band each, of 60 patients with 1 to 8
+    appointments that share the patient's own miss rate."""
+    import numpy as np
+    from apptflow.operators.trial import clustered_outcome
+    rng = np.random.default_rng(6)
+    bands, patients = 4000, 60
+    p = rng.beta(0.4, 0.8, (bands, patients))
+    n = rng.integers(1, 9, (bands, patients))
+    arm = rng.permuted(np.tile(np.arange(patients) % 2, (bands, 1)), axis=1)
+    b, i = np.divmod(np.repeat(np.arange(bands * patients), n.ravel()), patients)
+    y = rng.random(len(b)) < p[b, i]
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"band": b, "patient_id": b * patients + i, "arm": np.where(arm[b, i], "intervention", "control"),
+                                             "dna_flag": y.astype(int)}))
+    from apptflow.operators.trial import trial_outcome
+    z = np.array([r[0] for r in clustered_outcome(df, replicates=1).select("z_clustered").collect()])
+    naive = np.array([r[0] for r in trial_outcome(df).select("z").collect()])
+    # 60 patients: the normal limit is a little small for 58 degrees of freedom
+    assert abs((np.abs(z) > 2.0017).mean() - 0.05) < 0.01
+    assert (np.abs(naive) > 1.96).mean() > 0.15
+
+
+def test_rerandomisation_finds_an_effect_and_no_other(spark):
+    import numpy as np
+    from apptflow.operators.trial import clustered_outcome
+    rng = np.random.default_rng(7)
+    rows = [(band, f"{band}{i}", "intervention" if i % 2 else "control", int(rng.random() < (0.5 - 0.25 * (i % 2) * (band == "effect"))))
+            for band in ("effect", "none") for i in range(150) for _ in range(3)]
+    got = {r.band: r.p_rerandomised for r in clustered_outcome(spark.createDataFrame(rows, "band string, patient_id string, arm string, dna_flag int")).collect()}
+    assert got["effect"] < 0.01 and got["none"] > 0.05
