@@ -38,13 +38,18 @@ SKIP_TAGS = frozenset("head nav header footer aside form button select option la
                       "script style title textarea noscript iframe noembed noframes template svg math canvas "
                       "object embed audio video map".split())
 #: Words of class, id or role that mark what is not the article.
-SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo "
-                       "promos promotion banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs "
-                       "header masthead topbar footer foot sidebar sidebars aside rail widget widgets notice notices "
-                       "cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup "
-                       "login comment comments disqus discussion replies respond share sharing social related "
-                       "recommended recommendations outbrain taboola pagination pager toolbar copyright legal "
-                       "disclaimer complementary contentinfo search searchbox".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo "
+                         "promos outbrain taboola".split())
+STRONG_WORDS = COMMENT_WORDS | ADVERT_WORDS | frozenset(
+    "nav navbar navigation navi menu menus breadcrumb breadcrumbs topbar foot footer sidebar sidebars aside rail cookie "
+    "cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login pagination pager toolbar "
+    "complementary contentinfo searchbox".split())
+#: Words that may also be what an article or one of its sections is about.
+WEAK_WORDS = frozenset("promotion banner banners header masthead widget widgets notice notices alert discussion share sharing "
+                       "social related recommended recommendations copyright legal disclaimer search".split())
+LEAST_PROSE = 3.0            # points of paragraphs that make a weakly marked part of an article stay
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody "
                   "td tfoot th thead tr ul".split())
@@ -62,20 +67,27 @@ CONTAINERS = frozenset("article main section div body td li blockquote html".spl
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "skip", "marked", "article", "points", "chars", "links")
+    __slots__ = ("tag", "up", "kids", "skip", "marked", "weak", "rival", "title", "article", "inside", "points", "chars", "links")
 
     def __init__(self, tag: str, up: "Node | None", skip: bool, marked: bool):
         self.tag, self.up, self.kids, self.skip, self.marked = tag, up, [], skip, marked
+        self.weak = self.rival = self.title = False
         self.article = tag == "article" or up is not None and up.article
+        self.inside = tag in ("article", "main") or up is not None and up.inside
         self.points, self.chars, self.links = 0.0, 0, 0
 
+    @property
+    def off(self) -> bool:
+        """Left out by its tag."""
+        return self.tag in SKIP_TAGS and not self.title
 
-def _marked(attrs: str) -> bool:
+
+def _words(attrs: str) -> set[str]:
+    """The words of class, id and role."""
+    out: set[str] = set()
     for _, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        if not SKIP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())):
-            return True
-    return False
+        out.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()))
+    return out
 
 
 def parse(html: str) -> Node:
@@ -111,10 +123,15 @@ def parse(html: str) -> Node:
                 n = n.up
         attrs = m.group(3)
         node = Node(name, at, False, False)
-        # words mark an article only inside another one (a comment, a card)
-        free = name in ("html", "body") or name in ("article", "main") and not at.article
-        node.marked = not free and bool(attrs) and _marked(attrs)
-        node.skip = at.skip or node.marked or name in SKIP_TAGS
+        has = _words(attrs) if attrs else set()
+        node.title = name == "header" and at.article
+        if name in ("article", "main") and not at.article:      # words mark these only inside an article (a card)
+            node.rival = not has.isdisjoint(COMMENT_WORDS | ADVERT_WORDS)
+        elif has and name not in ("html", "body") and not node.title:
+            weak = not has.isdisjoint(WEAK_WORDS)
+            node.marked = not has.isdisjoint(STRONG_WORDS) or weak and not at.inside
+            node.weak = weak and not node.marked
+        node.skip = at.skip or node.marked or node.off
         at.kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
@@ -180,17 +197,76 @@ def _is_paragraph(n: Node) -> bool:
         and any(isinstance(k, str) and not k.isspace() for k in n.kids))
 
 
+def _own_points(n: Node) -> float:
+    """A paragraph's points; 0 for what is none."""
+    own = "".join(_own_text(n)) if _is_paragraph(n) else ""
+    length = len(_SPACE.sub(" ", own).strip())
+    return 1.0 + own.count(",") + own.count("、") + own.count("，") + min(length / 100, 3.0) if length else 0.0
+
+
+def _settle(root: Node) -> None:
+    """Decide what words alone don't: headers of articles keep their headings,
+    weakly marked parts stay by their own score, and article elements of comments or
+    adverts go where another article or main element has paragraphs."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        if n.title and not n.skip:
+            # a line or two beside the title (names, dates) is usual; prose is a site's
+            prose = sum(_own_points(k) for k in _below(n) if k.tag not in HEADINGS)
+            n.kids = _headings(n) if prose < LEAST_PROSE else []
+        todo.extend(k for k in n.kids if isinstance(k, Node))
+    weak, rivals = [n for n in nodes if n.weak and not n.skip], [n for n in nodes if n.rival and not n.skip]
+    if not weak and not rivals:
+        return
+    order = _measure(root)
+    points = {id(n): _own_points(n) for n in order}
+    total = dict(points)
+    for n in reversed(order):
+        if n.up is not None and id(n.up) in total:
+            total[id(n.up)] += total[id(n)]
+    for n in weak:
+        density = n.links / n.chars if n.chars else 1.0
+        n.marked = density >= 0.25 or total[id(n)] * (1 - density) < LEAST_PROSE
+    if rivals:
+        under = set()
+        for n in order:                                   # parents come before kids
+            if n.rival or id(n.up) in under:
+                under.add(id(n))
+        if any(n.inside and id(n) not in under and points[id(n)] for n in order):
+            for n in rivals:
+                n.marked = True
+    _reset(root)
+
+
+def _below(n: Node):
+    todo = [n]
+    while todo:
+        k = todo.pop()
+        yield k
+        todo.extend(x for x in k.kids if isinstance(x, Node) and not x.skip)
+
+
+def _headings(n: Node) -> list:
+    out, todo = [], list(reversed(n.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, Node) and not k.skip:
+            if k.tag in HEADINGS:
+                out.append(k)
+            else:
+                todo.extend(reversed(k.kids))
+    return out
+
+
 def _best(root: Node) -> tuple[Node | None, float]:
     """The container that scores best, and its score."""
     order = _measure(root)
     for n in order:
-        if not _is_paragraph(n):
-            continue
-        own = "".join(_own_text(n))
-        length = len(_SPACE.sub(" ", own).strip())
-        if not length:
+        points = _own_points(n)
+        if not points:
             continue
-        points = 1.0 + own.count(",") + own.count("、") + own.count("，") + min(length / 100, 3.0)
         up, level = (n.up, 1) if n.tag in ("p", "pre", "dd", "td") else (n, 1)
         while up is not None and level < 6:
             up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * (level - 1))
@@ -212,7 +288,7 @@ def _reset(root: Node, marks: bool = True) -> list[tuple[Node, int]]:
         n, depth = todo.pop()
         depth += n.marked
         n.points, n.chars, n.links = 0.0, 0, 0
-        n.skip = n.up is not None and n.up.skip or marks and n.marked or n.tag in SKIP_TAGS
+        n.skip = n.up is not None and n.up.skip or marks and n.marked or n.off
         out.append((n, depth))
         todo.extend((k, depth) for k in n.kids if isinstance(k, Node))
     return out
@@ -240,6 +316,7 @@ def _unmarked(root: Node) -> tuple[Node | None, float]:
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text."""
     root = parse(html)
+    _settle(root)
     best, most = _best(root)
     if best is None:
         best, most = _unmarked(root)

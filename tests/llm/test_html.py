@@ -99,3 +99,83 @@ def test_marks_do_not_empty_a_page():
     comment = '<article class="comment"><p>Nice, long, post, I, say, with, many, commas, in, it, all.</p></article>'
     assert H.main_blocks(f"<article>{body}{comment}</article>") == want
     assert H.main_blocks(f"<p>Short.</p><div class='comments'>{body}</div>") == ["Short."]
+
+
+LONG = "This paragraph is long enough to be read, with commas, clauses, and a plain end. " * 4
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion">{}</section>', '<section class="related-work">{}</section>',
+                                  '<div class="legal-background">{}</div>', '<blockquote class="notice">{}</blockquote>',
+                                  '<div class="search-methods"><div>{}</div></div>'])
+def test_words_of_a_subject_keep_prose_inside_the_article(part):
+    p = f"<p>{LONG}</p>"
+    text = LONG.strip()
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1>{p}{part.format(p)}{p}</article></body>"
+    assert H.main_blocks(page) == ["T", text, text, text]
+    # links and short notices of the same words go
+    links = "<p>" + "".join(f'<a href="{i}">Another page, and one more</a> ' for i in range(12)) + "</p>"
+    for junk in (links, "<p>Accept, or leave.</p>"):
+        assert H.main_blocks(f"<body><article><h1>T</h1>{p}{part.format(junk)}{p}</article></body>") == ["T", text, text]
+    # outside an article they mark as before
+    assert H.main_blocks(f"<body><article>{p}{p}</article>{part.format(p)}</body>") == [text, text]
+
+
+def test_comment_and_advert_articles_go_where_another_has_text():
+    p, c = f"<p>{LONG}</p>", f"<p>Reader: {LONG}</p>"
+    text = LONG.strip()
+    for kind in ("comment", "user-comments", "ad-card", "sponsored"):
+        assert H.main_blocks(f'<main><article>{p}{p}</article><article class="{kind}">{c}</article></main>') == [text, text]
+        assert H.main_blocks(f'<main>{p}{p}<article class="{kind}">{c}</article></main>') == [text, text]
+        # a theme's class on the only article marks nothing
+        assert H.main_blocks(f'<body><article class="post {kind}">{p}{p}</article></body>') == [text, text]
+
+
+def test_headings_of_an_articles_header_stay():
+    p = f"<p>{LONG}</p>"
+    page = f"""<body><header><h1>Site</h1></header><article><header class="entry-header"><div><h1>Title</h1></div><p>By A. Writer, today</p>
+    <nav><h2>Menu</h2></nav><h2>Second line</h2></header>{p}<footer><h3>More</h3></footer></article></body>"""
+    assert H.main_blocks(page) == ["Title", "Second line", LONG.strip()]
+
+
+def test_generated_pages_by_construction():
+    """Pages put together from known article and other parts, nested at random: the
+    text is the article's parts, in order."""
+    rnd = random.Random(11)
+
+    def words(n):
+        return " ".join(rnd.choice(["alpha", "beta", "gamma", "delta,", "epsilon", "zeta", "&amp;", "eta"]) for _ in range(n))
+
+    for _ in range(150):
+        want = []
+
+        def prose(n):
+            t = words(n) + "."
+            want.append(" ".join(t.replace("&amp;", "&").split()))
+            return t
+
+        def section(depth):
+            kinds = rnd.choices(["p", "h", "ul", "div", "quote", "junk", "weak"], k=rnd.randint(1, 4))
+            out = ""
+            for k in kinds:
+                if k == "p":
+                    out += f"<p>{prose(rnd.randint(40, 90))}</p>"
+                elif k == "h":
+                    out += f"<h2>{prose(3)}</h2>"
+                elif k == "ul":
+                    out += f"<ul><li>{prose(8)}</li>\n<li>{prose(9)}</li></ul>"
+                elif k == "quote":
+                    out += f"<blockquote>{prose(30)}</blockquote>"
+                elif k == "weak":
+                    out += f'<div class="{rnd.choice(["related-work", "legal", "discussion"])}"><p>{prose(80)}</p></div>'
+                elif k == "junk":
+                    out += rnd.choice([f'<div class="newsletter"><p>{words(60)}</p></div>', f"<aside>{words(40)}</aside>",
+                                       f'<div class="share"><a href=a>{words(3)}</a></div>', f"<form>{words(9)}</form>",
+                                       f'<section class="comments"><p>{words(70)}</p></section>', f"<script>{words(5)}</script>"])
+                elif depth:
+                    out += f"<section>{section(depth - 1)}</section>"
+            return out
+        body = f"<h1>{prose(4)}</h1><p>{prose(90)}</p>{section(2)}<p>{prose(90)}</p>"
+        page = (f"<html><body><header>{words(5)}</header><nav><ul><li><a href=a>{words(2)}</a></ul></nav><div class=wrap><main><article>{body}"
+                f'</article><article class="comment"><p>{words(50)}</p></article></main><div class="sidebar"><p>{words(80)}</p></div></div>'
+                f"<footer>{words(8)}</footer></body></html>")
+        assert H.main_blocks(page) == want
