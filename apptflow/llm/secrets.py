@@ -6,7 +6,10 @@ sensitive word, the lines beside it or a few characters off, on both sides.  A
 candidate's marginal bytes are what it adds to the zstandard size of the text
 around it, with a compressor primed with an identifier dictionary; names that
 the dictionary or the surroundings hold cost next to nothing, keys cost most of
-their length.
+their length or more.  The dictionary is made of common identifiers and of the
+names that long strings of all documents are put together from, the most frequent
+``dictionary_words`` of them.  A sensitive word counts as a word of its own, also
+inside names like client_secret and authToken, not inside authors.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "credential", "bearer",
               "private_key", "access_key", "auth")
-_SENSITIVE_RE = re.compile("|".join(map(re.escape, _SENSITIVE)))
+_SENSITIVE_RE = re.compile("(?:" + "|".join(map(re.escape, _SENSITIVE)) + ")s?")
+_PART = re.compile(r"[A-Z]?[a-z]{4,}|[A-Z]{5,}")       # names that identifiers are put together from
+LEAST_DOCUMENTS = 5          # that hold a name of the corpus's dictionary
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 #: Identifiers that code is full of; a raw-content dictionary (the last are the cheapest to refer to).
@@ -108,6 +113,46 @@ def _around(text: str, marks, near: int) -> list[tuple[int, int]]:
     return _joined_up(out)
 
 
+def _at_edge(text: str, s: int, e: int) -> bool:
+    """Whether text[s:e] is a word of its own: between what are no letters, or where
+    a capital follows a small letter."""
+    def edge(i):
+        if i in (0, len(text)) or not (text[i - 1].isalpha() and text[i].isalpha()):
+            return True
+        return text[i - 1].islower() and text[i].isupper()
+    return edge(s) and edge(e)
+
+
+def sensitive_words(text: str, low: str) -> list[tuple[int, int]]:
+    out = []
+    for m in _SENSITIVE_RE.finditer(low):
+        s, e = m.span()
+        if _at_edge(text, s, e):
+            out.append((s, e))
+        elif low[e - 1] == "s" and _at_edge(text, s, e - 1):
+            out.append((s, e - 1))
+    return out
+
+
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = 2048) -> list[str]:
+    """The ``most`` frequent names in long strings (of 16 characters or more), by the
+    documents that hold them, LEAST_DOCUMENTS at least; ties in order of the names."""
+    src = docs.select(F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            counts: dict[str, int] = {}
+            for text in b.column(0):
+                own = {p.lower() for m in _CANDIDATE.finditer(text.as_py() or "") for p in _PART.findall(m.group())}
+                for p in own:
+                    counts[p] = counts.get(p, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], ["name", "n"])
+
+    got = (src.mapInArrow(tidy(run), "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
+           .where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "name").limit(most).collect())
+    return [r["name"] for r in reversed(got)]            # the last are the cheapest to refer to
+
+
 def novel_spans(text: str, low: str, base, novelty: Novelty, near: int, around: int,
                 share: float) -> list[tuple[int, int, int]]:
     """Incompressible strings before and behind a sensitive word, clear of the base
@@ -117,7 +162,7 @@ def novel_spans(text: str, low: str, base, novelty: Novelty, near: int, around:
         return []
     if len(low) != len(text):
         low = lowered(text)
-    marks = [m.span() for m in _SENSITIVE_RE.finditer(low)]
+    marks = sensitive_words(text, low)
     cuts = _joined_up(marks + [(s, e) for s, _, e in base])
     out, done, k = [], 0, 0
     for lo, hi in _around(text, marks, near):
@@ -156,15 +201,18 @@ def joined(spans) -> str:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers=IDENTIFIERS,
-                 near: int = 48, around: int = 256, share: float = 0.6) -> DataFrame:
+                 near: int = 48, around: int = 256, share: float = 0.88, dictionary_words: int = 2048) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_assign, n_access, n_hex, n_novel,
     base_sha256, spans).
 
     ``spans`` lists kind:start:end of all spans by start, then kind (code points,
-    end exclusive); base_sha256 is of the list of base spans.  Null and empty
+    end exclusive); base_sha256 is of the list of base spans.  The dictionary is
+    ``dictionary_words`` names of the corpus (0: none), then ``identifiers``.  Null and empty
     texts have no spans (the hash of the empty string).  Repeated rows and null
     ids are rows like others; other columns are not read."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if dictionary_words:
+        identifiers = [*corpus_identifiers(docs, text_col, dictionary_words), *identifiers]
 
     def run(batches):
         novelty = Novelty(identifiers)

@@ -1,5 +1,6 @@
 """Secret scans against the patterns as stated, and the novelty measure."""
 
+import string
 import hashlib
 import random
 import re
@@ -96,3 +97,55 @@ def test_novel_strings_on_both_sides_and_farther_off():
 def test_lowered_keeps_places():
     t = "\u0130\u212a A\u00c4Z\U0001f600Q"
     assert S.lowered(t) == "\u0130\u212a a\u00c4z\U0001f600q"
+
+
+def test_sensitive_words_are_words():
+    def found(t):
+        return [t[s:e] for s, e in S.sensitive_words(t, S.lowered(t))]
+    assert found("the authors of tokenization") == []
+    assert found("client_secret authToken TOKENS: MY_API_KEY=, auth.") == ["secret", "auth", "Token", "TOKENS", "API_KEY", "auth"]
+
+
+def test_names_of_the_corpus(spark):
+    rows = [(i, f"x internationalizationManager_{i} and_registry_Registry y" + " serializerFactoryOnce" * (i == 3)) for i in range(9)] + [(10, None)]
+    got = S.corpus_identifiers(spark.createDataFrame(rows, "doc_id long, text string"), most=3)
+    assert got == ["registry", "manager", "internationalization"]
+    assert S.corpus_identifiers(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_precision_and_recall_on_planted_secrets(spark):
+    """Keys of several alphabets among identifiers and addresses of the same length,
+    all beside sensitive words, in documents of the given table."""
+    rnd = random.Random(9)
+    words = ("internationalization configuration manager service handler request response session controller factory abstract provider "
+             "repository transaction serializer template parameter validation exception listener dispatcher permission").split()
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"]
+
+    def key():
+        a = rnd.choice(alphabets)
+        return "".join(rnd.choice(a) for _ in range(rnd.randint(18, 23) if len(a) == 16 else rnd.randint(18, 44)))
+
+    def harmless():
+        w = rnd.sample(words, 3)
+        return rnd.choice(["_".join(w), "-".join(w), "".join(x.title() for x in w), f"https://www.example.org/{w[0]}/2019/05/{w[1]}-{w[2]}"])
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+             if r.text and len(r.text) > 800 and not S.sensitive_words(r.text, S.lowered(r.text))][:300]
+    rows, planted = [], {}
+    for i, t in enumerate(texts):
+        at, secret = rnd.randrange(300, len(t) - 300), i % 2 == 0
+        c = key() if secret else harmless()
+        lead = f"{t[:at]} client secret "
+        rows.append((i, f"{lead}{c} {t[at:]}"))
+        planted[i] = (secret, len(lead), len(lead) + len(c))
+    got = {}
+    for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for x in filter(None, r.spans.split(",")):
+            kind, s, e = x.split(":")
+            if kind == "novel":
+                got.setdefault(r.doc_id, []).append((int(s), int(e)))
+    hits = {d for d, spans in got.items() for s, e in spans if s < planted[d][2] and e > planted[d][1]}
+    right = {d for d in hits if planted[d][0]}
+    recall, precision = len(right) / sum(p[0] for p in planted.values()), len(right) / max(1, len(hits))
+    print(f"recall {recall:.3f}, precision {precision:.3f}, others {sum(map(len, got.values())) - len(hits)}")
+    assert recall >= 0.97 and precision >= 0.95
