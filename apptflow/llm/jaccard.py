@@ -525,11 +525,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component of
     :func:`ngram_jaccard_join`: the one of the smallest id.  Documents without
     words stay.  Rows that repeat both id and text are one document, of which one
-    row stays.  A row without id stays unless it has equals with one."""
+    row stays: the first by a hash of all its columns.  A row without id stays unless it has equals with one."""
     comp = ngram_jaccard_join(docs, id_col, text_col, k, num, den, keep_key=True)
     own = F.col(id_col).eqNullSafe(F.col("component_id"))
-    stay = comp.where(own).select(F.col(id_col).alias("__id"), F.col("key").alias("__k")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
-    kept = keyed.join(stay, (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    first = Window.partitionBy("__key", id_col).orderBy(F.lit(0))
-    return kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*[f"`{c}`" for c in docs.columns])
+    stay = comp.where(own).select(F.col(id_col).alias("sid"), F.col("key").alias("skey")).distinct()
+    # the row as one value, so no column of it meets the names used here
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                        F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    kept = keyed.join(stay, (F.col("key") == F.col("skey")) & F.col("id").eqNullSafe(F.col("sid")), "left_semi")
+    # of repeated rows the first by a hash of all their columns
+    first = Window.partitionBy("key", "id").orderBy(F.xxhash64("row"), F.to_json("row"))
+    return kept.withColumn("place", F.row_number().over(first)).where("place = 1").select(
+        *[F.col("row")[c].alias(c) for c in docs.columns])

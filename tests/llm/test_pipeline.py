@@ -91,3 +91,13 @@ def test_odd_rows_and_extra_columns(spark):
         assert empty.columns == frame.columns and empty.count() == 0
     same = C.near_duplicate_stage(spark, odd, SF)
     assert same.where("text = 'same text'").count() == 1
+
+
+def test_near_duplicates_with_clashing_names(spark):
+    rows = [(1, "one two three four five six", "a", 7, 1, 2), (1, "one two three four five six", "b", 7, 3, 4),
+            (2, "one two three four five six", "c", 7, 5, 6), (3, "others", "d", 7, 7, 8)]
+    names = "doc_id long, text string, `a b` string, __key int, __row int, place int"
+    frame = spark.createDataFrame(rows, names)
+    got = [C.jaccard.drop_near_duplicates(x, k=5, num=80, den=100).collect() for x in (frame, frame.repartition(3), frame.orderBy("place", ascending=False))]
+    assert got[0] and sorted(got[0]) == sorted(got[1]) == sorted(got[2])
+    assert [r.doc_id for r in sorted(got[0])] == [1, 3] and all(set(r.asDict()) == {"doc_id", "text", "a b", "__key", "__row", "place"} for r in got[0])
