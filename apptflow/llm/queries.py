@@ -144,6 +144,52 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
 
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+# Distinct shingles, pairs that share one, exact Jaccard, and all that links reach.
+_OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(u, v) AS (SELECT a, a FROM both_ways UNION SELECT u, b FROM reach JOIN both_ways ON a = v)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, d.doc_id) AS component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN (SELECT u, min(v) AS least FROM reach GROUP BY u) c ON c.u = d.doc_id"""
+
+# Lines with words; the shortest runs of 50 words from each line and up to each line;
+# what covers a later occurrence of such a run goes, with blank lines in between.
+_OP9_SQL = r"""
+WITH l AS MATERIALIZED (SELECT doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS real FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(w) AS n, array_to_string(w, ' ') AS k FROM (
+  SELECT doc_id, i, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM l WHERE real)),
+t AS MATERIALIZED (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY r) AS BIGINT) AS upto FROM r),
+keys AS MATERIALIZED (SELECT doc_id, list(k ORDER BY r) AS ks FROM t GROUP BY doc_id),
+runs AS (SELECT a.doc_id, a.r AS a, b.r AS e FROM (SELECT *, upto - n + 50 AS need FROM t) a
+    ASOF JOIN t b ON a.doc_id = b.doc_id AND a.need <= b.upto
+  UNION SELECT a.doc_id, b.r, a.r FROM (SELECT *, upto - 50 AS most FROM t) a
+    ASOF JOIN (SELECT *, upto - n AS below FROM t) b ON a.doc_id = b.doc_id AND a.most >= b.below),
+named AS MATERIALIZED (SELECT doc_id, a, e, array_to_string(ks[a:e], chr(10)) AS k FROM runs JOIN keys USING (doc_id)),
+firsts AS (SELECT k, min((doc_id, a)) AS f FROM named GROUP BY k HAVING count(*) > 1),
+later AS (SELECT doc_id, a, e, f[1] AS fd, f[2] AS fa FROM named JOIN firsts USING (k)),
+spans AS (SELECT DISTINCT doc_id, CASE WHEN doc_id = fd THEN greatest(a, fa + e - a + 1) ELSE a END AS lo, e AS hi
+  FROM later WHERE NOT (doc_id = fd AND a = fa)),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS r FROM spans WHERE lo <= hi),
+placed AS (SELECT l.*, sum(CASE WHEN real THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l),
+kept AS (SELECT p.doc_id, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE g.r IS NULL OR NOT real AND h.r IS NULL) AS s,
+    count(*) FILTER (WHERE real AND g.r IS NOT NULL) AS n
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.r = p.r LEFT JOIN gone h ON h.doc_id = p.doc_id AND h.r = p.r + 1
+  GROUP BY p.doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(s, '') END AS text, coalesce(n, 0) AS lines_removed
+FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
 # Forward dynamic programming over the rows, an independent form of the parse: v0
 # to v3 hold the least cost (six digits) and audit of each format state.
 def _add(v: str, cost, letter: str) -> str:
@@ -204,4 +250,5 @@ LEFT JOIN texts ON o.c IS NOT DISTINCT FROM texts.c"""
 
 
 def oracle_sql():
-    return {"op4_exact_dedup": _OP4_SQL, "op10_benchmark_decontamination": _OP10_SQL, "op11_conversation_repair": _OP11_SQL}
+    return {"op4_exact_dedup": _OP4_SQL, "op8_ngram_jaccard_join": _OP8_SQL, "op9_line_dedup": _OP9_SQL,
+            "op10_benchmark_decontamination": _OP10_SQL, "op11_conversation_repair": _OP11_SQL}
