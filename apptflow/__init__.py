@@ -2,7 +2,7 @@
 
 Every public operator takes DataFrames (plus column names and parameters) and
 returns a DataFrame; nothing is collected to the driver except by the model
-code, which hands a DataFrame to MLlib.
+code, which grows trees over packed blocks of rows.
 """
 
 __version__ = "0.1.0"
