@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import join_null_safe
 from ..schemas import DATE, DNA, PATIENT, TIEBREAK
+from ..session import cut_lineage
 from .sampling import half_split
 
 # Reminder offsets in days before the appointment.
@@ -98,7 +99,8 @@ def clustered_outcome(df: DataFrame, patient: str = PATIENT, band: str = "band",
     replicates at once, and all replicates are one aggregate.  Null outcomes are no
     misses.  Without patients in both arms, or two in each for z, figures are null."""
     per = df.groupBy(band, patient, arm).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(outcome) == 1, 1)).alias("y"))
-    per = per.select(F.col(band).alias("b"), F.col(patient).cast("string").alias("p"), F.col(arm).alias("a"), "n", "y")
+    # a row a patient, read by the sums and by the replicates: written once
+    per = cut_lineage(per.select(F.col(band).alias("b"), F.col(patient).cast("string").alias("p"), F.col(arm).alias("a"), "n", "y"))
     aggs = []
     for a in ("intervention", "control"):
         own = F.col("a") == a
