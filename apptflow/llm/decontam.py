@@ -6,16 +6,18 @@ consecutive words of an item (or all words of a shorter item) are a pattern,
 bounded by spaces; one automaton over all patterns scans each whole text once.
 Matches are mapped back to words and to code points of the original text.
 
-The items are a stated query set.  They reach the tasks in groups of at most
-``group_bytes`` of patterns, one automaton a group (up to ``keep`` of them stay
-in a worker's memory); a benchmark of more groups is scanned for in as many
-passes over a batch of texts, in the same stage.
+The windows are a table: every item's patterns are exploded, grouped with the ids
+of their items, and dealt by hash to blocks of about ``group_bytes``, each written
+once as a file of the shared folder.  Tasks load block after block and build its
+automaton (up to ``keep`` of them stay in a worker's memory); where there are more
+blocks than that, ``scan_bytes`` of texts go past them at a time.  So no benchmark
+passes through the driver, and its size only adds passes over texts in memory.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-import uuid
 
 import ahocorasick
 import numpy as np
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import tidy
+from .shared import cut, map_array, new_folder, stream_file, tidy
 from .words import ALNUM_WORDS
 
 _TABLE = bytes(int(x) or 32 for x in ALNUM_WORDS)
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BUILT: dict[str, ahocorasick.Automaton] = {}   # this worker's automata, by group
+_BUILT: dict[tuple[str, int], ahocorasick.Automaton] = {}   # this worker's automata, by folder and block
+_SLICE = 4096                                               # patterns a record batch
 
 
 def normalised(text: str | None) -> str:
@@ -37,14 +40,14 @@ def normalised(text: str | None) -> str:
     return b" ".join((text or "").encode("utf-8").translate(_TABLE).split()).decode("latin-1")
 
 
-def patterns(text: str | None, window: int) -> list[str]:
+def patterns(text: str | None, window: int):
     w = normalised(text).split(" ")
-    if w == [""]:
-        return []
-    return [f" {' '.join(w[i:i + window])} " for i in range(max(1, len(w) - window + 1))]
+    if w != [""]:
+        for i in range(max(1, len(w) - window + 1)):
+            yield f" {' '.join(w[i:i + window])} "
 
 
-def build(group: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
+def build(group) -> ahocorasick.Automaton:
     """group: (pattern, item ids) with distinct patterns."""
     a = ahocorasick.Automaton()
     for p, items in group:
@@ -53,22 +56,42 @@ def build(group: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
     return a
 
 
-def item_groups(items: DataFrame, item_col: str, text_col: str, window: int, group_bytes: int):
-    """Groups of (pattern, item ids); an item of a null id has no place in the
-    result and is passed over, a repeated one counts once."""
-    of: dict[str, set[str]] = {}
-    for r in items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")) \
-            .where("i is not null").toLocalIterator():
-        for p in patterns(r["t"], window):
-            of.setdefault(p, set()).add(r["i"])
-    groups, size = [[]], 0
-    for p in sorted(of):
-        if size + len(p) > group_bytes and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append((p, sorted(of[p])))
-        size += len(p)
-    return groups
+def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(pattern, items): every pattern with the sorted ids of its items; an item of a
+    null id has no place in the result and is passed over, a repeated one counts once."""
+    src = items.select(F.col(item_col).cast("string").alias("item"),
+                       F.col(text_col).cast("string").alias("text")).where("item is not null")
+
+    def run(batches):
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of = patterns(text, window)
+                while some := list(itertools.islice(of, _SLICE)):
+                    yield pa.RecordBatch.from_pydict({"pattern": some, "item": [item] * len(some)})
+
+    return (src.mapInArrow(tidy(run), "pattern string, item string")
+            .groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")))
+
+
+def write_blocks(items: DataFrame, item_col: str, text_col: str, window: int, group_bytes: int) -> tuple[str, int]:
+    """(folder, number of blocks): the patterns, dealt to files of about ``group_bytes``."""
+    spark = items.sparkSession
+    of = cut(item_windows(items, item_col, text_col, window))
+    own = F.length("pattern") + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x))
+    total = of.agg(F.sum(own.cast("long"))).first()[0]
+    folder = new_folder(spark, "windows")
+    if not total:
+        return folder, 0
+    blocks = -(-total // group_bytes)
+
+    def write(key, t):
+        with stream_file(folder, f"block-{key[0].as_py()}") as f, pa.ipc.new_stream(f, t.schema) as out:
+            out.write_table(t)
+        return pa.table({"n": pa.array([t.num_rows], pa.int64())})
+
+    dealt = of.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
+    dealt.groupBy("block").applyInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder, blocks
 
 
 def word_spans(text: str, ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -106,29 +129,54 @@ def matches_of(norms: list[str], automata) -> list[tuple[int, np.ndarray, set[st
     return out
 
 
-def _automata(shared, keep: int):
-    """The automata of the groups, one after the other."""
-    for key, g in shared:
+def _automata(folder: str, blocks: int, keep: int):
+    """The automata of the blocks, one after the other; a block that no pattern was
+    dealt to has no file."""
+    for i in range(blocks):
+        key = folder, i
         if key not in _BUILT:
             if len(_BUILT) >= keep:
                 _BUILT.clear()
-            _BUILT[key] = build(g.value)
-        if len(_BUILT[key]):
-            yield _BUILT[key]
+            try:
+                t = pa.ipc.open_stream(pa.py_buffer(map_array(folder, f"block-{i}", np.uint8))).read_all()
+            except FileNotFoundError:
+                continue
+            _BUILT[key] = build(zip(t.column("pattern").to_pylist(), t.column("items").to_pylist()))
+        yield _BUILT[key]
+
+
+def _scanned(batches, at: int, folder: str, blocks: int, keep: int, scan_bytes: int):
+    """(batch, its texts, its matches); where not all automata stay in memory, batches
+    of ``scan_bytes`` together go past them."""
+    held, size = [], 0
+
+    def go():
+        texts = [b.column(at).cast(pa.string()).to_pylist() for b in held]
+        found = iter(matches_of([normalised(t) for ts in texts for t in ts], _automata(folder, blocks, keep)))
+        for b, ts in zip(held, texts):
+            yield b, ts, list(itertools.islice(found, len(ts)))
+        held.clear()
+
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if blocks <= keep or size >= scan_bytes:
+            yield from go()
+            size = 0
+    if held:
+        yield from go()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", window: int = 10, group_bytes: int = 2 << 20,
-                      keep: int = 2) -> DataFrame:
+                      keep: int = 2, scan_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` without the rows that :func:`decontaminate` finds hit words in:
     the same columns and rules, filtered in the scan."""
-    sc = docs.sparkSession.sparkContext
-    shared = [(uuid.uuid4().hex, sc.broadcast(g)) for g in item_groups(items, item_col, item_text_col, window, group_bytes)]
+    folder, blocks = write_blocks(items, item_col, item_text_col, window, group_bytes)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            found = matches_of([normalised(t) for t in b.column(at).cast(pa.string()).to_pylist()], _automata(shared, keep))
+        for b, _, found in _scanned(batches, at, folder, blocks, keep, scan_bytes):
             yield b.filter(pa.array([not len(ranges) for _, ranges, _ in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(run, f"{__name__}:_BUILT"), docs.schema)
@@ -136,25 +184,23 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
-                  group_bytes: int = 2 << 20, keep: int = 2) -> DataFrame:
+                  group_bytes: int = 2 << 20, keep: int = 2, scan_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_words, n_hit, items, spans).
 
     n_hit counts the words inside any occurrence of a pattern; ``items`` are the
     ids (as strings, sorted) of items with occurring patterns; ``spans`` are the
     hit words' code-point spans of the original text, end exclusive, runs joined.
-    Null and empty texts have no words; repeated rows and null ids are rows like
+    Items of the same pattern are one list with it, as a text that holds it names
+    them all.  Null and empty texts have no words; repeated rows and null ids are rows like
     others; with no items (or none with words) nothing is hit.  Only the id and
     text columns are read."""
-    groups = item_groups(items, item_col, item_text_col, window, group_bytes)
-    sc = docs.sparkSession.sparkContext
-    shared = [(uuid.uuid4().hex, sc.broadcast(g)) for g in groups]
+    folder, blocks = write_blocks(items, item_col, item_text_col, window, group_bytes)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b, texts, matches in _scanned(batches, 1, folder, blocks, keep, scan_bytes):
             n_words, n_hit, found, spans = [], [], [], []
-            texts = b.column(1).to_pylist()
-            for text, (n, ranges, ids) in zip(texts, matches_of([normalised(t) for t in texts], _automata(shared, keep))):
+            for text, (n, ranges, ids) in zip(texts, matches):
                 n_words.append(n)
                 n_hit.append(int((ranges[:, 1] - ranges[:, 0] + 1).sum()))
                 found.append(sorted(ids))

@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, seed, window, size):
     docs, items = data(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("'c' as items", "doc_id", "text", "1 as n_hit")
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = D.decontaminate(df, it, window=window, group_bytes=size).collect()
+    got = D.decontaminate(df, it, window=window, group_bytes=size, scan_bytes=300).collect()
 
     def key(r):
         return (r[0] is None, r[0] or 0, r[1:])
@@ -72,3 +72,28 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in D.decontaminate(docs, none).collect()] == [(1, 2, 0, [], [])]
     assert D.decontaminate(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_many_items(spark):
+    """100,000 items in many blocks: none passes through the driver, all are found."""
+    n = 100_000
+    items = spark.range(n).selectExpr("id as item_id", "concat_ws(' ', 'q', id, id * 7, 'of', pmod(id, 10)) as text")
+    docs = spark.range(0, n, 500).selectExpr(
+        "id as doc_id", "concat('so, Q ', id, ' ', id * 7, ' of ', pmod(id, 10), '. end') as text")
+    clean = spark.range(50).selectExpr("-1 - id as doc_id", "concat_ws(' ', 'q', id, id * 7 + 1, 'of', pmod(id, 10)) as text")
+    out = D.decontaminate(docs.unionByName(clean), items, group_bytes=1 << 18, scan_bytes=1 << 12)
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in out.collect()}
+    assert len(got) == n // 500 + 50
+    assert all(v == ((5, [str(d)]) if d >= 0 else (0, [])) for d, v in got.items())
+    kept = D.drop_contaminated(docs.unionByName(clean), items, group_bytes=1 << 18)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(-50, 0))
+    folder, blocks = D.write_blocks(items, "item_id", "text", 10, 1 << 18)
+    assert blocks > 5
+
+
+def test_items_of_one_window(spark):
+    """A window that many items share is one pattern with all their ids."""
+    items = spark.range(5000).selectExpr("id as item_id", "'the same question' as text")
+    docs = spark.createDataFrame([(1, "The same question?"), (2, "the same")], "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in D.decontaminate(docs, items).collect()}
+    assert got == {1: sorted(map(str, range(5000))), 2: []}
