@@ -287,10 +287,13 @@ def summed_minima(va: bytes, vb: bytes) -> int:
 
 
 class RTree:
-    """Points packed into leaves of LEAF neighbours in (order, size, first
-    counts); a leaf's box is its largest count by group and its sizes."""
+    """Points packed into leaves of LEAF neighbours in (order, size, first counts),
+    FAN nodes to a parent up to one root; a node's box is its largest count by group
+    and the ranges of its sizes and labels."""
 
     COARSE = 64
+    FAN = 8
+    AT_ONCE = 256       # pairs of nodes opened together
 
     def __init__(self, n: np.ndarray, vecs: list[bytes], label: np.ndarray):
         g = min(self.COARSE, min((len(v) for v in vecs), default=16))
@@ -301,29 +304,48 @@ class RTree:
         self.coarse = coarse[o]
         cuts = np.arange(0, len(o), LEAF)
         self.cuts = np.append(cuts, len(o))
-        self.hi = np.maximum.reduceat(self.coarse, cuts, axis=0)
-        self.n_hi = np.maximum.reduceat(self.n, cuts)
-        self.n_lo = np.minimum.reduceat(self.n, cuts)
-        self.l_lo = np.minimum.reduceat(self.label, cuts)
-        self.l_hi = np.maximum.reduceat(self.label, cuts)
-
-    def _fine(self, leaf: int, g: int) -> np.ndarray:
-        return _matrix(self.vecs[self.cuts[leaf]:self.cuts[leaf + 1]], g)
+        self.levels = [self._boxes((self.coarse, self.n, self.n, self.label, self.label), cuts)]     # leaves first
+        while len(self.levels[-1][0]) > 1:
+            self.levels.append(self._boxes(self.levels[-1], np.arange(0, len(self.levels[-1][0]), self.FAN)))
+
+    @staticmethod
+    def _boxes(below, cuts: np.ndarray):
+        """(hi, n_lo, n_hi, l_lo, l_hi) of the runs of boxes that start at ``cuts``."""
+        best = np.maximum, np.minimum, np.maximum, np.minimum, np.maximum
+        return tuple(f.reduceat(x, cuts, axis=0) for f, x in zip(best, below))
+
+    def _passing(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int):
+        """The pairs of nodes of a level that may hold a pair of points."""
+        hi, n_lo, n_hi, l_lo, l_hi = self.levels[level]
+        ok = num * np.maximum(n_lo[i], n_lo[j]) <= den * np.minimum(n_hi[i], n_hi[j])
+        ok &= ~((l_lo[i] == l_hi[i]) & (l_lo[j] == l_hi[j]) & (l_lo[i] == l_lo[j]))
+        i, j = i[ok], j[ok]
+        box = np.minimum(hi[i], hi[j]).sum(axis=1)
+        ok = box >= need_overlap(n_lo[i], n_lo[j], num, den)
+        return i[ok], j[ok]
+
+    def _opened(self, level: int, i: np.ndarray, j: np.ndarray):
+        """All pairs of children of pairs of nodes, each pair (lower, higher) once."""
+        x = (i[:, None] * self.FAN + np.arange(self.FAN))[:, :, None]
+        y = (j[:, None] * self.FAN + np.arange(self.FAN))[:, None, :]
+        ok = (x <= y) & (y < len(self.levels[level - 1][0]))
+        x, y = np.broadcast_arrays(x, y)
+        return x[ok], y[ok]
 
     def self_join(self, num: int, den: int, skip=lambda i, j: False) -> Iterator[tuple[int, int]]:
         """Pairs (positions in the input) with different labels that the bound
-        lets through, but for those to ``skip``."""
-        for j in range(len(self.hi)):
-            i = np.arange(j + 1)
-            ok = (num * np.maximum(self.n_lo[j], self.n_lo[i]) <= den * np.minimum(self.n_hi[j], self.n_hi[i]))
-            ok &= ~((self.l_lo[i] == self.l_hi[i]) & (self.l_lo[j] == self.l_hi[j]) & (self.l_lo[i] == self.l_lo[j]))
-            i = i[ok]
-            if not len(i):
-                continue
-            box = np.minimum(self.hi[i], self.hi[j]).sum(axis=1)
-            i = i[box >= need_overlap(self.n_lo[i], self.n_lo[j], num, den)]
-            for leaf in i:
-                yield from self._leaves(int(leaf), j, num, den, skip)
+        lets through, but for those to ``skip``, by descent from the root."""
+        top = np.zeros(min(1, len(self.levels[-1][0])), np.int64)
+        stack = [(len(self.levels) - 1, top, top)]
+        while stack:
+            level, i, j = stack.pop()
+            i, j = self._passing(level, i, j, num, den)
+            if level:
+                for a in range(0, len(i), self.AT_ONCE):
+                    stack.append((level - 1, *self._opened(level, i[a:a + self.AT_ONCE], j[a:a + self.AT_ONCE])))
+            else:
+                for x, y in zip(i.tolist(), j.tolist()):
+                    yield from self._leaves(x, y, num, den, skip)
 
     def _leaves(self, a: int, b: int, num: int, den: int, skip):
         sa, sb = slice(self.cuts[a], self.cuts[a + 1]), slice(self.cuts[b], self.cuts[b + 1])
@@ -452,7 +474,7 @@ def tree_pairs(members: DataFrame, point: DataFrame, num: int, den: int, tile: i
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                       num: int = 80, den: int = 100, tile: int = 4096, bits: int = 40,
+                       num: int = 80, den: int = 100, tile: int = 512, bits: int = 40,
                        segment: int = 1_000_000, heavy_class: int = 7, anchors: int = 4, keep_key: bool = False) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id), with
     ``keep_key`` also ``key``, the xxhash64 of the text.

@@ -106,6 +106,40 @@ def test_tree_lets_every_link_through():
                 assert (j, i) in got
 
 
+def test_tree_of_several_levels():
+    """The descent yields just the pairs of leaves' points that the bounds let through."""
+    rng = np.random.RandomState(2)
+    bases = rng.randint(0, 1 << 62, (60, 200), dtype=np.int64).astype(np.uint64)
+    sets = []
+    for _ in range(2500):
+        s = bases[rng.randint(60)][:rng.choice([60, 150, 190, 200])].copy()
+        k = rng.randint(0, 25)
+        s[rng.choice(len(s), k, replace=False)] = rng.randint(0, 1 << 62, k, dtype=np.int64).astype(np.uint64)
+        sets.append(np.unique(s))
+    n = np.array([len(s) for s in sets])
+    vecs = [J.count_vector(s).tobytes() for s in sets]
+    label = np.arange(len(sets)) // 2
+    tree = J.RTree(n, vecs, label)
+    assert len(tree.levels) >= 3 and len(tree.levels[-1][0]) == 1
+    got = sorted(tuple(sorted(p)) for p in tree.self_join(85, 100))
+    want = []
+    for i in range(len(sets)):
+        near = np.flatnonzero((85 * np.maximum(n[:i], n[i]) <= 100 * np.minimum(n[:i], n[i])) & (label[:i] != label[i]))
+        need = J.need_overlap(n[near], n[i], 85, 100)
+        want += [(int(j), i) for j, m in zip(near, need) if J.summed_minima(vecs[i], vecs[j]) >= m]
+    assert got == sorted(want) and got
+
+
+def test_links_that_only_the_tree_finds(spark):
+    """With one anchor a block, chains of neighbours link through trees of small tiles."""
+    rows, words = [], [f"w{i}" for i in range(400)]
+    for i in range(120):
+        rows.append((i, " ".join(words[i * 2:i * 2 + 100]) + " and a shared ending of every text here"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in J.ngram_jaccard_join(df, k=4, num=85, den=100, tile=8, anchors=1).collect()]
+    assert sorted(got) == brute(rows, 4, 85, 100) and len({c for _, _, c in got}) == 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)]
