@@ -182,7 +182,7 @@ def permutation_importance(forest: Forest, df: DataFrame, names: list[str], key:
     x = want.join(donor, "_d").select(
         F.col("_j"), "label", F.transform("_x", lambda v, i: F.when(
             i == F.col("_j"), F.get("_from", i)).otherwise(v)).alias("x"))
-    auc = cut_lineage(staged_auc(margin(forest, x, d, rounds), col="_margin", by=["_j"], pr=False).select("_j", "auc"))
+    auc = cut_lineage(staged_auc(margin(forest, x, d, rounds), col="_margin", by=["_j"], pr=False, length=ranked.count()).select("_j", "auc"))
     whole = auc.where("_j = -1").select("auc").scalar()
     name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_j"))
     return auc.where("_j >= 0").select(name.alias("feature"), F.col("auc").alias("permuted_auc"),
