@@ -10,8 +10,11 @@ summary plot) in log-odds units.
   feature set S it is worth ``v * prod_j (o_j if j in S else z_j)``, o_j whether the row
   follows all the path's splits on j, z_j the share of cover that does.  Path weights by
   subset size are extended by one feature after the other and unwound by each in
-  turn, so a leaf costs the square of its path, not the cube; leaves of one path
-  length go together, over all rows of an Arrow batch.
+  turn, so a leaf costs the square of its path, not the cube.
+* A row enters a leaf's game only by which of the path's features it follows: at most
+  2^depth cases, worked out once a leaf.  A task looks up what a value follows in all
+  leaves at once, by the value's place among the feature's thresholds, and then each leaf's
+  case: a lookup a row, leaf and path feature.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .boosting import Forest
 from .quantiles import matrix
 
+CASES = 1 << 20              # leaves' cases looked up together
+
 
 def leaf_table(forest: Forest, rounds: int | None = None) -> tuple[list, float]:
     """Per leaf: (value, features, cover shares, lower bounds, upper bounds, whether
@@ -52,29 +57,54 @@ def leaf_table(forest: Forest, rounds: int | None = None) -> tuple[list, float]:
     return table, base
 
 
+class _Cases:
+    """Leaves' contributions by case, and how values make up cases: bit j of a leaf's
+    case says that the row follows the path's j-th feature."""
+
+    def __init__(self, table: list, d: int):
+        self.follows, self.worth = [], []            # by feature
+        value = {}                                    # by path length: (leaves, cases, path features)
+        size = np.array([len(leaf[1]) for leaf in table], np.int64)
+        for m in set(size.tolist()) - {0}:
+            leaves = [leaf for leaf in table if len(leaf[1]) == m]
+            v, z = np.array([leaf[0] for leaf in leaves]), np.array([leaf[2] for leaf in leaves])
+            case = np.arange(1 << m)[:, None, None] >> np.arange(m) & 1
+            o = np.broadcast_to(case, (1 << m, len(leaves), m)).astype(float)
+            w = _extended(z, o)
+            of = np.stack([v * (o[:, :, j] - z[:, j]) * _unwound(w, z[:, j], o[:, :, j]) for j in range(m)], axis=2)
+            value.update(zip(np.flatnonzero(size == m).tolist(), of.transpose(1, 0, 2)))
+        for f in range(d):
+            use = [(i, leaf[1].index(f)) for i, leaf in enumerate(table) if f in leaf[1]]
+            at, j = np.array(use, np.int64).reshape(-1, 2).T
+            lo, hi, null = (np.array([table[i][k][p] for i, p in use]) for k in (3, 4, 5))
+            bounds = np.unique(np.concatenate([lo, hi]))
+            place = np.arange(len(bounds) + 1)[:, None]                # bounds below the value
+            o = (place > np.searchsorted(bounds, lo)) & (place <= np.searchsorted(bounds, hi))
+            bits = np.zeros((len(bounds) + 2, len(table)), np.uint8)
+            bits[:, at] = np.concatenate([o, null.astype(bool)[None, :]]) << j
+            self.follows.append((bounds, bits))
+            begin = np.cumsum(1 << size[at]) - (1 << size[at])
+            self.worth.append((at, begin, np.concatenate([np.zeros(0), *[value[i][:, p] for i, p in use]])))
+        self.leaves = len(table)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """SHAP values (n x d) for a batch of rows (missing values are NaN)."""
+        phi = np.zeros(x.shape)
+        place = [np.where(np.isnan(c), len(bounds) + 1, np.searchsorted(bounds, c)) for c, (bounds, _) in zip(x.T, self.follows)]
+        step = max(1, CASES // max(self.leaves, 1))
+        for a in range(0, len(x), step):
+            case = np.zeros((len(x[a:a + step]), self.leaves), np.uint8)
+            for p, (_, bits) in zip(place, self.follows):
+                case |= bits[p[a:a + step]]
+            for f, (at, begin, worth) in enumerate(self.worth):
+                if len(at):
+                    phi[a:a + step, f] = worth.take(case.take(at, axis=1) + begin).sum(axis=1)
+        return phi
+
+
 def shap_matrix(x: np.ndarray, table: list) -> np.ndarray:
     """SHAP values (n x d) for a batch of rows (missing values are NaN)."""
-    n, d = x.shape
-    phi = np.zeros((n, d))
-    missing = np.isnan(x)
-    by_size: dict[int, list] = {}
-    for leaf in table:
-        by_size.setdefault(len(leaf[1]), []).append(leaf)
-    for m, leaves in by_size.items():
-        if not m:
-            continue
-        step = max(1, (1 << 20) // (max(n, 1) * (m + 1)))
-        for a in range(0, len(leaves), step):
-            v, feats, z, lo, hi, null = (np.array([leaf[i] for leaf in leaves[a:a + step]]) for i in range(6))
-            xs = x[:, feats]                                          # rows x leaves x path features
-            with np.errstate(invalid="ignore"):
-                o = np.where(missing[:, feats], null, (xs > lo) & (xs <= hi)).astype(float)
-            w = _extended(z, o)
-            for j in range(m):
-                share = v * (o[:, :, j] - z[:, j]) * _unwound(w, z[:, j], o[:, :, j])
-                for f in np.unique(feats[:, j]):
-                    phi[:, f] += share[:, feats[:, j] == f].sum(axis=1)
-    return phi
+    return _Cases(table, x.shape[1]).of(x)
 
 
 def _extended(z: np.ndarray, o: np.ndarray) -> list:
@@ -114,14 +144,16 @@ def shap_values(forest: Forest, df: DataFrame, names: list[str], key: str, round
     d = len(names)
 
     def run(batches):
+        cases = None
         for b in batches:
+            cases = cases or _Cases(table, d)
             for a in range(0, b.num_rows, 2048):
                 part = b.slice(a, 2048)
                 x = matrix(part.column(1), d)
                 n = len(x)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(pa.array(np.repeat(np.arange(n), d))), pa.array(np.tile(np.array(names, dtype=object), n), pa.string()),
-                    pa.array(x.ravel(), from_pandas=True), pa.array(shap_matrix(x, table).ravel())], [key, "feature", "value", "attribution"])
+                    pa.array(x.ravel(), from_pandas=True), pa.array(cases.of(x).ravel())], [key, "feature", "value", "attribution"])
 
     return df.select(F.col(key), F.col(features).alias("_x")).mapInArrow(run, schema), base
 
@@ -137,7 +169,10 @@ def shap_summary(values: DataFrame, top_n: int = 25) -> DataFrame:
 
 def shap_plot_data(values: DataFrame, top_n: int = 25) -> DataFrame:
     """Points of the summary plot for the top features: attribution and
-    the feature value scaled to [0, 1] within its feature (the colour)."""
+    the feature value scaled to [0, 1] within its feature (the colour).  ``values`` is
+    read three times: it is written first."""
+    from ..session import cut_lineage
+    values = cut_lineage(values)
     top = shap_summary(values, top_n).select("feature", "mean_abs_attribution")
     rng = values.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     pts = values.join(top, "feature").join(rng, "feature")   # both: one row per feature
