@@ -155,7 +155,9 @@ def shap_values(forest: Forest, df: DataFrame, names: list[str], key: str, round
                     part.column(0).take(pa.array(np.repeat(np.arange(n), d))), pa.array(np.tile(np.array(names, dtype=object), n), pa.string()),
                     pa.array(x.ravel(), from_pandas=True), pa.array(cases.of(x).ravel())], [key, "feature", "value", "attribution"])
 
-    return df.select(F.col(key), F.col(features).alias("_x")).mapInArrow(run, schema), base
+    # a row is little to read and much to work out: rows are dealt to all tasks, however few files hold them
+    rows = df.select(F.col(key), F.col(features).alias("_x")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInArrow(run, schema), base
 
 
 def shap_summary(values: DataFrame, top_n: int = 25) -> DataFrame:
