@@ -78,3 +78,24 @@ def test_full_flow_small(spark, tmp_path):
     assert sum(r["count"] for r in res["last_confusion"].collect()) == res["results"][0].scored.count()
     s = res["shap_summary"].collect()
     assert 0 < len(s) <= 25
+
+
+def test_samples_are_read_by_column_and_deleted(spark, tmp_path, monkeypatch):
+    """Hash orders read the key and the label alone from the written samples, whose files are
+    gone when the runs are fitted."""
+    import os
+
+    import apptflow.plans.training as TP
+    from apptflow.plans.training import run_together, training_sets
+    from apptflow.session import checkpoint_dir, cut_lineage
+    table = cut_lineage(model_table(patient_features(appointments_from_orders(spark, SF), min_count=50), keep=("patient_id",)))
+    train, test = training_sets(table, [1, 2], "patient_id", "dna_flag", 0.75, 2, folder=str(tmp_path / "s"))
+    assert set(train.columns) == {*table.columns, "run", "fold", "watch"} and set(test.columns) == {*table.columns, "run"}
+    plan = train.select("patient_id", "run", "fold")._jdf.queryExecution().executedPlan().toString()
+    assert "Age" not in plan and "FileScan parquet" in plan
+    assert train.count() > 0 and not {(r.run, r.patient_id) for r in train.collect()} & {(r.run, r.patient_id) for r in test.collect()}
+    made, shared = [], TP.shared_folder
+    monkeypatch.setattr(TP, "shared_folder", lambda spark, what: made.append(shared(spark, what)) or made[-1])
+    r = run_together(table, [1], BoostParams(rounds=2, folds=2, depth=2))[0]
+    assert r.train.count() > 0 and r.scored.count() > 0 and r.metrics.count() == 1
+    assert len(made) == 2 and checkpoint_dir(spark) and not any(os.path.exists(f.removeprefix("file:")) for f in made)
